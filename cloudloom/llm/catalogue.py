@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from cloudloom.llm import simhash
+from cloudloom.llm import pii, simhash
 
 
 def queries() -> dict:
     """Name to function of (spark, sf_dir)."""
     return {
         "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
+        "op5_pii_spans": pii.op5_pii_spans,
     }
 
 
