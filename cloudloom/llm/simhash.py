@@ -131,7 +131,7 @@ def near_fingerprints(fps: DataFrame) -> DataFrame:
     spread = fps.select("fp").repartition(partitions_for(spark, variants, VARIANTS_A_TASK))
     rows = spread.mapInArrow(_emit_balls, "key long, fp long")
     edges = rows.repartition(partitions_for(spark, variants, VARIANTS_A_TASK), "key").mapInArrow(_link_balls, "src long, dst long")
-    return connected_components(edges.distinct()).withColumnRenamed("node", "fp")
+    return connected_components(materialise(edges.distinct(), "links")).withColumnRenamed("node", "fp")
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
