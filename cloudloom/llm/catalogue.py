@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cloudloom.llm import pii, simhash
+from cloudloom.llm import bpe, pii, quality, simhash
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
     return {
         "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
         "op5_pii_spans": pii.op5_pii_spans,
+        "op8_quality_rules": quality.op8_quality_rules,
+        "op10_byte_bpe": bpe.op10_byte_bpe,
     }
 
 
