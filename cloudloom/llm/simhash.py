@@ -3,16 +3,24 @@
 Two fingerprints within a radius share a variant that lies within half the
 radius of each, so near pairs meet in a shuffle on variants and nowhere else.
 
-* ``near_fingerprints`` is exact for radius 3. Every fingerprint emits itself and
-  its 64 one-bit flips. Three differing bits need a two-bit flip on one side:
-  the two ends then differ in parity, so only fingerprints of even parity emit
-  them, and of three bits two always lie in the same 32-bit half, so 992 of the
-  2016 two-bit flips are enough. All members of a variant are linked to one
-  member within one flip of it (distance at most 3 by construction, checked
-  again), which is linear in a group's size and loses no link's connection.
-* ``near_copies`` serves similarities that one 64-bit word can't see: a wide
-  fingerprint of several words is cut into 32-bit blocks, every block emits its
-  radius-1 ball, and colliding documents are verified on the whole fingerprint.
+``near_fingerprints`` is exact for radius 3. Every fingerprint takes part with
+itself and its 64 one-bit flips. Three differing bits need a two-bit flip on one
+side: the two ends then differ in parity, so only fingerprints of even parity
+take two-bit flips, and of three bits two always lie in the same 32-bit half, so
+992 of the 2016 two-bit flips are enough.
+
+All variants that flip bits of one half only keep the other half. They are sent
+as one row under that kept half and unfolded where they arrive; a flip of the
+kept half itself is a row of its own. That is 50 rows a fingerprint instead of
+561, and halves where a single fingerprint arrives need no unfolding at all. All
+members of a variant are linked to one member within one flip of it (distance at
+most 3 by construction, checked again): linear in a group's size, and no link's
+connection is lost.
+
+``near_copies`` is for similar texts that one fingerprint of shingles can't
+catch: it meets on fingerprints of single words, which an edit moves least, in
+several independent views, and verifies candidates on a wide fingerprint of
+five-word shingles.
 """
 
 from __future__ import annotations
@@ -22,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloudloom.llm.words import bit_majority, lower_words, shingles
@@ -30,38 +38,45 @@ from cloudloom.operators.components import connected_components
 from cloudloom.workspace import materialise, partitions_for
 
 SEED = 42
-#: Variants that one task holds (16 bytes each, three copies while sorting).
-VARIANTS_A_TASK = 3e6
+#: Rows sent for a fingerprint on average, rows a task takes in, variants it unfolds at a time.
+ROWS_EACH, ROWS_A_TASK, UNFOLD = 50, 2e6, 2_000_000
 ONE = np.uint64(1) << np.arange(64, dtype=np.uint64)
-BALL1 = np.concatenate(([np.uint64(0)], ONE))
-HALF_PAIRS = np.array([ONE[i] | ONE[k] for h in (0, 32) for i in range(h, h + 32) for k in range(i + 1, h + 32)], np.uint64)
-BLOCK_BALL = np.concatenate(([0], 1 << np.arange(32))).astype(np.uint64)
+HALF_FLIPS = np.stack([np.concatenate(([np.uint64(0)], ONE[h : h + 32])) for h in (0, 32)])
+HALF_PAIRS = np.stack([np.array([ONE[i] | ONE[k] for i in range(h, h + 32) for k in range(i + 1, h + 32)], np.uint64) for h in (0, 32)])
+LOW32 = np.uint64(0xFFFFFFFF)
+HALF = np.uint64(32)
+#: near_copies: views of single words, words of the wide fingerprint, and its differing bits at a similarity of 0.8.
+VIEWS, WIDE, WIDE_BITS = 5, 8, 82
 
 
-def text_fingerprint(text: str | None, size: int, width: int = 1) -> np.ndarray:
-    """``width`` 64-bit SimHash words of a text's word shingles (repeats count); no words give zeros.
+def text_fingerprint(text: str | None, size: int) -> int:
+    """64-bit SimHash of a text's word shingles (repeats count), hashed with XXH64 and seed 42; no words give zero."""
+    return int(bit_majority(_hashes(shingles(lower_words(text), size))[:, None])[0])
 
-    Word k hashes the shingles with XXH64 and seed 42 + k.
-    """
-    cut = shingles(lower_words(text), size)
-    each = np.empty((len(cut), width), np.uint64)
-    for k in range(width):
-        seed, digest = SEED + k, xxhash.xxh64_intdigest
-        each[:, k] = np.fromiter((digest(s, seed) for s in cut), np.uint64, len(cut))
-    return bit_majority(each)
+
+def _hashes(cut: list[bytes]) -> np.ndarray:
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(s, SEED) for s in cut), np.uint64, len(cut))
 
 
-def fingerprints(docs: DataFrame, size: int = 3, width: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp, rest)``: the first fingerprint word as a signed long, the others as big-endian bytes."""
+def _mixed(hashes: np.ndarray, count: int) -> np.ndarray:
+    """(rows x count) further hashes of hashes (splitmix64)."""
+    z = hashes[:, None] + np.uint64(0x9E3779B97F4A7C15) * np.arange(1, count + 1, dtype=np.uint64)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, fp)`` for every row: the SimHash as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [text_fingerprint(t.as_py(), size, width) for t in b.column(1)]
-            first = pa.array(np.array([f[0] for f in fps], np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), first, pa.array([f[1:].astype(">u8").tobytes() for f in fps], pa.binary())], ["doc_id", "fp", "rest"])
+            fps = np.array([text_fingerprint(t.as_py(), size) for t in b.column(1)], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long, rest binary")
+    return rows.mapInArrow(run, "doc_id long, fp long")
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,58 +95,96 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[low[away]], nodes[away]
 
 
-def _emit_balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, fp) for the variants of radius 1, and those of two flips for even parity."""
+def _emit_halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (view, key, fp): key is a kept half and, above it, which half (0 or 1) may be flipped."""
     for b in batches:
-        every = np.asarray(b.column(0)).view(np.uint64)
-        for i in range(0, len(every), 512):
-            fps = every[i : i + 512]
-            even = fps[np.bitwise_count(fps) % 2 == 0]
-            keys = np.concatenate(((fps[:, None] ^ BALL1).ravel(), (even[:, None] ^ HALF_PAIRS).ravel()))
-            of = np.concatenate((np.repeat(fps, len(BALL1)), np.repeat(even, len(HALF_PAIRS))))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(of.view(np.int64))], ["key", "fp"])
-
-
-def _gather(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-    """A task's (key, fp) rows of keys with more than one row, ordered by key."""
-    keys, fps = [], []
-    for b in batches:
-        keys.append(np.asarray(b.column(0)).view(np.uint64))
-        fps.append(np.asarray(b.column(1)).view(np.uint64))
-    if not keys:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    key, fp = np.concatenate(keys), np.concatenate(fps)
-    del keys, fps
-    order = np.argsort(key)
-    key, fp = key[order], fp[order]
-    same = key[1:] == key[:-1]
-    shared = np.concatenate((same, [False])) | np.concatenate(([False], same))
-    return key[shared], fp[shared]
+        views, every = np.asarray(b.column(0)), np.asarray(b.column(1)).view(np.uint64)
+        for i in range(0, len(every), 4096):
+            view, fp = views[i : i + 4096], every[i : i + 4096]
+            keys, rows = [], []
+            for h in (0, 1):
+                kept = (fp >> HALF if h == 0 else fp) & LOW32
+                keys.append(kept | np.uint64(h << 32))
+                rows.append(np.arange(len(fp)))
+                far = np.arange(len(fp)) if h == 0 else np.flatnonzero(np.bitwise_count(fp) % 2)  # two flips cost a half of even parity nothing here
+                keys.append(((kept[far, None] ^ ONE[:32]) | np.uint64(h << 32)).ravel())
+                rows.append(np.repeat(far, 32))
+            key, row = np.concatenate(keys), np.concatenate(rows)
+            order = np.argsort(row, kind="stable")
+            yield pa.RecordBatch.from_arrays([pa.array(view[row[order]]), pa.array(key[order].view(np.int64)), pa.array(fp[row[order]].view(np.int64))], ["view", "key", "fp"])
 
 
-def _link_balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Star edges of a task's variants: every member to the smallest member within one flip."""
-    key, fp = _gather(batches)
-    far = np.bitwise_count(key ^ fp) > 1
-    order = np.lexsort((fp, far, key))
-    key, fp, far = key[order], fp[order], far[order]
-    first = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.empty(0, bool)
-    lead = np.flatnonzero(first)[np.cumsum(first) - 1] if len(key) else np.empty(0, np.int64)
+def _unfold(key: np.ndarray, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(variant, fp) of received rows, in pieces that hold all rows of a variant and about UNFOLD rows."""
+    pieces = max(1, int(len(key) * 300 // UNFOLD) + 1)
+    half = (key >> HALF).astype(np.int64)
+    kept = np.where(half == 0, fp >> HALF, fp) & LOW32
+    here, even = kept == key & LOW32, np.bitwise_count(fp) % 2 == 0
+    moved = np.where(half == 0, (fp & LOW32) | (key << HALF), (fp & ~LOW32) | (key & LOW32))
+    for piece in range(pieces):
+        variants, of = [], []
+        for h in (0, 1):
+            for rows, flips in ((here & (half == h), HALF_FLIPS[h]), (here & even & (half == h), HALF_PAIRS[h])):
+                own = fp[rows]
+                for i in range(0, len(own), 4096):
+                    v = own[i : i + 4096, None] ^ flips
+                    pick = (_mixed(v.ravel(), 1)[:, 0] % np.uint64(pieces)).reshape(v.shape) == piece if pieces > 1 else np.ones(v.shape, bool)
+                    variants.append(v[pick])
+                    of.append(np.broadcast_to(own[i : i + 4096, None], v.shape)[pick])
+        v = moved[~here]
+        pick = _mixed(v, 1)[:, 0] % np.uint64(pieces) == piece
+        variants.append(v[pick])
+        of.append(fp[~here][pick])
+        yield np.concatenate(variants), np.concatenate(of)
+
+
+def _stars(variant: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each variant's members to the smallest member within one flip of it."""
+    far = np.bitwise_count(variant ^ fp) > 1
+    order = np.lexsort((fp, far, variant))
+    variant, fp, far = variant[order], fp[order], far[order]
+    first = np.concatenate(([True], variant[1:] != variant[:-1]))
+    lead = np.flatnonzero(first)[np.cumsum(first) - 1]
     linked = ~far[lead] & (fp != fp[lead])
     a, b = fp[lead][linked], fp[linked]
     close = np.bitwise_count(a ^ b) <= 3
-    root, node = _forest(a[close], b[close])
-    yield pa.RecordBatch.from_arrays([pa.array(root.view(np.int64)), pa.array(node.view(np.int64))], ["src", "dst"])
+    return a[close], b[close]
+
+
+def _link_halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's links (view, src, dst) among fingerprints that share a variant."""
+    got = [tuple(np.asarray(c) for c in b.columns) for b in batches if b.num_rows]
+    if not got:
+        return
+    view, key, fp = (np.concatenate(x) for x in zip(*got, strict=True))
+    del got
+    order = np.lexsort((key, view))
+    view, key, fp = view[order], key[order].view(np.uint64), fp[order].view(np.uint64)
+    same = (key[1:] == key[:-1]) & (view[1:] == view[:-1])
+    shared = np.concatenate((same, [False])) | np.concatenate(([False], same))
+    view, key, fp = view[shared], key[shared], fp[shared]
+    for v in np.unique(view):
+        ends: list[tuple[np.ndarray, np.ndarray]] = []
+        for variant, of in _unfold(key[view == v], fp[view == v]):
+            if len(variant):
+                ends.append(_forest(*_stars(variant, of)))
+        a, b = (np.concatenate(x) for x in zip(*ends, strict=True))
+        a, b = _forest(a, b)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), v, np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["view", "src", "dst"])
+
+
+def fingerprint_links(fps: DataFrame) -> DataFrame:
+    """``(view, src, dst)`` links that connect all ``fp`` of a view (``view int, fp long``, distinct) within 3 bits."""
+    spark = fps.sparkSession
+    parts = partitions_for(spark, fps.count() * ROWS_EACH, ROWS_A_TASK)
+    sent = fps.select("view", "fp").repartition(parts).mapInArrow(_emit_halves, "view int, key long, fp long")
+    return materialise(sent.repartition(parts, "view", "key").mapInArrow(_link_halves, "view int, src long, dst long").distinct(), "links")
 
 
 def near_fingerprints(fps: DataFrame) -> DataFrame:
     """``(fp, root)`` for the distinct 64-bit ``fp`` that have another within 3 bits; root names the component."""
-    spark, count = fps.sparkSession, fps.count()
-    variants = count * (len(BALL1) + len(HALF_PAIRS) / 2)
-    spread = fps.select("fp").repartition(partitions_for(spark, variants, VARIANTS_A_TASK))
-    rows = spread.mapInArrow(_emit_balls, "key long, fp long")
-    edges = rows.repartition(partitions_for(spark, variants, VARIANTS_A_TASK), "key").mapInArrow(_link_balls, "src long, dst long")
-    return connected_components(materialise(edges.distinct(), "links")).withColumnRenamed("node", "fp")
+    links = fingerprint_links(fps.select(F.lit(0).alias("view"), "fp"))
+    return connected_components(links).withColumnRenamed("node", "fp")
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -144,7 +197,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text
     of the others, or null if none has an id. Other columns are ignored, an
     empty table gives an empty table.
     """
-    prints = materialise(fingerprints(docs, size, 1, id_col, text_col).select("doc_id", "fp"), "fingerprints")
+    prints = materialise(fingerprints(docs, size, id_col, text_col), "fingerprints")
     groups = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "groups")
     near = near_fingerprints(groups)
     joined = groups.join(near, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
@@ -153,6 +206,82 @@ def near_duplicates(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text
     return prints.join(lookup, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _text_views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rid, views, wide): SimHash of the distinct words in VIEWS views, and of five-word shingles in WIDE words."""
+    for b in batches:
+        views, wide = [], []
+        for t in b.column(1):
+            words = lower_words(t.as_py())
+            views.append(bit_majority(_mixed(_hashes(list(set(words))), VIEWS)).view(np.int64).tolist())
+            cut, total = _hashes(shingles(words, 5)), np.zeros(WIDE, np.uint64)
+            if len(cut):
+                total = wide_majority(cut)
+            wide.append(total.astype(">u8").tobytes())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(views, pa.list_(pa.int64())), pa.array(wide, pa.binary())], ["rid", "views", "wide"])
+
+
+def wide_majority(hashes: np.ndarray) -> np.ndarray:
+    """SimHash of WIDE words from one hash a shingle, in pieces of bounded size."""
+    ones, step = np.zeros(WIDE * 64, np.int64), 255 * 32
+    for at in range(0, len(hashes), step):
+        bits = np.unpackbits(_mixed(hashes[at : at + step], WIDE).astype(">u8").view(np.uint8), axis=1)
+        for i in range(0, len(bits), 255):
+            ones += bits[i : i + 255].sum(0, dtype=np.uint8)
+    return np.packbits(ones * 2 > len(hashes)).view(">u8").astype(np.uint64)
+
+
+def near_copies(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+    """``(rid, root)``: rows of ``docs`` by the distinct key ``id_col`` (long), and the smallest key of their group.
+
+    Groups are components of links between texts whose five-word shingles are
+    similar by 0.8 or more, as their wide fingerprints tell (at most WIDE_BITS
+    of 512 bits differ). Candidates meet by ball hashing of radius 3 in any
+    of VIEWS fingerprints of single words. Equal texts always link; texts without
+    words are equal to each other. Only rows in groups of two or more appear.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("rid"), F.col(text_col).cast("string").alias("text"))
+    prints = materialise(rows.mapInArrow(_text_views, "rid long, views array<long>, wide binary"), "views")
+    # one class for each set of equal fingerprints: copies take part once
+    lows = prints.groupBy("views", "wide").agg(F.min("rid").alias("low"))
+    classes = materialise(lows, "classes")
+    each = classes.select("low", "wide", F.posexplode("views").alias("view", "fp"))
+    heads = materialise(each.groupBy("view", "fp").agg(F.min("low").alias("head")), "heads")
+    links = fingerprint_links(heads.select(F.col("view").cast("int").alias("view"), "fp"))
+    # links between fingerprints become links between the classes that head them; classes with one fingerprint in common link to its head
+    named = links.join(heads.select("view", F.col("fp").alias("src"), F.col("head").alias("a")), ["view", "src"])
+    named = named.join(heads.select("view", F.col("fp").alias("dst"), F.col("head").alias("b")), ["view", "dst"]).select("a", "b")
+    shared = each.join(heads, ["view", "fp"]).where("low <> head").select(F.col("head").alias("a"), F.col("low").alias("b"))
+    pairs = named.union(shared).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    wide = classes.select("low", "wide")
+    both = pairs.join(wide.select(F.col("low").alias("a"), F.col("wide").alias("wa")), "a").join(wide.select(F.col("low").alias("b"), F.col("wide").alias("wb")), "b")
+    close = materialise(both.where(_differing("wa", "wb") <= WIDE_BITS).select(F.col("a").alias("src"), F.col("b").alias("dst")), "near")
+    roots = connected_components(close)
+    labelled = classes.join(roots, F.col("low") == F.col("node"), "left").select("views", "wide", F.coalesce("root", "low").alias("root"))
+    return prints.join(labelled, ["views", "wide"]).select("rid", "root")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each ``near_copies`` group: that of the smallest id, null ids last.
+
+    Of rows with equal ids one stays. All columns stay, null and empty texts are
+    copies of each other, an empty table stays empty.
+    """
+    rows = materialise(docs.withColumn("_rid", F.monotonically_increasing_id()), "rows")
+    groups = near_copies(rows, "_rid", text_col).select(F.col("rid").alias("_rid"), "root")
+    ordered = rows.select("_rid", F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("_rid")).alias("first"))
+    stay = groups.join(ordered, "_rid").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._rid").alias("_rid"))
+    return rows.join(stay, "_rid", "left_semi").select(*docs.columns)
+
+
+def _differing(a: str, b: str) -> Column:
+    """Differing bits of two binary columns of WIDE 64-bit words."""
+    word = lambda c, k: F.conv(F.hex(F.substring(c, 8 * k + 1, 8)), 16, -10).cast("long")
+    total = F.lit(0)
+    for k in range(WIDE):
+        total = total + F.bit_count(word(a, k).bitwiseXOR(word(b, k)))
+    return total
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole ``documents`` under the 3-word, 3-bit contract."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
