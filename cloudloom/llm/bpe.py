@@ -20,6 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Entries after which a worker's memo starts anew, so its memory is bounded.
 PIECES_KEPT, PAIRS_KEPT = 400_000, 1_000_000
@@ -158,7 +159,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep: list[str],
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(count, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string()), *more], [*names, "n_tokens", "ids_sha256", "decoded_sha256", *["token_ids"] * ids])
 
     rows = docs.select(F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)])
-    schema = ", ".join([f"{n} {t}" for n, t in rows.dtypes[1:]] + ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"] + ["token_ids array<int>"] * ids)
+    more = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * ids
+    schema = T.StructType(rows.schema.fields[1:] + T._parse_datatype_string(more).fields)
     return rows.mapInArrow(run, schema)
 
 
@@ -173,7 +175,7 @@ def decode_documents(rows: DataFrame, path: str, keep: list[str], ids_col: str =
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(out, pa.binary())], [*names, "content"])
 
     picked = rows.select(F.col(ids_col).alias("ids"), *[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)])
-    return picked.mapInArrow(run, ", ".join([f"{n} {t}" for n, t in picked.dtypes[1:]] + ["content binary"]))
+    return picked.mapInArrow(run, T.StructType([*picked.schema.fields[1:], T.StructField("content", T.BinaryType())]))
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

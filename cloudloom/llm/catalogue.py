@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from cloudloom.llm import bpe, pii, quality, simhash
+from cloudloom.llm import bpe, decontaminate, pii, quality, simhash, simple8b, unigram
 
 
 def queries() -> dict:
     """Name to function of (spark, sf_dir)."""
     return {
+        "op2_simple8b_ids": simple8b.op2_simple8b_ids,
         "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
+        "op4_decontaminate": decontaminate.op4_decontaminate,
         "op5_pii_spans": pii.op5_pii_spans,
+        "op6_unigram_token_counts": unigram.op6_unigram_token_counts,
         "op8_quality_rules": quality.op8_quality_rules,
         "op10_byte_bpe": bpe.op10_byte_bpe,
     }

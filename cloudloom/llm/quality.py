@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cloudloom.llm.words import WORD
 from cloudloom.workspace import materialise
@@ -98,7 +99,7 @@ def with_stats(docs: DataFrame, keep: list[str], text_col: str = "text") -> Data
             yield pa.RecordBatch.from_arrays([*b.columns[1:], *(pa.array(rows[:, i]) for i in range(len(STATS)))], [*names, *STATS])
 
     rows = docs.select(F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)])
-    schema = ", ".join([f"{n} {t}" for n, t in rows.dtypes[1:]] + [f"{s} long" for s in STATS])
+    schema = T.StructType(rows.schema.fields[1:] + [T.StructField(s, T.LongType()) for s in STATS])
     return rows.mapInArrow(run, schema)
 
 
