@@ -13,11 +13,11 @@ tried from its first one or from the end of the match before only.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cloudloom.llm.arrays import running
+
 #: Fixed patterns by kind, in the order in which spans are listed.
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -41,21 +41,6 @@ WORDS_NEAR = {
     "ssn": "ssn|social|security|tax|insurance",
 }
 NEAR, RAISE, KEEP_FROM = 40, 0.3, 0.5
-CHUNK = 256
-
-
-def running(values: str, fold: Callable[[str, str], str]) -> str:
-    """SQL for the running fold (sums, maxima; from 0) of a bigint array, itself included.
-
-    Chunks keep it near-linear: a plain prefix fold over an array is quadratic.
-    """
-    first = lambda a, n: f"aggregate(slice({a}, 1, {n}), 0L, (a, b) -> {fold('a', 'b')})"
-    chunks = f"transform(sequence(0, size({values}) div {CHUNK}), c -> slice({values}, c * {CHUNK} + 1, {CHUNK}))"
-    totals = f"transform({chunks}, c -> aggregate(c, 0L, (a, b) -> {fold('a', 'b')}))"
-    inner = f"transform(p.c, (x, j) -> {fold(first('p.t', 'i'), first('p.c', 'j + 1'))})"
-    zipped = f"transform({chunks}, (c, i) -> named_struct('c', c, 't', {totals}))"
-    return f"if(size({values}) = 0, cast(array() as array<bigint>), flatten(transform({zipped}, (p, i) -> {inner})))"
-
 
 def _digits(x: Column) -> Column:
     return F.regexp_replace(x, "[^0-9]", "")
