@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from cloudloom.plans import clouds
+
 
 def queries() -> dict:
-    return {}
+    """Name to function of (spark, sf_dir)."""
+    return {**clouds.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL by the same names, where SQL can express the query."""
+    return {**clouds.SQL}
