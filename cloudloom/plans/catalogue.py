@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from cloudloom.plans import clouds
+from cloudloom.plans import clouds, structures
 
 
 def queries() -> dict:
     """Name to function of (spark, sf_dir)."""
-    return {**clouds.QUERIES}
+    return {**clouds.QUERIES, **structures.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by the same names, where SQL can express the query."""
-    return {**clouds.SQL}
+    return {**clouds.SQL, **structures.SQL}

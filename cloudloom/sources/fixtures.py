@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cloudloom.workspace import materialise
+
 
 def emb(spark: SparkSession, sf_dir: str) -> DataFrame:
     """21 points from each embedding, 10 frames, metres in -200..200."""
@@ -21,7 +23,8 @@ def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = o.select(k.alias("point_id"), F.floor(k / 128000.0).cast("long").alias("frame_id"), F.floor((k % 128000) / 2000.0).cast("int").alias("ring"), (k % 2000).cast("int").alias("az"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
     rho = F.expr("cast(5 + 10 * floor(az / 125.0) + (az % 125) * 0.01 + (cents % 7) * 0.01 + case when cents % 97 = 0 then 20 else 0 end as double)")
     o = o.select("*", F.expr("az * 2 * pi() / 2000").alias("th"), F.expr("radians(-24.9 + ring * 27.4 / 64)").alias("ph"), rho.alias("rho"))
-    return o.select("frame_id", "point_id", "ring", "az", F.expr("rho * cos(ph) * cos(th)").alias("x"), F.expr("rho * cos(ph) * sin(th)").alias("y"), F.expr("rho * sin(ph)").alias("z"))
+    cloud = o.select("frame_id", "point_id", "ring", "az", F.expr("rho * cos(ph) * cos(th)").alias("x"), F.expr("rho * cos(ph) * sin(th)").alias("y"), F.expr("rho * sin(ph)").alias("z"))
+    return materialise(cloud, "scan")  # as a file of points would be; else every use repeats the trigonometry
 
 
 EMB_SQL = """emb AS (
