@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from cloudloom.plans import clouds, structures
+from cloudloom.plans import clouds, coding, structures
 
 
 def queries() -> dict:
     """Name to function of (spark, sf_dir)."""
-    return {**clouds.QUERIES, **structures.QUERIES}
+    return {**clouds.QUERIES, **coding.QUERIES, **structures.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by the same names, where SQL can express the query."""
-    return {**clouds.SQL, **structures.SQL}
+    return {**clouds.SQL, **coding.SQL, **structures.SQL}
