@@ -75,14 +75,16 @@ def txt_lines(points: DataFrame) -> Column:
 
 
 def shortest(c: str) -> Column:
-    """Up to six significant digits without trailing zeros, for magnitudes from 0.001 up to a million."""
+    """Up to six significant digits without trailing zeros, with an exponent below 0.0001 and from a million on."""
     v = F.col(c).cast("double")
-    digits = F.greatest(F.lit(0), F.lit(5) - F.floor(F.log10(F.greatest(F.abs(v), F.lit(1e-9)))).cast("int"))
+    size = F.abs(v)
+    digits = F.greatest(F.lit(0), F.lit(5) - F.floor(F.log10(F.greatest(size, F.lit(1e-4)))).cast("int"))
     text = F.lit(None).cast("string")
-    for d in range(9):
+    for d in range(10):
         text = F.when(digits == d, F.format_string(f"%.{d}f", v)).otherwise(text)
-    text = F.when(F.abs(v) < 1e-9, "0").otherwise(text)
-    return F.when(text.contains("."), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
+    fixed = F.when(text.contains("."), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
+    far = F.regexp_replace(F.format_string("%.5e", v), r"\.?0+e", "e")
+    return F.when(size == 0, "0").when((size < 1e-4) | (size >= 1e6), far).otherwise(fixed)
 
 
 def ply_lines(points: DataFrame) -> DataFrame:

@@ -41,9 +41,9 @@ def test_bin_round_trip(spark, tmp_path, stride):
 
 
 def test_text_and_ply_output(spark, tmp_path):
-    points = spark.createDataFrame([(0, i, x, y, z) for i, (x, y, z, _) in enumerate([(0.1, -1234.5678, 1e-5, 0), (100000.0, 2.0, -0.5, 0)])], "frame_id long, point_id long, x double, y double, z double")
+    points = spark.createDataFrame([(0, i, x, y, z) for i, (x, y, z, _) in enumerate([(0.1, -1234.5678, 1e-5, 0), (100000.0, 2.5e7, -0.5, 0)])], "frame_id long, point_id long, x double, y double, z double")
     P.write_points(points, f"{tmp_path}/t", "txt")
-    assert [r.value for r in spark.read.text(f"{tmp_path}/t/frame_id=0").collect()] == ["0.1 -1234.57 0.00001 0.0", "100000 2 -0.5 0.0"]
+    assert [r.value for r in spark.read.text(f"{tmp_path}/t/frame_id=0").collect()] == ["0.1 -1234.57 1e-05 0.0", "100000 2.5e+07 -0.5 0.0"]
     P.write_points(points, f"{tmp_path}/p", "ply")
     got = [r.value for r in spark.read.text(f"{tmp_path}/p/frame_id=0").collect()]
     assert got[0] == "ply" and got[2] == "element vertex 2" and got[8] == "end_header" and len(got) == 11
