@@ -39,8 +39,8 @@ def leaves(points: DataFrame, names: list[str]) -> DataFrame:
 
 def cells(leaf_rows: DataFrame, names: list[str]) -> DataFrame:
     """Every level's occupied cells: ``(frame_id, levels, level, cell, n)`` in one aggregation over exploded leaves."""
-    up = leaf_rows.withColumn("level", F.explode(F.expr("sequence(1, levels)")))
-    return up.groupBy("frame_id", "levels", "level", *[F.expr(f"shiftright({n}, levels - level)").alias(n) for n in names]).agg(F.sum("n").alias("n"))
+    up = leaf_rows.withColumn("level", F.explode(F.expr("sequence(1L, cast(levels as bigint))")))
+    return up.groupBy("frame_id", "levels", "level", *[F.expr(f"shiftright({n}, cast(levels - level as int))").alias(n) for n in names]).agg(F.sum("n").alias("n"))
 
 
 def occupancy(leaf_rows: DataFrame, names: list[str]) -> DataFrame:
@@ -61,7 +61,7 @@ def z_deltas(points: DataFrame) -> DataFrame:
     """``(frame_id, morton, point_id, dz)``: zi less the one before, in leaf order and then input order."""
     coded = points.select("frame_id", F.expr(G.morton(["lx", "ly"])).alias("morton"), "point_id", "zi")
     before = F.lag("zi", 1, 0).over(Window.partitionBy("frame_id").orderBy("morton", "point_id"))
-    return coded.select("frame_id", "morton", "point_id", (F.col("zi") - before).alias("dz"))
+    return coded.select("frame_id", "morton", "point_id", (F.col("zi") - before).cast("long").alias("dz"))
 
 
 def from_z_deltas(deltas: DataFrame) -> DataFrame:

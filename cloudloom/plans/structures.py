@@ -182,7 +182,7 @@ SQL = {
     "q_quadtree_occupancy": f"WITH {QUAD_SQL} SELECT frame_id, level-1 AS level, {M2.format('(cx>>1)', '(cy>>1)')} AS morton, bit_or(CAST(1<<(2*(cx&1)+(cy&1)) AS INT)) AS occupancy FROM cells WHERE level > 1 GROUP BY 1, 2, 3",
     "q_quadtree_leaf_counts": f"WITH {QUAD_SQL} SELECT frame_id, {M2.format('lx', 'ly')} AS morton, count(*) AS n FROM t GROUP BY 1, 2",
     "q_quadtree_z_delta": f"WITH {Z_SQL} SELECT * FROM dz",
-    "q_quadtree_reconstruct": f"WITH {Z_SQL} SELECT frame_id, point_id, round((x0-1+2*lx+0.5)/{2 / RT}, 6) AS rx, round((y0-1+2*ly+0.5)/{2 / RT}, 6) AS ry, round(zi*{RT}, 6) AS rz FROM t",
+    "q_quadtree_reconstruct": f"WITH {Z_SQL} SELECT frame_id, point_id, round((x0-1+2*lx+0.5)/{2 / RT}, 6) AS rx, round((y0-1+2*ly+0.5)/{2 / RT}, 6) AS ry, round(zi*CAST({RT} AS DOUBLE), 6) AS rz FROM t",
     "q_symbol_histogram": f"WITH {OCC_SQL} SELECT frame_id, occupancy AS symbol, count(*) AS n FROM occ GROUP BY 1, 2",
     "q_cumulative_freq": f"WITH {OCC_SQL}, hs AS (SELECT frame_id, occupancy AS symbol, count(*) AS n FROM occ GROUP BY 1, 2) SELECT *, CAST(sum(n) OVER (PARTITION BY frame_id ORDER BY symbol) - n AS BIGINT) AS cum FROM hs",
     "q_entropy_bits": f"WITH {OCC_SQL}, hs AS (SELECT frame_id, occupancy AS symbol, count(*) AS n FROM occ GROUP BY 1, 2) SELECT frame_id, CAST(sum(n) AS BIGINT) AS total, round(sum(n)*log2(sum(n)) - sum(n*log2(n)), 3) AS bits FROM hs GROUP BY 1",
