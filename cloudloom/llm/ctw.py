@@ -35,8 +35,8 @@ from cloudloom.llm.words import LOWER, lower_words
 from cloudloom.workspace import materialise
 
 DEPTH, FREQUENT, BLOCK_ROWS = 3, 1 << 16, 1 << 17
-#: Bytes of texts that are laid out at a time, and 4-grams that a task sums before it sends them on.
-LAYOUT, KEYS_HELD = 1 << 20, 2_000_000
+#: Bytes of texts laid out at a time, 4-grams and words that a task sums before it sends them on, texts scored at a time.
+LAYOUT, KEYS_HELD, WORDS_HELD, TEXTS = 1 << 20, 1_000_000, 250_000, 512
 #: Stands before and after every text; no UTF-8 text holds it.
 EDGE = b"\xff"
 #: Node and bit of each of a byte's eight decisions: nodes are 1 to 255, heap-ordered.
@@ -170,26 +170,36 @@ class Model:
         self.logs = np.frombuffer(b"".join(r[2] for r in rows), "<f4").reshape(-1, 256)
         self.keys = [(np.array([r[1] for r in rows if r[0] == d], np.int64), next((i for i, r in enumerate(rows) if r[0] == d), 0)) for d in range(DEPTH + 1)]
         self.lasts = np.isin(np.arange(256), lasts)
-        self.at: list[np.ndarray] | None = None
+        self.at: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     def score(self, keys: np.ndarray) -> np.ndarray:
         """log10 probability of every key's byte after its context; 0 where another block has the context."""
         if self.at is None:  # in each worker once
-            self.at = []
-            for d, (ctx, first) in enumerate(self.keys):
-                places = np.zeros(1 << 8 * d, np.int32)  # 0, the empty context, where nothing was seen
-                places[ctx] = first + np.arange(len(ctx), dtype=np.int32)
-                self.at.append(places)
-        row = self.at[DEPTH][keys >> 8]
-        for d in range(DEPTH - 1, 0, -1):
-            miss = np.flatnonzero(row == 0)
-            if not len(miss):
-                break
-            row[miss] = self.at[d][keys[miss] >> 8 & ((1 << 8 * d) - 1)]
+            self.at = self._places()
+        one_or_two, slot, three = self.at
+        last = keys >> 8 & 0xFFFF
+        at = slot[last]
+        row = three[at, keys >> 24]
+        new = np.flatnonzero(at == 0)  # the last two bytes were never seen together
+        row[new] = one_or_two[last[new]]
         out = self.logs[row, keys & 255].astype(np.float64)
         return out if self.lasts.all() else out * self.lasts[keys >> 8 & 255]
 
 
+    def _places(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows by the last two bytes, slots of those seen, and rows by slot and the third last byte: the longest seen context's."""
+        (one, first1), (two, first2), (three, first3) = self.keys[1:]
+        rows = np.zeros(256, np.int32)  # 0, the empty context, where nothing was seen
+        rows[one] = first1 + np.arange(len(one))
+        both = np.tile(rows, 256)
+        both[two] = first2 + np.arange(len(two))
+        slot = np.zeros(1 << 16, np.int32)
+        slot[two] = 1 + np.arange(len(two))
+        deep = np.repeat(both[np.concatenate(([0], two))][:, None], 256, axis=1)
+        deep[slot[three & 0xFFFF], three >> 16] = first3 + np.arange(len(three))
+        return both, slot, deep
+
+
 def blocks_of(rows: DataFrame) -> list[list[int]]:
     """Last bytes of contexts in blocks of at most BLOCK_ROWS rows, or one byte alone; every byte is in one."""
     sizes = dict.fromkeys(range(256), 0)
@@ -224,7 +234,7 @@ def count_words(texts: DataFrame) -> DataFrame:
             for t in b.column(0):
                 held.update(lower_words(t.as_py()))
                 held[b""] += 1
-                if len(held) > KEYS_HELD // 4:
+                if len(held) > WORDS_HELD:
                     yield words_of(held)
                     held = Counter()
         yield words_of(held)
@@ -271,7 +281,7 @@ def _score_pass(rows: DataFrame, model: Broadcast, frequent: Broadcast, first: b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
-        for b in batches:
+        for b in (x.slice(i, TEXTS) for x in batches for i in range(0, x.num_rows, TEXTS)):
             texts = b.column(0).to_pylist()
             score = np.zeros(len(texts))
             for of, at, keys, skip in layouts(iter(texts)):
