@@ -26,6 +26,8 @@ five-word shingles.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -115,26 +117,25 @@ def _emit_halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _unfold(key: np.ndarray, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(variant, fp) of received rows, in pieces that hold all rows of a variant and about UNFOLD rows."""
+    """(variant, fp) of received rows, in pieces of about UNFOLD rows that hold all rows of a variant with one half flipped."""
     pieces = max(1, int(len(key) * 300 // UNFOLD) + 1)
     half = (key >> HALF).astype(np.int64)
     kept = np.where(half == 0, fp >> HALF, fp) & LOW32
     here, even = kept == key & LOW32, np.bitwise_count(fp) % 2 == 0
     moved = np.where(half == 0, (fp & LOW32) | (key << HALF), (fp & ~LOW32) | (key & LOW32))
-    for piece in range(pieces):
+    for piece, h in product(range(pieces), (0, 1)):
         variants, of = [], []
-        for h in (0, 1):
-            for rows, flips in ((here & (half == h), HALF_FLIPS[h]), (here & even & (half == h), HALF_PAIRS[h])):
-                own = fp[rows]
-                for i in range(0, len(own), 4096):
-                    v = own[i : i + 4096, None] ^ flips
-                    pick = (_mixed(v.ravel(), 1)[:, 0] % np.uint64(pieces)).reshape(v.shape) == piece if pieces > 1 else np.ones(v.shape, bool)
-                    variants.append(v[pick])
-                    of.append(np.broadcast_to(own[i : i + 4096, None], v.shape)[pick])
-        v = moved[~here]
-        pick = _mixed(v, 1)[:, 0] % np.uint64(pieces) == piece
-        variants.append(v[pick])
-        of.append(fp[~here][pick])
+        for rows, flips in ((here & (half == h), HALF_FLIPS[h]), (here & even & (half == h), HALF_PAIRS[h])):
+            own = fp[rows]
+            for i in range(0, len(own), 4096):
+                v = own[i : i + 4096, None] ^ flips
+                pick = (_mixed(v.ravel(), 1)[:, 0] % np.uint64(pieces)).reshape(v.shape) == piece if pieces > 1 else np.ones(v.shape, bool)
+                variants.append(v[pick])
+                of.append(np.broadcast_to(own[i : i + 4096, None], v.shape)[pick])
+        far = ~here & (half == h)
+        pick = _mixed(moved[far], 1)[:, 0] % np.uint64(pieces) == piece
+        variants.append(moved[far][pick])
+        of.append(fp[far][pick])
         yield np.concatenate(variants), np.concatenate(of)
 
 
@@ -151,8 +152,8 @@ def _stars(variant: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return a[close], b[close]
 
 
-def _link_halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's links (view, src, dst) among fingerprints that share a variant."""
+def _link_halves(batches: Iterator[pa.RecordBatch], direct: bool) -> Iterator[pa.RecordBatch]:
+    """A task's links (view, src, dst) among fingerprints that share a variant: all stars, or a forest that connects the same."""
     got = [tuple(np.asarray(c) for c in b.columns) for b in batches if b.num_rows]
     if not got:
         return
@@ -164,21 +165,27 @@ def _link_halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shared = np.concatenate((same, [False])) | np.concatenate(([False], same))
     view, key, fp = view[shared], key[shared], fp[shared]
     for v in np.unique(view):
-        ends: list[tuple[np.ndarray, np.ndarray]] = []
+        ends = [np.empty((0, 2), np.uint64)]
         for variant, of in _unfold(key[view == v], fp[view == v]):
             if len(variant):
-                ends.append(_forest(*_stars(variant, of)))
-        a, b = (np.concatenate(x) for x in zip(*ends, strict=True))
-        a, b = _forest(a, b)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), v, np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["view", "src", "dst"])
+                stars = _stars(variant, of)
+                ends.append(np.unique(np.stack(stars, 1), axis=0) if direct else np.stack(_forest(*stars), 1))
+        a, b = np.concatenate(ends).T
+        if not direct:
+            a, b = _forest(a, b)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), v, np.int32)), pa.array(np.ascontiguousarray(a).view(np.int64)), pa.array(np.ascontiguousarray(b).view(np.int64))], ["view", "src", "dst"])
 
 
-def fingerprint_links(fps: DataFrame) -> DataFrame:
-    """``(view, src, dst)`` links that connect all ``fp`` of a view (``view int, fp long``, distinct) within 3 bits."""
+def fingerprint_links(fps: DataFrame, direct: bool = False) -> DataFrame:
+    """``(view, src, dst)`` links that connect all ``fp`` of a view (``view int, fp long``, distinct) within 3 bits.
+
+    ``direct`` links are pairs within 3 bits, the same however rows are placed;
+    otherwise they may join ends of chains of such pairs, and are fewer.
+    """
     spark = fps.sparkSession
     parts = partitions_for(spark, fps.count() * ROWS_EACH, ROWS_A_TASK)
     sent = fps.select("view", "fp").repartition(parts).mapInArrow(_emit_halves, "view int, key long, fp long")
-    return materialise(sent.repartition(parts, "view", "key").mapInArrow(_link_halves, "view int, src long, dst long").distinct(), "links")
+    return materialise(sent.repartition(parts, "view", "key").mapInArrow(partial(_link_halves, direct=direct), "view int, src long, dst long").distinct(), "links")
 
 
 def near_fingerprints(fps: DataFrame) -> DataFrame:
@@ -241,22 +248,24 @@ def near_copies(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFra
     """
     rows = docs.select(F.col(id_col).cast("long").alias("rid"), F.col(text_col).cast("string").alias("text"))
     prints = materialise(rows.mapInArrow(_text_views, "rid long, views array<long>, wide binary"), "views")
-    # one class for each set of equal fingerprints: copies take part once
-    lows = prints.groupBy("views", "wide").agg(F.min("rid").alias("low"))
-    classes = materialise(lows, "classes")
-    each = classes.select("low", "wide", F.posexplode("views").alias("view", "fp"))
-    heads = materialise(each.groupBy("view", "fp").agg(F.min("low").alias("head")), "heads")
-    links = fingerprint_links(heads.select(F.col("view").cast("int").alias("view"), "fp"))
+    # one class for each set of equal fingerprints: copies take part once; classes are named by what
+    # they hold, so neither the order nor the placing of rows decides which links are looked at
+    named = prints.groupBy("views", "wide").agg(F.min("rid").alias("low")).withColumn("cid", F.xxhash64("views", "wide"))
+    classes = materialise(named, "classes")
+    each = classes.select("cid", F.posexplode("views").alias("view", "fp"))
+    heads = materialise(each.groupBy("view", "fp").agg(F.min("cid").alias("head")), "heads")
+    links = fingerprint_links(heads.select(F.col("view").cast("int").alias("view"), "fp"), direct=True)
     # links between fingerprints become links between the classes that head them; classes with one fingerprint in common link to its head
-    named = links.join(heads.select("view", F.col("fp").alias("src"), F.col("head").alias("a")), ["view", "src"])
-    named = named.join(heads.select("view", F.col("fp").alias("dst"), F.col("head").alias("b")), ["view", "dst"]).select("a", "b")
-    shared = each.join(heads, ["view", "fp"]).where("low <> head").select(F.col("head").alias("a"), F.col("low").alias("b"))
-    pairs = named.union(shared).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    wide = classes.select("low", "wide")
-    both = pairs.join(wide.select(F.col("low").alias("a"), F.col("wide").alias("wa")), "a").join(wide.select(F.col("low").alias("b"), F.col("wide").alias("wb")), "b")
+    met = links.join(heads.select("view", F.col("fp").alias("src"), F.col("head").alias("a")), ["view", "src"])
+    met = met.join(heads.select("view", F.col("fp").alias("dst"), F.col("head").alias("b")), ["view", "dst"]).select("a", "b")
+    shared = each.join(heads, ["view", "fp"]).where("cid <> head").select(F.col("head").alias("a"), F.col("cid").alias("b"))
+    pairs = met.union(shared).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    wide = classes.select("cid", "wide")
+    both = pairs.join(wide.select(F.col("cid").alias("a"), F.col("wide").alias("wa")), "a").join(wide.select(F.col("cid").alias("b"), F.col("wide").alias("wb")), "b")
     close = materialise(both.where(_differing("wa", "wb") <= WIDE_BITS).select(F.col("a").alias("src"), F.col("b").alias("dst")), "near")
-    roots = connected_components(close)
-    labelled = classes.join(roots, F.col("low") == F.col("node"), "left").select("views", "wide", F.coalesce("root", "low").alias("root"))
+    grouped = classes.join(connected_components(close), F.col("cid") == F.col("node"), "left").withColumn("group", F.coalesce("root", "cid"))
+    lows = grouped.groupBy("group").agg(F.min("low").alias("root"))
+    labelled = grouped.select("views", "wide", "group").join(lows, "group").select("views", "wide", "root")
     return prints.join(labelled, ["views", "wide"]).select("rid", "root")
 
 
