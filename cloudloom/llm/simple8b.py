@@ -16,10 +16,11 @@ committer, so a lost task leaves nothing behind, and can lie in any store.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +28,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cloudloom.llm.words import WORD
+from cloudloom.llm.words import LOWER, WORD
 from cloudloom.workspace import new_path
 
 #: Fixed by the format: ids and bits for the selectors 2 to 15; 0 is the escape.
 COUNT = np.array([1, 0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
 WIDTH = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
 BLOCK, PAD = 1024, 60
-#: Ids after which a record ends, and words that a worker remembers.
-RECORD_IDS, WORDS_KEPT = 1 << 16, 400_000
+#: Bit lengths of ids below 2^17.
+LENGTHS = np.frexp(np.arange(1 << 17, dtype=np.float64))[1].astype(np.uint8)
+#: Ids after which a record ends, texts encoded at a time, and words that a worker remembers.
+RECORD_IDS, TEXTS, WORDS_KEPT = 1 << 16, 64, 1_000_000
 RECORD = "part int, first long, doc_ids array<long>, n_ids array<long>, offsets array<int>, words binary, escaped binary"
 
 
@@ -50,11 +53,15 @@ def _blocks(ids: np.ndarray) -> np.ndarray:
 
 def _selectors(rows: np.ndarray) -> np.ndarray:
     """The selector that packs most ids from each place on."""
-    bits = np.zeros(rows.shape, np.uint8)
-    for k in (32, 16, 8, 4, 2, 1):
-        more = rows >> (bits + np.uint8(k)).astype(np.uint64) > 0
-        bits += more.astype(np.uint8) * np.uint8(k)
-    bits += rows > 0  # bits[i] is now the length of id i
+    if int(rows.max()) < len(LENGTHS):
+        bits = LENGTHS[rows.astype(np.int64)]
+    else:
+        bits = np.zeros(rows.shape, np.uint8)
+        for k in (32, 16, 8, 4, 2, 1):
+            more = rows >> (bits + np.uint8(k)).astype(np.uint64) > 0
+            bits += more.astype(np.uint8) * np.uint8(k)
+        bits += rows > 0
+    # bits[i] is now the length of id i
 
     def longest(a: np.ndarray, b: np.ndarray, by: int) -> np.ndarray:
         out = a.copy()
@@ -116,27 +123,64 @@ def decode(words: np.ndarray, offsets: np.ndarray, escaped: np.ndarray, n: int)
     return rows[:, :BLOCK].reshape(-1)[:n]
 
 
+def _lower_cases(spec: dict) -> bool:
+    """Whether a tokenizer's normaliser lower-cases, and its added tokens all have a ``<``."""
+    normal = spec.get("normalizer") or {}
+    steps = normal.get("normalizers", [normal])
+    return any(n.get("type") == "Lowercase" for n in steps) and all("<" in t["content"] for t in spec.get("added_tokens", []))
+
+
 class WordTokenizer:
-    """A ``tokenizers`` tokenizer that never looks across ASCII white space, with its words remembered."""
+    """A ``tokenizers`` tokenizer that never looks across ASCII white space, with its words remembered.
+
+    A word's ids lie in one pool of ids; the dictionary holds its place only.
+    """
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_str(spec), {}
-
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """The ids of every text, without special tokens."""
-        split = [WORD.findall(t.encode("utf-8", "replace")) for t in texts]
-        if len(self.known) > WORDS_KEPT:
-            self.known.clear()
-        new = list({w for words in split for w in words if w not in self.known})
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            coded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.known.update(zip(part, (e.ids for e in coded), strict=True))
-        for words in split:
-            yield np.array(list(chain.from_iterable(map(self.known.__getitem__, words))), np.uint64)
+        self.tokenizer = Tokenizer.from_str(spec)
+        self.lower = _lower_cases(json.loads(spec))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.pool, self.ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Encode words, many in a text, and tell them apart by their tokens' offsets."""
+        texts = [w.decode() for w in words]
+        pools, counts = [self.pool], []
+        for i in range(0, len(texts), 200):
+            part = texts[i : i + 200]
+            coded = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            starts = np.cumsum([0] + [len(t) + 1 for t in part])
+            of = np.searchsorted(starts, np.array([a for a, _ in coded.offsets], np.int64), "right") - 1
+            counts.append(np.bincount(of, minlength=len(part)))
+            pools.append(np.array(coded.ids, np.uint32))
+        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
+        self.pool = np.concatenate(pools)
+        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(np.concatenate(counts))))
+
+    def encode(self, texts: list[str], end: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts without special tokens, ``end`` after each, and the number of each text's."""
+        raw = [t.encode("utf-8", "replace") for t in texts]
+        # the tokenizer lower-cases all but its special tokens, so words of either case are one where none can be
+        split = [WORD.findall(r.translate(LOWER) if self.lower and b"<" not in r else r) for r in raw]
+        words = list(chain.from_iterable(split))
+        if len(self.place) > WORDS_KEPT:
+            self._forget()
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        if len(new := np.flatnonzero(at < 0)):
+            self._learn(list({words[i] for i in new.tolist()}))
+            at[new] = [self.place[words[i]] for i in new.tolist()]
+        size = self.ends[at + 1] - self.ends[at]
+        total = np.concatenate(([0], np.cumsum(size)))
+        flat = self.pool[np.arange(total[-1]) + np.repeat(self.ends[at] - total[:-1], size)]
+        stops = total[np.cumsum([len(w) for w in split])]
+        ids = np.insert(flat, np.repeat(stops, len(end)), np.tile(np.array(end, np.uint32), len(texts)))
+        return ids, np.diff(stops, prepend=0) + len(end)
 
 
 _tokenizers: dict[int, WordTokenizer] = {}
@@ -162,32 +206,37 @@ def write_token_files(docs: DataFrame, spec: str, path: str, end_id: int | None
         key = hash(shared.value)
         own = _tokenizers.get(key) or _tokenizers.setdefault(key, WordTokenizer(shared.value))
         part, first = TaskContext.get().partitionId(), 0
-        keys, ids, size = [], [], 0
+        keys, ids, counts, size = [], [], [], 0
 
         def record() -> pa.RecordBatch:
             words, offsets, escaped = encode(np.concatenate(ids))
-            lists = [pa.array([keys], pa.list_(pa.int64())), pa.array([[len(x) for x in ids]], pa.list_(pa.int64())), pa.array([offsets.tolist()], pa.list_(pa.int32()))]
+            lists = [pa.array([keys], pa.list_(pa.int64())), pa.array([np.concatenate(counts).tolist()], pa.list_(pa.int64())), pa.array([offsets.tolist()], pa.list_(pa.int32()))]
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([first], pa.int64()), *lists, pa.array([words.astype("<u8").tobytes()], pa.binary()), pa.array([escaped.astype("<u8").tobytes()], pa.binary())], ["part", "first", "doc_ids", "n_ids", "offsets", "words", "escaped"])
 
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                piece = b.slice(at, 256)
-                for key, got in zip(piece.column(0).to_pylist(), own.encode(piece.column(1).to_pylist()), strict=True):
-                    keys.append(key)
-                    ids.append(np.concatenate((got, np.array(end, np.uint64))))
-                    size += len(ids[-1])
-                    if size >= RECORD_IDS:
-                        yield record()
-                        first += size
-                        keys, ids, size = [], [], 0
+            for at in range(0, b.num_rows, TEXTS):
+                piece = b.slice(at, TEXTS)
+                got, n = own.encode(piece.column(1).to_pylist(), end)
+                keys += piece.column(0).to_pylist()
+                ids.append(got)
+                counts.append(n)
+                size += len(got)
+                if size >= RECORD_IDS:
+                    yield record()
+                    first += size
+                    keys, ids, counts, size = [], [], [], 0
         if keys:
             yield record()
 
     ordered.mapInArrow(run, RECORD).write.parquet(path)
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(doc_id, start, n_tokens, ids)`` of every document in the files; start counts all ids before it."""
+def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """``(doc_id, start, n_tokens, ids_crc32, ids)`` of every document in the files.
+
+    ``start`` counts all ids before the document; the checksum is that of its ids
+    as little-endian 32-bit integers (null if one is larger); ``ids`` can be left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -196,10 +245,14 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 words, escaped = (np.frombuffer(r[k], "<u8").astype(np.uint64) for k in ("words", "escaped"))
                 ids = decode(words, np.array(r["offsets"], np.int64), escaped, int(n.sum()))
                 ends = np.concatenate(([0], np.cumsum(n)))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array(r["before"] + r["first"] + ends[:-1]), pa.array(n), lists], ["doc_id", "start", "n_tokens", "ids"])
+                fit = memoryview(ids.astype("<u4").tobytes()) if not len(ids) or int(ids.max()) < 1 << 32 else None
+                crc = [None if fit is None else zlib.crc32(fit[4 * a : 4 * z]) for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                cols = [pa.array(r["doc_ids"], pa.int64()), pa.array(r["before"] + r["first"] + ends[:-1]), pa.array(n), pa.array(crc, pa.int64())]
+                if with_ids:
+                    cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.view(np.int64))))
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(cols)])
 
-    return _placed(spark, path).mapInArrow(run, "doc_id long, start long, n_tokens long, ids array<long>")
+    return _placed(spark, path).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
 def _placed(spark: SparkSession, path: str) -> DataFrame:
@@ -219,11 +272,4 @@ def op2_simple8b_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-files")
     write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), spec, path)
 
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = b.column(3)
-            flat, ends = np.asarray(lists.values).astype("<u4"), np.asarray(lists.offsets)
-            crc = [zlib.crc32(flat[a:z].tobytes()) for a, z in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return read_token_files(spark, path).mapInArrow(digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_token_files(spark, path, with_ids=False)

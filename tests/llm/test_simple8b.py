@@ -8,7 +8,7 @@ from cloudloom.llm import simple8b as s8
 from tokenizers import Tokenizer
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-ODD = [None, "", " ", "The CAT sat", "é É café́  x", "中文字 अक्षर 😀", "x" * 3000, "don't <|endoftext|> 12 34", "a\n\n\tb\x0bc", "w " * 70000, "#$% !!??"]
+ODD = [None, "", " ", "The CAT sat", "é É café́  x", "中文字 अक्षर 😀", "x" * 3000, "don't <|endoftext|> 12 34", "a\n\n\tb\x0bc", "w " * 70000, "#$% !!??", "A<|ENDOFTEXT|>B <|endoftext|>c", "ÀÉ İI K"]
 
 
 def round_trip(ids):
@@ -43,8 +43,10 @@ def test_words_are_encoded_as_whole_texts_are():
     rng = random.Random(3)
     texts = [t or "" for t in ODD] + ["".join(rng.choice("aBé中İΣς́ \n  '1.,!sté😀ß") for _ in range(60)) for _ in range(2000)]
     plain = Tokenizer.from_file(PATH)
-    for t, got, e in zip(texts, own.encode(texts), plain.encode_batch(texts, add_special_tokens=False), strict=True):
-        assert got.tolist() == e.ids, t
+    for end in ([], [1]):
+        ids, n = own.encode(texts, end)
+        for t, got, e in zip(texts, np.split(ids, np.cumsum(n)[:-1]), plain.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert got.tolist() == e.ids + end, t
 
 
 def test_query_reads_back_what_was_written(spark, tmp_path):
@@ -65,6 +67,14 @@ def test_query_reads_back_what_was_written(spark, tmp_path):
         start, last = start + r.n_tokens, r.doc_id
 
 
+def test_ids_can_be_read_back(spark, tmp_path):
+    with open(PATH, encoding="utf-8") as f:
+        s8.write_token_files(spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string"), f.read(), f"{tmp_path}/ids", None)
+    plain = Tokenizer.from_file(PATH)
+    for r in s8.read_token_files(spark, f"{tmp_path}/ids").collect():
+        assert r.ids == plain.encode(ODD[r.doc_id] or "", add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("n", [0])
 def test_empty_table(spark, tmp_path, n):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
