@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Entries after which a worker's memo starts anew, so its memory is bounded.
-PIECES_KEPT, PAIRS_KEPT = 400_000, 1_000_000
+PIECES_KEPT, PAIRS_KEPT = 250_000, 400_000
 #: Longer pieces aren't memoised.
 LONG_PIECE = 64
 
