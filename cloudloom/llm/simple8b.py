@@ -38,7 +38,7 @@ BLOCK, PAD = 1024, 60
 #: Bit lengths of ids below 2^17.
 LENGTHS = np.frexp(np.arange(1 << 17, dtype=np.float64))[1].astype(np.uint8)
 #: Ids after which a record ends, texts encoded at a time, and words that a worker remembers.
-RECORD_IDS, TEXTS, WORDS_KEPT = 1 << 16, 64, 1_000_000
+RECORD_IDS, TEXTS, WORDS_KEPT = 1 << 16, 128, 1_500_000
 RECORD = "part int, first long, doc_ids array<long>, n_ids array<long>, offsets array<int>, words binary, escaped binary"
 
 
