@@ -17,10 +17,11 @@ members of a variant are linked to one member within one flip of it (distance at
 most 3 by construction, checked again): linear in a group's size, and no link's
 connection is lost.
 
-``near_copies`` is for similar texts that one fingerprint of shingles can't
-catch: it meets on fingerprints of single words, which an edit moves least, in
-several independent views, and verifies candidates on a wide fingerprint of
-five-word shingles.
+``near_copies`` is for texts whose sets of five-word shingles are similar by 0.8
+or more, which is beyond what fingerprints within 3 bits can see: it meets on
+bands of minima of the shingles' hashes (MinHash), which depend on the similarity
+alone and not on where a text was edited, and verifies candidates by their exact
+similarity.
 """
 
 from __future__ import annotations
@@ -47,8 +48,11 @@ HALF_FLIPS = np.stack([np.concatenate(([np.uint64(0)], ONE[h : h + 32])) for h i
 HALF_PAIRS = np.stack([np.array([ONE[i] | ONE[k] for i in range(h, h + 32) for k in range(i + 1, h + 32)], np.uint64) for h in (0, 32)])
 LOW32 = np.uint64(0xFFFFFFFF)
 HALF = np.uint64(32)
-#: near_copies: views of single words, words of the wide fingerprint, and its differing bits at a similarity of 0.8.
-VIEWS, WIDE, WIDE_BITS = 5, 8, 82
+#: near_copies: bands of minima and minima a band (a pair at 0.8 misses all bands once in 9000); words of the wide
+#: fingerprint, and differing bits that 0.8 or more can't reach (a mean of 96 at worst, and five deviations).
+BANDS, BAND_ROWS, WIDE, WIDE_BITS = 30, 6, 8, 140
+_XOR, _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+_FOLD = np.uint64(0xD6E8FEB86659FD93)
 
 
 def text_fingerprint(text: str | None, size: int) -> int:
@@ -213,18 +217,45 @@ def near_duplicates(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text
     return prints.join(lookup, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _text_views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rid, views, wide): SimHash of the distinct words in VIEWS views, and of five-word shingles in WIDE words."""
+def shingle_set(text: str | None) -> np.ndarray:
+    """Hashes of a text's distinct five-word shingles, ascending."""
+    return np.unique(_hashes(shingles(lower_words(text), 5)))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """One key for each of BANDS runs of BAND_ROWS minima over the hashes; no hashes have no keys."""
+    if not len(hashes):
+        return np.empty(0, np.uint64)
+    least = np.full(len(_ODD), ~np.uint64(0))
+    for at in range(0, len(hashes), 512):
+        z = (hashes[at : at + 512, None] ^ _XOR) * _ODD
+        z ^= z >> HALF
+        z *= _FOLD
+        np.minimum(least, z.min(0), out=least)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for row in least.reshape(BANDS, BAND_ROWS).T:
+        key = (key ^ row) * _FOLD
+        key ^= key >> np.uint64(29)
+    return key
+
+
+def _text_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rid, cid, bands, wide): the name of a text's set of shingles, its band keys and its SimHash in WIDE words."""
     for b in batches:
-        views, wide = [], []
+        names, bands, wide = [], [], []
         for t in b.column(1):
-            words = lower_words(t.as_py())
-            views.append(bit_majority(_mixed(_hashes(list(set(words))), VIEWS)).view(np.int64).tolist())
-            cut, total = _hashes(shingles(words, 5)), np.zeros(WIDE, np.uint64)
-            if len(cut):
-                total = wide_majority(cut)
-            wide.append(total.astype(">u8").tobytes())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(views, pa.list_(pa.int64())), pa.array(wide, pa.binary())], ["rid", "views", "wide"])
+            cut = shingle_set(t.as_py())
+            names.append(xxhash.xxh3_64_intdigest(cut.tobytes()))
+            bands.append(band_keys(cut).view(np.int64).tolist())
+            wide.append(wide_majority(cut).astype(">u8").tobytes())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(wide, pa.binary())], ["rid", "cid", "bands", "wide"])
+
+
+def _text_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cid, cut): the set of shingles of every text."""
+    for b in batches:
+        cuts = [shingle_set(t.as_py()).view(np.int64) for t in b.column(1)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cuts, pa.list_(pa.int64()))], ["cid", "cut"])
 
 
 def wide_majority(hashes: np.ndarray) -> np.ndarray:
@@ -240,33 +271,52 @@ def wide_majority(hashes: np.ndarray) -> np.ndarray:
 def near_copies(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """``(rid, root)``: rows of ``docs`` by the distinct key ``id_col`` (long), and the smallest key of their group.
 
-    Groups are components of links between texts whose five-word shingles are
-    similar by 0.8 or more, as their wide fingerprints tell (at most WIDE_BITS
-    of 512 bits differ). Candidates meet by ball hashing of radius 3 in any
-    of VIEWS fingerprints of single words. Equal texts always link; texts without
-    words are equal to each other. Only rows in groups of two or more appear.
+    Groups are components of links between texts whose sets of five-word shingles
+    have a Jaccard similarity of 0.8 or more, computed exactly. Candidates share
+    one of BANDS bands. Texts with equal sets of shingles always link; texts without
+    words are equal to each other. Every row appears, alone in its group if it has no copy.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("rid"), F.col(text_col).cast("string").alias("text"))
-    prints = materialise(rows.mapInArrow(_text_views, "rid long, views array<long>, wide binary"), "views")
-    # one class for each set of equal fingerprints: copies take part once; classes are named by what
+    prints = materialise(rows.mapInArrow(_text_bands, "rid long, cid long, bands array<long>, wide binary"), "bands")
+    # one class for each set of shingles: copies take part once; classes are named by what
     # they hold, so neither the order nor the placing of rows decides which links are looked at
-    named = prints.groupBy("views", "wide").agg(F.min("rid").alias("low")).withColumn("cid", F.xxhash64("views", "wide"))
-    classes = materialise(named, "classes")
-    each = classes.select("cid", F.posexplode("views").alias("view", "fp"))
-    heads = materialise(each.groupBy("view", "fp").agg(F.min("cid").alias("head")), "heads")
-    links = fingerprint_links(heads.select(F.col("view").cast("int").alias("view"), "fp"), direct=True)
-    # links between fingerprints become links between the classes that head them; classes with one fingerprint in common link to its head
-    met = links.join(heads.select("view", F.col("fp").alias("src"), F.col("head").alias("a")), ["view", "src"])
-    met = met.join(heads.select("view", F.col("fp").alias("dst"), F.col("head").alias("b")), ["view", "dst"]).select("a", "b")
-    shared = each.join(heads, ["view", "fp"]).where("cid <> head").select(F.col("head").alias("a"), F.col("cid").alias("b"))
-    pairs = met.union(shared).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    wide = classes.select("cid", "wide")
-    both = pairs.join(wide.select(F.col("cid").alias("a"), F.col("wide").alias("wa")), "a").join(wide.select(F.col("cid").alias("b"), F.col("wide").alias("wb")), "b")
-    close = materialise(both.where(_differing("wa", "wb") <= WIDE_BITS).select(F.col("a").alias("src"), F.col("b").alias("dst")), "near")
-    grouped = classes.join(connected_components(close), F.col("cid") == F.col("node"), "left").withColumn("group", F.coalesce("root", "cid"))
+    classes = materialise(prints.groupBy("cid").agg(F.min("rid").alias("low"), F.first("bands").alias("bands"), F.first("wide").alias("wide")), "classes")
+    each = classes.select(F.explode("bands").alias("key"), "cid")
+    shared = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    live = materialise(each.join(shared, "key").withColumn("root", F.col("cid")), "members")
+    wanted = live.select("cid").distinct().join(classes.select("cid", F.col("low").alias("rid"), "wide"), "cid")
+    wanted = materialise(wanted, "wanted")
+    sets = materialise(rows.join(wanted.select("rid", "cid"), "rid").select("cid", "text").mapInArrow(_text_sets, "cid long, cut array<long>").join(wanted.select("cid", "wide"), "cid"), "sets")
+    close = _verified(_led(live, 0), sets)
+    grouped = classes.join(connected_components(close, "a", "b"), F.col("cid") == F.col("node"), "left").withColumn("group", F.coalesce("root", "cid"))
     lows = grouped.groupBy("group").agg(F.min("low").alias("root"))
-    labelled = grouped.select("views", "wide", "group").join(lows, "group").select("views", "wide", "root")
-    return prints.join(labelled, ["views", "wide"]).select("rid", "root")
+    labelled = grouped.select("cid", "group").join(lows, "group").select("cid", "root")
+    return prints.select("rid", "cid").join(labelled, "cid").select("rid", "root")
+
+
+def _leads(live: DataFrame, turn: int) -> DataFrame:
+    """Up to ``2 ** turn`` leads of every band's members ``(key, cid, root)``."""
+    dealt = live.withColumn("deal", F.pmod(F.xxhash64("cid", F.lit(turn)), F.lit(1 << turn)))
+    return dealt.groupBy("key", "deal").agg(F.min(F.struct("cid", "root")).alias("lead")).select("key", "lead")
+
+
+def _led(live: DataFrame, turn: int) -> DataFrame:
+    """Distinct pairs ``(a, b, ra, rb)`` of leads and members of their band under other roots, ``a`` the smaller."""
+    met = live.join(_leads(live, turn), "key").where("root <> lead.root")
+    ends = met.select(F.struct("cid", "root").alias("x"), F.col("lead").alias("y"))
+    ends = ends.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    return ends.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"), F.col("x.root").alias("ra"), F.col("y.root").alias("rb"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs with a Jaccard similarity of 0.8 or more; those whose wide fingerprints are too far apart aren't looked at closely."""
+    wide = lambda end: sets.select(F.col("cid").alias(end), F.col("wide").alias(f"w{end}"))
+    maybe = pairs.join(wide("a"), "a").join(wide("b"), "b").where(_differing("wa", "wb") <= WIDE_BITS).drop("wa", "wb")
+    maybe = materialise(maybe, "candidates")
+    cut = lambda end: sets.select(F.col("cid").alias(end), F.col("cut").alias(f"c{end}"))
+    both = maybe.join(cut("a"), "a").join(cut("b"), "b").withColumn("both", F.size(F.array_intersect("ca", "cb")))
+    # both / (a + b - both) >= 0.8 in whole numbers
+    return materialise(both.where(F.col("both") * 9 >= (F.size("ca") + F.size("cb")) * 4).select("a", "b", "ra", "rb"), "near")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
