@@ -287,22 +287,49 @@ def near_copies(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFra
     wanted = live.select("cid").distinct().join(classes.select("cid", F.col("low").alias("rid"), "wide"), "cid")
     wanted = materialise(wanted, "wanted")
     sets = materialise(rows.join(wanted.select("rid", "cid"), "rid").select("cid", "text").mapInArrow(_text_sets, "cid long, cut array<long>").join(wanted.select("cid", "wide"), "cid"), "sets")
-    close = _verified(_led(live, 0), sets)
-    grouped = classes.join(connected_components(close, "a", "b"), F.col("cid") == F.col("node"), "left").withColumn("group", F.coalesce("root", "cid"))
+    grouped = classes.join(connected_components(_band_links(live, sets), "a", "b"), F.col("cid") == F.col("node"), "left").withColumn("group", F.coalesce("root", "cid"))
     lows = grouped.groupBy("group").agg(F.min("low").alias("root"))
     labelled = grouped.select("cid", "group").join(lows, "group").select("cid", "root")
     return prints.select("rid", "cid").join(labelled, "cid").select("rid", "root")
 
 
+def _band_links(live: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(a, b)`` links that connect all similar pairs of a band, from the bands' members ``(key, cid, root)``.
+
+    Leads of a band are held against its other members; then they leave, links
+    become roots, and what is left under two or more roots gets twice as many
+    leads, until nothing is. So each two members of a band were compared or are
+    already in one component: a member that its leads refuse isn't lost.
+    """
+    links, tested, turn = None, None, 0
+    while True:
+        leads = materialise(_leads(live, turn), "leads")
+        pairs = _led(live, leads)
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = materialise(pairs, "pairs")
+        found = _verified(pairs, sets)
+        links = found if links is None else links.unionByName(found)
+        tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
+        roots = connected_components(found, "ra", "rb").select(F.col("node").alias("root"), F.col("root").alias("top"))
+        rest = live.join(leads.select("key", F.col("lead.cid").alias("cid")), ["key", "cid"], "left_anti").join(roots, "root", "left")
+        rest = materialise(rest.select("key", "cid", F.coalesce("top", "root").alias("root")), "rest")
+        split = rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+        live = materialise(rest.join(split, "key", "left_semi"), "members")
+        if live.isEmpty():
+            return links.select("a", "b")
+        turn += 1
+
+
 def _leads(live: DataFrame, turn: int) -> DataFrame:
     """Up to ``2 ** turn`` leads of every band's members ``(key, cid, root)``."""
     dealt = live.withColumn("deal", F.pmod(F.xxhash64("cid", F.lit(turn)), F.lit(1 << turn)))
     return dealt.groupBy("key", "deal").agg(F.min(F.struct("cid", "root")).alias("lead")).select("key", "lead")
 
 
-def _led(live: DataFrame, turn: int) -> DataFrame:
+def _led(live: DataFrame, leads: DataFrame) -> DataFrame:
     """Distinct pairs ``(a, b, ra, rb)`` of leads and members of their band under other roots, ``a`` the smaller."""
-    met = live.join(_leads(live, turn), "key").where("root <> lead.root")
+    met = live.join(leads, "key").where("root <> lead.root")
     ends = met.select(F.struct("cid", "root").alias("x"), F.col("lead").alias("y"))
     ends = ends.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     return ends.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"), F.col("x.root").alias("ra"), F.col("y.root").alias("rb"))

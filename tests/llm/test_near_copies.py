@@ -2,6 +2,7 @@ import random
 
 from cloudloom.llm import simhash
 from cloudloom.llm.words import lower_words, shingles
+from cloudloom.operators.components import connected_components
 
 
 def words(rng, n):
@@ -36,3 +37,18 @@ def test_every_kind_of_edit_links_from_four_fifths_on(spark):
     root = dict(simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id").collect())
     assert [root[2 * i] == root[2 * i + 1] for i in range(len(wanted))] == wanted
     assert all(root[2 * i] == 2 * i for i in range(len(wanted)))
+
+
+def test_members_that_their_lead_refuses_are_compared_too(spark):
+    """One band of 31 members: the smallest resembles nobody, the others form chains of which only neighbours are similar."""
+    rng = random.Random(4)
+    cut = {0: list(range(10**6, 10**6 + 90))}
+    for chain in range(5):
+        for k in range(6):
+            cut[len(cut)] = list(range(10**4 * chain + 10 * k, 10**4 * chain + 10 * k + 95))
+    order = dict(zip(list(cut)[1:], rng.sample(range(1, 31), 30), strict=True)) | {0: 0}
+    live = spark.createDataFrame([(7, order[i], order[i]) for i in cut], "key long, cid long, root long")
+    sets = spark.createDataFrame([(order[i], c, bytearray(64)) for i, c in cut.items()], "cid long, cut array<long>, wide binary")
+    root = {r.node: r.root for r in connected_components(simhash._band_links(live, sets), "a", "b").collect()}
+    groups = [{order[i] for i in range(1 + 6 * chain, 7 + 6 * chain)} for chain in range(5)]
+    assert root == {i: min(g) for g in groups for i in g}
