@@ -20,15 +20,16 @@ import json
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cloudloom.llm.words import LOWER, WORD
 from cloudloom.workspace import new_path
 
 #: Fixed by the format: ids and bits for the selectors 2 to 15; 0 is the escape.
@@ -37,8 +38,8 @@ WIDTH = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int6
 BLOCK, PAD = 1024, 60
 #: Bit lengths of ids below 2^17.
 LENGTHS = np.frexp(np.arange(1 << 17, dtype=np.float64))[1].astype(np.uint8)
-#: Ids after which a record ends, texts encoded at a time, and words that a worker remembers.
-RECORD_IDS, TEXTS, WORDS_KEPT = 1 << 16, 128, 1_500_000
+#: Ids after which a record ends, bytes of texts encoded at a time, and words and pieces that a worker remembers.
+RECORD_IDS, TEXT_BYTES, WORDS_KEPT = 1 << 16, 8 << 20, 1_200_000
 RECORD = "part int, first long, doc_ids array<long>, n_ids array<long>, offsets array<int>, words binary, escaped binary"
 
 
@@ -123,17 +124,42 @@ def decode(words: np.ndarray, offsets: np.ndarray, escaped: np.ndarray, n: int)
     return rows[:, :BLOCK].reshape(-1)[:n]
 
 
-def _lower_cases(spec: dict) -> bool:
-    """Whether a tokenizer's normaliser lower-cases, and its added tokens all have a ``<``."""
-    normal = spec.get("normalizer") or {}
-    steps = normal.get("normalizers", [normal])
-    return any(n.get("type") == "Lowercase" for n in steps) and all("<" in t["content"] for t in spec.get("added_tokens", []))
+def _cutter(spec: dict) -> regex.Pattern | None:
+    """The pattern that cuts a tokenizer's words into pieces, where pieces are what its model is asked for one by one.
+
+    That is so if texts are only composed, blanks folded and lower-cased, pieces are cut by one pattern and their
+    bytes mapped, no token that is found in raw texts lacks a ``<``, and merges aren't random.
+    """
+    normal = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    plain = sorted(normal) == ["Lowercase", "NFC", "Replace"] and [x.get("type") for x in steps] == ["Split", "ByteLevel"]
+    if not plain or spec["model"].get("type") != "BPE" or spec["model"].get("dropout") or spec.get("post_processor"):
+        return None
+    split, mapped = steps
+    usual = split.get("invert") and split.get("behavior") == "Removed" and not mapped.get("add_prefix_space") and not mapped.get("use_regex")
+    marked = all("<" in t["content"] for t in spec.get("added_tokens", []))
+    return regex.compile(split["pattern"]["Regex"]) if usual and marked and "Regex" in split["pattern"] else None
+
+
+def _byte_letters() -> list[str]:
+    """The letter of each byte in byte-level vocabularies: printable Latin-1 as it is, the others from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
+
+
+#: Words whose letters are composed, have one lower case each and are no blanks, so that they can be cut without the tokenizer.
+_EASY = r"^[\x{21}-\x{3b}\x{3d}-\x{7e}\x{a1}-\x{12f}\x{131}-\x{24f}]+$"
+_LETTERS = dict(enumerate(_byte_letters()))
 
 
 class WordTokenizer:
     """A ``tokenizers`` tokenizer that never looks across ASCII white space, with its words remembered.
 
-    A word's ids lie in one pool of ids; the dictionary holds its place only.
+    Words are told apart by Arrow, a batch at a time; a word's ids lie in one pool
+    of ids, the dictionary holds its place only. New words are cut into pieces,
+    and the tokenizer's model is asked for the pieces that are new; words that
+    could be cut in another way go through the whole tokenizer.
     """
 
     def __init__(self, spec: str):
@@ -141,48 +167,96 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.lower = _lower_cases(json.loads(spec))
+        self.model = self.tokenizer.model
+        self.cutter = _cutter(json.loads(spec))
+        self.pieces = self.cutter and regex.compile(f"{self.cutter.pattern}| ")
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.pool, self.ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Encode words, many in a text, and tell them apart by their tokens' offsets."""
-        texts = [w.decode() for w in words]
-        pools, counts = [self.pool], []
-        for i in range(0, len(texts), 200):
-            part = texts[i : i + 200]
-            coded = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            starts = np.cumsum([0] + [len(t) + 1 for t in part])
-            of = np.searchsorted(starts, np.array([a for a, _ in coded.offsets], np.int64), "right") - 1
-            counts.append(np.bincount(of, minlength=len(part)))
-            pools.append(np.array(coded.ids, np.uint32))
-        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
-        self.pool = np.concatenate(pools)
-        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(np.concatenate(counts))))
-
-    def encode(self, texts: list[str], end: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        self.place: dict[str, int] = {"": 0}
+        self.pool, self.ends = np.empty(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)  # both grow by doubling
+
+    def _add(self, words: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+        """Remember words by their ids, which lie end to end."""
+        n, used = len(self.place), int(self.ends[len(self.place)])
+        self.place.update(zip(words, range(n, n + len(words)), strict=True))
+        if len(self.place) >= len(self.ends):
+            self.ends = np.concatenate((self.ends, np.zeros(max(len(self.ends), len(words)), np.int64)))
+        if used + len(flat) > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.empty(max(len(self.pool), len(flat)), np.uint32)))
+        self.pool[used : used + len(flat)] = flat
+        self.ends[n + 1 : n + 1 + len(words)] = used + np.cumsum(sizes)
+
+    def _add_lists(self, words: list[str], ids: list[list[int]]) -> None:
+        self._add(words, np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
+
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of remembered words end to end, and the number of each one's."""
+        first = self.ends[at]
+        sizes = self.ends[at + 1] - first
+        stops = np.cumsum(sizes)
+        return self.pool[np.arange(stops[-1] if len(stops) else 0) + np.repeat(first - stops + sizes, sizes)], sizes
+
+    def _learn(self, words: list[str]) -> None:
+        is_easy = [False] * len(words) if self.cutter is None else pc.match_substring_regex(pa.array(words, pa.string()), _EASY).to_pylist()
+        easy, hard = list(compress(words, is_easy)), [w for w, e in zip(words, is_easy, strict=True) if not e]
+        for i in range(0, len(hard), 200):
+            self._add_lists(hard[i : i + 200], self._whole(hard[i : i + 200]))
+        if not easy:
+            return
+        found = pa.array(self.pieces.findall(" ".join(easy).lower()), pa.string()).dictionary_encode()
+        pieces, of = found.dictionary.to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy()
+        tokenize = self.model.tokenize
+        fresh = [p for p in pieces if p not in self.place and p != " "]
+        self._add_lists(fresh, [[t.id for t in tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(_LETTERS))] for p in fresh])
+        blank = pieces.index(" ") if " " in pieces else -1
+        at = np.array([self.place.get(p, -1) for p in pieces], np.int64)[of[of != blank]]
+        flat, sizes = self._gather(at)
+        word = np.cumsum(of == blank)[of != blank]
+        total = np.bincount(word, sizes, len(easy)).astype(np.int64)
+        other = np.array([w not in self.place for w in easy], bool)  # the rest are pieces themselves
+        self._add(list(compress(easy, other.tolist())), flat[np.repeat(other, total)], total[other])
+
+    def _whole(self, words: list[str]) -> list[list[int]]:
+        """Each word's ids from the whole tokenizer, many words in a text, told apart by their tokens' offsets."""
+        coded = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        starts = np.cumsum([0] + [len(w) + 1 for w in words])
+        of = np.searchsorted(starts, np.array([a for a, _ in coded.offsets], np.int64), "right") - 1
+        out: list[list[int]] = [[] for _ in words]
+        for w, i in zip(of.tolist(), coded.ids, strict=True):
+            out[w].append(i)
+        return out
+
+    def encode(self, texts: pa.Array, end: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts without special tokens, ``end`` after each, and the number of each text's."""
-        raw = [t.encode("utf-8", "replace") for t in texts]
-        # the tokenizer lower-cases all but its special tokens, so words of either case are one where none can be
-        split = [WORD.findall(r.translate(LOWER) if self.lower and b"<" not in r else r) for r in raw]
-        words = list(chain.from_iterable(split))
+        if self.cutter is not None:  # a word's case matters only where it may be a token found in raw texts
+            texts = pc.if_else(pc.match_substring(texts, "<"), texts, pc.ascii_lower(texts))
+        split = pc.ascii_split_whitespace(texts)  # blanks at either end give empty words, which have no ids
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.place) > WORDS_KEPT:
             self._forget()
         at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
-        if len(new := np.flatnonzero(at < 0)):
-            self._learn(list({words[i] for i in new.tolist()}))
-            at[new] = [self.place[words[i]] for i in new.tolist()]
-        size = self.ends[at + 1] - self.ends[at]
-        total = np.concatenate(([0], np.cumsum(size)))
-        flat = self.pool[np.arange(total[-1]) + np.repeat(self.ends[at] - total[:-1], size)]
-        stops = total[np.cumsum([len(w) for w in split])]
+        if len(new := np.flatnonzero(at < 0).tolist()):
+            self._learn([words[i] for i in new])
+            at[new] = [self.place[words[i]] for i in new]
+        of = coded.indices.to_numpy()
+        flat, sizes = self._gather(at[of])
+        stops = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum(pc.list_value_length(split).to_numpy())]
         ids = np.insert(flat, np.repeat(stops, len(end)), np.tile(np.array(end, np.uint32), len(texts)))
         return ids, np.diff(stops, prepend=0) + len(end)
 
 
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first, number) of runs of texts of about TEXT_BYTES together, one text at least."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64) + 1)
+    at = 0
+    while at < len(ends):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TEXT_BYTES, "right")))
+        yield at, stop - at
+        at = stop
+
+
 _tokenizers: dict[int, WordTokenizer] = {}
 
 
@@ -206,27 +280,25 @@ def write_token_files(docs: DataFrame, spec: str, path: str, end_id: int | None
         key = hash(shared.value)
         own = _tokenizers.get(key) or _tokenizers.setdefault(key, WordTokenizer(shared.value))
         part, first = TaskContext.get().partitionId(), 0
-        keys, ids, counts, size = [], [], [], 0
+        keys, ids, counts = pa.array([], pa.int64()), np.empty(0, np.uint32), np.empty(0, np.int64)
 
-        def record() -> pa.RecordBatch:
-            words, offsets, escaped = encode(np.concatenate(ids))
-            lists = [pa.array([keys], pa.list_(pa.int64())), pa.array([np.concatenate(counts).tolist()], pa.list_(pa.int64())), pa.array([offsets.tolist()], pa.list_(pa.int32()))]
+        def record(docs: int) -> pa.RecordBatch:
+            words, offsets, escaped = encode(ids[: int(counts[:docs].sum())])
+            lists = [pa.ListArray.from_arrays([0, len(x)], x) for x in (keys[:docs], pa.array(counts[:docs]), pa.array(offsets))]
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([first], pa.int64()), *lists, pa.array([words.astype("<u8").tobytes()], pa.binary()), pa.array([escaped.astype("<u8").tobytes()], pa.binary())], ["part", "first", "doc_ids", "n_ids", "offsets", "words", "escaped"])
 
         for b in batches:
-            for at in range(0, b.num_rows, TEXTS):
-                piece = b.slice(at, TEXTS)
-                got, n = own.encode(piece.column(1).to_pylist(), end)
-                keys += piece.column(0).to_pylist()
-                ids.append(got)
-                counts.append(n)
-                size += len(got)
-                if size >= RECORD_IDS:
-                    yield record()
-                    first += size
-                    keys, ids, counts, size = [], [], [], 0
-        if keys:
-            yield record()
+            for at, n in _slices(b.column(1)):
+                got, sizes = own.encode(b.column(1).slice(at, n), end)
+                keys, ids, counts = pa.concat_arrays([keys, b.column(0).slice(at, n)]), np.concatenate((ids, got)), np.concatenate((counts, sizes))
+                while len(ids) >= RECORD_IDS:
+                    docs = int(np.searchsorted(np.cumsum(counts), RECORD_IDS)) + 1
+                    yield record(docs)
+                    done = int(counts[:docs].sum())
+                    first += done
+                    keys, ids, counts = keys[docs:], ids[done:], counts[docs:]
+        if len(keys):
+            yield record(len(keys))
 
     ordered.mapInArrow(run, RECORD).write.parquet(path)
 
@@ -260,7 +332,7 @@ def _placed(spark: SparkSession, path: str) -> DataFrame:
     records = spark.read.schema(RECORD).parquet(path)
     sizes = records.groupBy("part").agg(F.sum(F.aggregate("n_ids", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
     sizes = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    return records.join(sizes, "part")
+    return records.join(F.broadcast(sizes), "part")  # as many rows as files
 
 
 def op2_simple8b_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,8 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from cloudloom.llm import simple8b as s8
 from tokenizers import Tokenizer
@@ -44,11 +46,25 @@ def test_words_are_encoded_as_whole_texts_are():
     texts = [t or "" for t in ODD] + ["".join(rng.choice("aBé中İΣς́ \n  '1.,!sté😀ß") for _ in range(60)) for _ in range(2000)]
     plain = Tokenizer.from_file(PATH)
     for end in ([], [1]):
-        ids, n = own.encode(texts, end)
+        ids, n = own.encode(pa.array(texts), end)
         for t, got, e in zip(texts, np.split(ids, np.cumsum(n)[:-1]), plain.encode_batch(texts, add_special_tokens=False), strict=True):
             assert got.tolist() == e.ids + end, t
 
 
+def test_forgetting_and_slicing_change_nothing(spark, monkeypatch):
+    with open(PATH, encoding="utf-8") as f:
+        spec = f.read()
+    rng = random.Random(5)
+    texts = pa.array([" ".join("".join(rng.choice("aeinrst,é") for _ in range(6)) for _ in range(rng.randrange(50))) for _ in range(300)])
+    want = s8.WordTokenizer(spec).encode(texts, [1])
+    monkeypatch.setattr(s8, "WORDS_KEPT", 500)
+    monkeypatch.setattr(s8, "TEXT_BYTES", 2000)
+    own, runs = s8.WordTokenizer(spec), list(s8._slices(texts))
+    assert len(runs) > 20 and sum(n for _, n in runs) == 300
+    got = [own.encode(texts.slice(at, n), [1]) for at, n in runs]
+    assert [np.concatenate(x).tolist() for x in zip(*got, strict=True)] == [x.tolist() for x in want]
+
+
 def test_query_reads_back_what_was_written(spark, tmp_path):
     rng = random.Random(4)
     rows = [(i * 7 - 20, t, "c") for i, t in enumerate(ODD)] + [(1, "again", "c"), (1, "again", "c"), (None, "no id", "c")]
