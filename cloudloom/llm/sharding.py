@@ -18,11 +18,14 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cloudloom.llm.columns import unused, whole_row
 from cloudloom.workspace import materialise
 
 LIMIT = 16 << 20
 #: Bits of one hash, and bits that cells have beyond the average shard's.
 HASH_BITS, FINER = 60, 6
+#: Prefixes of up to this many bits are short; cells are dealt out under them in so many ways.
+SHORT, SALTS = 12, 256
 
 
 def hash_bits(key: Column) -> Column:
@@ -79,18 +82,21 @@ def _directory(places: DataFrame, bits: int, limit: int, first: bool) -> DataFra
     levels = F.explode(F.sequence(F.lit(0 if first else 1), F.lit(bits))).alias("depth")
     spread = cells.select("stem", "cell", "b", "n", levels).withColumn("prefix", F.expr(f"shiftrightunsigned(cell, {bits} - depth)"))
     sums = spread.groupBy("stem", "depth", "prefix").agg(F.sum("b").alias("sb"), F.sum("n").alias("sn"))
-    fits = sums.where((F.col("sb") <= limit) | (F.col("sn") == 1)).select("stem", "depth", "prefix", F.lit(True).alias("ok"))
-    joined = spread.join(fits, ["stem", "depth", "prefix"], "left")
+    # many cells share a short prefix: they are dealt out by their last bits, and short prefixes that fit, few as they are, go to each
+    short = F.col("depth") <= SHORT
+    salts = F.explode(F.when(short, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt")
+    fits = sums.where((F.col("sb") <= limit) | (F.col("sn") == 1)).select("stem", "depth", "prefix", salts, F.lit(True).alias("ok"))
+    dealt = spread.withColumn("salt", F.when(short, (F.col("cell") % SALTS).cast("int")).otherwise(0))
+    joined = dealt.join(fits, ["stem", "depth", "prefix", "salt"], "left")
     return joined.groupBy("stem", "cell").agg(F.min(F.when(F.col("ok"), F.col("depth"))).alias("depth"))
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write ``docs`` as Parquet with a folder for each shard."""
-    if "shard" in docs.columns:
-        raise ValueError("the rows have a column named shard already")
-    tagged = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    by_row = assign_shards(tagged, limit, id_col, text_col, "_row").select(F.col("row").alias("_row"), "shard")
-    tagged.join(by_row, "_row").drop("_row").repartition("shard").write.partitionBy("shard").parquet(path)
+    """Write ``docs`` as Parquet with a folder ``shard=...`` for each shard; ``shard_`` if the rows have a ``shard`` already."""
+    folder = unused(docs, "shard")
+    tagged = materialise(docs.select(F.monotonically_increasing_id().alias("row"), whole_row(docs).alias("own")), "rows")
+    by_row = assign_shards(tagged.select("row", F.col("own")[id_col].alias("id"), F.col("own")[text_col].alias("text")), limit, "id", "text", "row")
+    tagged.join(by_row.select("row", F.col("shard").alias("folder")), "row").select("own.*", F.col("folder").alias(folder)).repartition(folder).write.partitionBy(folder).parquet(path)
 
 
 def op7_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
