@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloudloom.llm.arrays import running
+from cloudloom.llm.columns import quoted, unused, whole_row
 
 #: Countries by the characters of their IBANs after country and check digits.
 IBAN_REST = {
@@ -52,6 +53,7 @@ WORDS_NEAR = {
 }
 NEAR, RAISE, KEEP_FROM = 40, 0.3, 0.5
 
+
 def _digits(x: Column) -> Column:
     return F.regexp_replace(x, "[^0-9]", "")
 
@@ -93,23 +95,29 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", kinds: tuple[str
 
     ``first`` and ``last`` are code points, the end exclusive. A null or empty
     text gives an empty array, a null ``docs`` column elsewhere doesn't matter,
-    every row keeps its own result, and the other columns pass through. The
-    columns added here replace any of the same name (``pii``, ``_``-prefixed
-    ones are internal).
+    every row keeps its own result, and all columns pass through. If ``docs`` has a
+    ``pii`` already, that stays and the new column gets underscores behind its name.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    kept = [c for c in docs.columns if c != "pii"]
-    df = docs.select(*kept, *[F.struct(F.when(seen, F.regexp_extract_all(text, F.lit(PATTERNS[k]), F.lit(0))).alias("hits"), F.when(seen, F.split(text, PATTERNS[k], -1)).alias("gaps")).alias(f"_{k}") for k in kinds for seen in [text.contains(TRIGGER[k]) if k in TRIGGER else F.lit(True)]])
-    df = df.select(*kept, *[F.when(F.size(f"_{k}.hits") > 0, F.col(f"_{k}")).alias(f"_{k}") for k in kinds])
-    lengths = "transform(_{0}.hits, (x, i) -> cast(char_length(x) + char_length(_{0}.gaps[i]) as bigint))"
-    df = df.select(*kept, *[F.col(f"_{k}") for k in kinds], *[F.expr(f"if(_{k} is null, null, {lengths.format(k)})").alias(f"_{k}_n") for k in kinds])
-    df = df.select(*kept, *[F.col(f"_{k}") for k in kinds], *[F.expr(f"if(_{k} is null, null, {running(f'_{k}_n', '{} + {}'.format)})").alias(f"_{k}_e") for k in kinds])
+    found = _with_spans(docs, text_col, kinds)
+    return found.select("own.*", F.col("pii").alias(unused(docs, "pii")))
+
+
+def _with_spans(docs: DataFrame, text_col: str, kinds: tuple[str, ...]) -> DataFrame:
+    """``(own, text, pii)``: the row in one struct, its text and its spans."""
+    text = F.coalesce(quoted(text_col).cast("string"), F.lit(""))
+    base = ["own", "text"]
+    df = docs.select(whole_row(docs).alias("own"), text.alias("text"))
+    df = df.select(*base, *[F.struct(F.when(seen, F.regexp_extract_all("text", F.lit(PATTERNS[k]), F.lit(0))).alias("hits"), F.when(seen, F.split("text", PATTERNS[k], -1)).alias("gaps")).alias(k) for k in kinds for seen in [F.col("text").contains(TRIGGER[k]) if k in TRIGGER else F.lit(True)]])
+    df = df.select(*base, *[F.when(F.size(f"{k}.hits") > 0, F.col(k)).alias(k) for k in kinds])
+    lengths = "transform({0}.hits, (x, i) -> cast(char_length(x) + char_length({0}.gaps[i]) as bigint))"
+    df = df.select(*base, *kinds, *[F.expr(f"if({k} is null, null, {lengths.format(k)})").alias(f"{k}_n") for k in kinds])
+    df = df.select(*base, *kinds, *[F.expr(f"if({k} is null, null, {running(f'{k}_n', '{} + {}'.format)})").alias(f"{k}_e") for k in kinds])
 
     def spans(kind: str) -> Column:
-        hits, gaps = F.col(f"_{kind}.hits"), F.col(f"_{kind}.gaps")
+        hits, gaps = F.col(f"{kind}.hits"), F.col(f"{kind}.gaps")
 
         def one(hit: Column, i: Column) -> Column:
-            last = F.get(F.col(f"_{kind}_e"), i)
+            last = F.get(F.col(f"{kind}_e"), i)
             around = F.lower(F.concat_ws(" ", F.right(F.get(gaps, i), F.lit(NEAR)), F.left(F.get(gaps, i + 1), F.lit(NEAR))))
             raised = F.when(around.rlike(rf"(?<![a-z])(?:{WORDS_NEAR[kind]})"), F.lit(RAISE)).otherwise(F.lit(0.0))
             score = F.least(F.lit(1.0), F.round(F.lit(SCORE[kind]) + raised, 2))
@@ -119,7 +127,7 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", kinds: tuple[str
         bare = F.transform(found, lambda s: F.struct(s["kind"], s["first"], s["last"], s["score"]))
         return F.coalesce(bare, F.expr("cast(array() as array<struct<kind:string,first:bigint,last:bigint,score:double>>)"))
 
-    return df.select(*kept, F.concat(*[spans(k) for k in kinds]).alias("pii"))
+    return df.select(*base, F.concat(*[spans(k) for k in kinds]).alias("pii"))
 
 
 def listed(spans: Column) -> Column:
@@ -133,15 +141,15 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Overlapping spans become one, named by the first. Null texts stay null,
     texts without spans stay as they are, columns and rows are those of ``docs``.
     """
-    found = find_personal_data(docs, text_col)
     order = "array_sort(transform(pii, s -> struct(s.first as first, -s.last as back, s.kind as kind)))"
-    df = found.withColumn("_s", F.expr(order))
-    df = df.withColumn("_last", F.expr("transform(_s, s -> -s.back)"))
-    df = df.withColumn("_past", F.expr(f"if(size(_s) = 0, cast(array() as array<bigint>), {running('_last', 'greatest({}, {})'.format)})"))
-    piece = f"""transform(_s, (s, i) -> if(i = 0 or s.first >= _past[i - 1],
-        concat(substring({text_col}, int(if(i = 0, 0L, _past[i - 1]) + 1), int(s.first - if(i = 0, 0L, _past[i - 1]))), '[', upper(s.kind), ']'), ''))"""
-    done = f"if(size(_s) = 0, {text_col}, concat(array_join({piece}, ''), substring({text_col}, int(array_max(_past) + 1))))"
-    return df.select(*[F.expr(done).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    df = _with_spans(docs, text_col, tuple(PATTERNS)).withColumn("s", F.expr(order))
+    df = df.withColumn("last", F.expr("transform(s, x -> -x.back)"))
+    df = df.withColumn("past", F.expr(f"if(size(s) = 0, cast(array() as array<bigint>), {running('last', 'greatest({}, {})'.format)})"))
+    piece = """transform(s, (x, i) -> if(i = 0 or x.first >= past[i - 1],
+        concat(substring(text, int(if(i = 0, 0L, past[i - 1]) + 1), int(x.first - if(i = 0, 0L, past[i - 1]))), '[', upper(x.kind), ']'), ''))"""
+    done = F.expr(f"concat(array_join({piece}, ''), substring(text, int(array_max(past) + 1)))")
+    own = lambda c: F.col("own")[c]
+    return df.select(*[(F.when(F.size("s") > 0, done).otherwise(own(c).cast("string")) if c == text_col else own(c)).alias(c) for c in docs.columns])
 
 
 def op5_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,6 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cloudloom.llm.columns import whole_row
 from cloudloom.llm.words import bit_majority, lower_words, shingles
 from cloudloom.operators.components import connected_components
 from cloudloom.workspace import materialise, partitions_for
@@ -352,11 +353,11 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Of rows with equal ids one stays. All columns stay, null and empty texts are
     copies of each other, an empty table stays empty.
     """
-    rows = materialise(docs.withColumn("_rid", F.monotonically_increasing_id()), "rows")
-    groups = near_copies(rows, "_rid", text_col).select(F.col("rid").alias("_rid"), "root")
-    ordered = rows.select("_rid", F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("_rid")).alias("first"))
-    stay = groups.join(ordered, "_rid").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._rid").alias("_rid"))
-    return rows.join(stay, "_rid", "left_semi").select(*docs.columns)
+    rows = materialise(docs.select(F.monotonically_increasing_id().alias("rid"), whole_row(docs).alias("own")), "rows")
+    groups = near_copies(rows.select("rid", F.col("own")[text_col].alias("text")), "rid")
+    ordered = rows.select("rid", F.struct(F.col("own")[id_col].isNull(), F.col("own")[id_col], F.col("rid")).alias("first"))
+    stay = groups.join(ordered, "rid").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.rid").alias("rid"))
+    return rows.join(stay, "rid", "left_semi").select("own.*")
 
 
 def _differing(a: str, b: str) -> Column:
