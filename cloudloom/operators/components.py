@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloudloom.workspace import materialise
+from cloudloom.workspace import materialise, release
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -14,7 +14,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     Each round hooks every node to its smallest neighbour (pre-aggregated on the
     map side), follows the hook once more, and contracts the edges; nodes with
     edges at least halve, so the rounds grow with the logarithm of the nodes.
-    Every round reads tables in the shared folder, so lineage stays short.
+    Every round reads tables in the shared folder, so lineage stays short, and
+    deletes those that it supersedes.
     Self-loops keep a node in the result, null ends are dropped, an empty table
     gives an empty table.
     """
@@ -27,11 +28,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         hook = materialise(around.select(F.col("a").alias("node"), F.least("a", "m").alias("up")), "hook")
         jump = hook.select(F.col("node").alias("up"), F.col("up").alias("top"))
         step = materialise(hook.join(jump, "up").select("node", F.col("top").alias("up")), "step")
-        labels = step if labels is None else materialise(_follow(labels, step), "labels")
+        before, labels = labels, step if labels is None else materialise(_follow(labels, step), "labels")
         ends = step.select(F.col("node").alias("a"), F.col("up").alias("a2"))
-        live = live.join(ends, "a").join(ends.select(F.col("a").alias("b"), F.col("a2").alias("b2")), "b")
-        live = live.where("a2 <> b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b"))
+        old, met = live, live.join(ends, "a").join(ends.select(F.col("a").alias("b"), F.col("a2").alias("b2")), "b")
+        live = met.where("a2 <> b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b"))
         live = materialise(live.distinct(), "edges")
+        release(hook, before, old, None if labels is step else step)
+    release(live)
     if labels is None:
         return nodes.select("node", F.col("node").alias("root"))
     # a root of a component is its smallest node: hooks only ever point to smaller nodes

@@ -15,16 +15,17 @@ from cloudloom.plans import compress as C
 from cloudloom.sources.points import parse_bin, point_rows
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
-#: Longer files aren't frames of the sensor; they are set aside, not coded.
-LONGEST = 64 << 20
 
 
 def landing(spark: SparkSession, folder: str, glob: str = "*.bin", per_batch: int = 64) -> DataFrame:
-    """A stream of ``(frame_id, content)``: the files of a folder; a name's digits are the frame's number."""
+    """A stream of ``(frame_id, content)``: every file of a folder, however long; a name's digits are the frame's number.
+
+    A file is one row, which Spark holds up to 2 GB; a longer one fails the batch instead of being left out.
+    """
     files = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", glob).option("maxFilesPerTrigger", per_batch).load(folder)
     number = F.regexp_extract("path", r"([0-9]+)[^/0-9]*$", 1)
     frame = F.when(number != "", number.cast("long")).otherwise(F.xxhash64("path"))
-    return files.where(F.col("length") <= LONGEST).select(frame.alias("frame_id"), "content")
+    return files.select(frame.alias("frame_id"), "content")
 
 
 def compress_stream(spark: SparkSession, folder: str, out: str, checkpoint: str, options: S.CompressOptions = S.CompressOptions(), trigger: dict | None = None) -> StreamingQuery:

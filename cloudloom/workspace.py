@@ -9,9 +9,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_scopes: list[list[DataFrame]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder; a local session without one gets a temporary folder."""
@@ -34,7 +40,34 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return a DataFrame that reads it."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[table] = path
+    for made in _scopes:
+        made.append(table)
+    return table
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete tables that ``materialise`` wrote, once nothing will read them; other DataFrames and None are left alone."""
+    for table in tables:
+        path = _paths.pop(table, None) if table is not None else None
+        if path:
+            sc = table.sparkSession.sparkContext
+            place = sc._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def superseded() -> Iterator[list[DataFrame]]:
+    """Deletes at the end all tables written inside, but those put on the list that it gives; and none after an error."""
+    made: list[DataFrame] = []
+    keep: list[DataFrame] = []
+    _scopes.append(made)
+    try:
+        yield keep
+    finally:
+        _scopes.remove(made)
+    release(*[t for t in made if not any(t is k for k in keep)])
 
 
 def partitions_for(spark: SparkSession, rows: float, rows_a_task: float) -> int:
