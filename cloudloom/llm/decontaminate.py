@@ -5,21 +5,23 @@ by length, each class with one window size (the items' length, or up to a fifth
 less). An item is indexed under the fingerprints of its first and of its last
 window. Every document slides windows of each class over its words: running sums
 of shingle bits give all fingerprints in a few vector operations. A 64-bit
-fingerprint is looked up by four 16-bit blocks, in tables that hold every block
-value's distance to the nearest item's block. A fingerprint within ``RADIUS`` of
-an item has four block distances that sum to the radius at most, so what the
-tables let through misses nothing. Fingerprints within the radius are then
-verified by the exact weighted similarity of the item-sized span: sums of the smaller over sums
+fingerprint is looked up by its four 16-bit blocks: one within ``RADIUS`` of an
+item's has a block within a quarter of the radius of the item's block, so tables
+that list, for every block value, the items with a block so near name all
+candidates, however many items there are. Before that, tables of every block
+value's distance to the nearest item's block turn most windows away while items
+are few: four such distances sum to the radius at most. Neither step misses
+anything. Fingerprints within the radius are then verified by the exact weighted similarity of the item-sized span: sums of the smaller over sums
 of the larger counts of each five-word shingle.
 """
 
 from __future__ import annotations
 
-import re
 import string
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from functools import reduce
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,24 +31,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cloudloom.llm.words import LOWER
+from cloudloom.llm.columns import quoted
 
-SHINGLE, RADIUS, SIMILAR = 5, 11, 0.8
+SHINGLE, RADIUS, SIMILAR = 5, 13, 0.8
 BLOCK_BITS = 16
+#: All block values within a quarter of the radius of zero.
+_BALL = np.flatnonzero(np.bitwise_count(np.arange(1 << BLOCK_BITS, dtype=np.uint16)) <= RADIUS * BLOCK_BITS // 64).astype(np.uint16)
 #: Items of one pass over the documents; further items take further passes.
 ITEMS_A_PASS = 4096
 #: Windows whose bit sums are held at a time, and shingles of texts that are searched together.
-STEP, TOGETHER = 2048, 1 << 15
+STEP, TOGETHER = 16384, 1 << 15
+#: Pairs of windows and items' rows that are compared at a time, about.
+PAIRS = 1 << 18
 _ROLL = [7, 0, 1, 2, 3, 4, 5, 6]
-_MARKS = re.escape(string.punctuation).encode()
-#: A word without ASCII marks at its ends.
-_INNER = re.compile(rb"[^\x20\x09-\x0D" + _MARKS + rb"](?:[^\x20\x09-\x0D]*[^\x20\x09-\x0D" + _MARKS + rb"])?")
+_MARKS = string.punctuation.encode()
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
 def plain_words(text: str | None) -> list[bytes]:
     """Words without case (A-Z) and without ASCII marks at either end; words of marks only go."""
-    return _INNER.findall((text or "").encode("utf-8", "surrogatepass").translate(LOWER))
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: ASCII letters and blanks only
+    return list(filter(None, map(bytes.strip, words, repeat(_MARKS))))
 
 
 def shingle_hashes(words: list[bytes]) -> np.ndarray:
@@ -106,6 +111,7 @@ class Index:
             self.counts.append(Counter(hashes.tolist()))
         self.spans = sorted(at)
         self.rows = {s: (np.array([f for f, _, _ in x], np.uint64), [(k, first) for _, k, first in x]) for s, x in at.items()}
+        self.lists = {s: self._lists(fps) for s, (fps, _) in self.rows.items()}
         rolled = {s: fps.view(np.uint8).reshape(-1, 8)[:, _ROLL].copy().view(np.uint64).ravel() for s, (fps, _) in self.rows.items()}
         self.near = {s: (self._tables(fps), self._tables(rolled[s])) for s, (fps, _) in self.rows.items()}
 
@@ -120,13 +126,22 @@ class Index:
             out.append(nearest)
         return out
 
+    @staticmethod
+    def _lists(fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each block (starts, rows): the rows whose block is within a quarter of the radius of a value, by value."""
+        out = []
+        for block in fps.view(np.uint16).reshape(-1, 64 // BLOCK_BITS).T:
+            values = (block[:, None] ^ _BALL).ravel()
+            order = np.argsort(values, kind="stable")
+            starts = np.searchsorted(values[order], np.arange((1 << BLOCK_BITS) + 1))
+            out.append((starts, (order // len(_BALL)).astype(np.int32)))
+        return out
+
     @staticmethod
     def _least(tables: list[np.ndarray], fps: np.ndarray) -> np.ndarray:
         """A lower bound of every fingerprint's distance to the nearest item."""
-        total = np.zeros(len(fps), np.uint8)
-        for table, block in zip(tables, np.ascontiguousarray(fps).view(np.uint16).T, strict=True):
-            total += table[block]
-        return total
+        blocks = np.ascontiguousarray(fps).view(np.uint16).T.astype(np.intp)
+        return sum(table.take(block) for table, block in zip(tables, blocks, strict=True))
 
     def within(self, span: int, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, row) of all indexed fingerprints of a class within the radius."""
@@ -134,11 +149,22 @@ class Index:
         maybe = np.flatnonzero(self._least(first, fps) <= RADIUS)
         # the same test on other blocks: a byte further on
         maybe = maybe[self._least(second, fps[maybe][:, _ROLL]) <= RADIUS]
-        rows = self.rows[span][0]
-        if not len(maybe):
-            return maybe, maybe
-        w, r = np.nonzero(np.bitwise_count(fps[maybe].view(np.uint64) ^ rows[None, :]) <= RADIUS)
-        return maybe[w], r
+        rows, found = self.rows[span][0], []
+        blocks, whole = fps[maybe].view(np.uint16).T.astype(np.intp), fps[maybe].view(np.uint64).ravel()
+        first = np.stack([starts[x] for (starts, _), x in zip(self.lists[span], blocks, strict=True)])
+        size = np.stack([starts[x + 1] for (starts, _), x in zip(self.lists[span], blocks, strict=True)]) - first
+        total = np.cumsum(size.sum(0))
+        cuts = [0, *(np.searchsorted(total, np.arange(PAIRS, total[-1], PAIRS)) + 1).tolist(), len(maybe)] if len(maybe) else []
+        for a, z in pairwise(cuts):
+            for k, (_, of) in enumerate(self.lists[span]):
+                n = size[k, a:z]
+                stops = np.cumsum(n)
+                w = np.repeat(np.arange(a, z), n)
+                r = of[np.arange(len(w)) + np.repeat(first[k, a:z] - stops + n, n)]
+                near = np.bitwise_count(whole[w] ^ rows[r]) <= RADIUS
+                found.append(maybe[w[near]] * len(rows) + r[near])
+        both = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+        return both // max(1, len(rows)), both % max(1, len(rows))
 
     def leaks(self, texts: Iterable[str | None]) -> Iterator[list[tuple[object, float, int, int]]]:
         """For every text (item, similarity, first word, words) of the best span of each item found in it."""
@@ -187,10 +213,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col:
     with the tasks, ``ITEMS_A_PASS`` at a time, so a larger benchmark takes more
     passes over the documents instead of more memory.
     """
-    kept = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
-    rows = docs.select(F.col(text_col).cast("string").alias("text"), *kept)
+    kept = [quoted(c).alias(f"k{i}") for i, c in enumerate(keep)]
+    rows = docs.select(quoted(text_col).cast("string").alias("text"), *kept)
     schema = T.StructType(rows.schema.fields[1:] + T._parse_datatype_string("item_id string, similarity double, first_word long, n_words long").fields)
     kind = dict(benchmark.dtypes)[item_col]
+
     def one_pass(index: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -222,15 +249,16 @@ def _indexes(benchmark: DataFrame, item_col: str, item_text: str) -> list[Broadc
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text holds no item, decided row by row: all columns stay and nothing is shuffled."""
     at = docs.columns.index(text_col)
+    rows = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
 
     def one_pass(rows: DataFrame, index: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 yield b.filter(pa.array([not got for got in index.value.leaks(t.as_py() for t in b.column(at))], pa.bool_()))
 
-        return rows.mapInArrow(run, docs.schema)
+        return rows.mapInArrow(run, rows.schema)
 
-    return reduce(one_pass, _indexes(benchmark, item_col, item_text), docs)
+    return reduce(one_pass, _indexes(benchmark, item_col, item_text), rows).toDF(*docs.columns)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,6 +70,51 @@ def test_tables_let_everything_within_the_radius_through():
     assert sorted(zip(w.tolist(), r.tolist(), strict=True)) == sorted(map(tuple, want.tolist()))
 
 
+def test_many_items_are_looked_up_by_their_blocks(monkeypatch):
+    """4096 items: every candidate within the radius is found, and few others are compared."""
+    rng, plain = np.random.default_rng(4), random.Random(6)
+    index = d.Index([(i, words(plain, 30)) for i in range(4096)])
+    (span,) = index.spans
+    rows = index.rows[span][0]
+    fps = np.concatenate((rng.integers(0, 1 << 63, 1500).astype(np.uint64) * np.uint64(2), rng.choice(rows, 500)))
+    for k in range(d.RADIUS):
+        fps[1500 + 30 * k :] ^= np.uint64(1) << rng.integers(0, 64, len(fps) - 1500 - 30 * k).astype(np.uint64)
+    compared = []
+    count = np.bitwise_count
+    w, r = index.within(span, fps[:, None].view(np.uint8))
+    starts = [x for x, _ in index.lists[span]]
+    for k, block in enumerate(fps.view(np.uint16).reshape(-1, 4).T.astype(int)):
+        compared.append((starts[k][block + 1] - starts[k][block]).sum())
+    want = np.argwhere(count(fps[:, None] ^ rows[None, :]) <= d.RADIUS)
+    assert len(want) >= 400 and sorted(zip(w.tolist(), r.tolist(), strict=True)) == sorted(map(tuple, want.tolist()))
+    assert sum(compared) < 0.06 * len(fps) * len(rows)
+
+
+def test_recall_from_four_fifths_on():
+    rng, vocab = random.Random(8), [words(random.Random(i), 1) for i in range(3000)]
+    items = [(i, words(rng, rng.randrange(14, 60))) for i in range(60)]
+    index, texts, wanted = d.Index(items), [], []
+    for _ in range(1200):
+        i, t = rng.choice(items)
+        w = t.split()
+        at, m = rng.randrange(len(w)), max(1, int(len(w) * rng.uniform(0.02, 0.2)))
+        kind = rng.randrange(4)
+        new = [rng.choice(vocab) for _ in range(m)]
+        w = [w[:at] + new + w[at + m :], w[:at] + new[:3] + w[at:], w[:at] + w[at + m :], [rng.choice(vocab) if rng.random() < 0.04 else x for x in w]][kind]
+        text = [rng.choice(vocab) for _ in range(40)] + w + [rng.choice(vocab) for _ in range(40)]
+        hashes, item = d.shingle_hashes(d.plain_words(" ".join(text))).tolist(), Counter(d.shingle_hashes(d.plain_words(t)).tolist())
+        best = 0.0
+        for first in range(30, 60):
+            there = Counter(hashes[first : first + item.total()])
+            both = (there & item).total()
+            best = max(best, both / (there.total() + item.total() - both))
+        texts.append(" ".join(text))
+        wanted.append((i, best))
+    found = [any(x[0] == i for x in got) for got, (i, _) in zip(index.leaks(texts), wanted, strict=True)]
+    near = [f for f, (_, best) in zip(found, wanted, strict=True) if best >= 0.8]
+    assert len(near) > 100 and sum(near) >= 0.98 * len(near)
+
+
 def test_window_fingerprints_match_plain_sums():
     hashes = np.random.default_rng(3).integers(0, 1 << 63, 5000).astype(np.uint64)
     got = {(s, at + i): int(f) for s, at, fps in d.window_fingerprints(hashes, [1, 6, 40]) for i, f in enumerate(fps.view(">u8").ravel())}
