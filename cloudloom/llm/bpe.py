@@ -19,9 +19,10 @@ import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cloudloom.llm.columns import quoted
+
 #: Entries after which a worker's memo starts anew, so its memory is bounded.
 PIECES_KEPT, PAIRS_KEPT = 250_000, 400_000
 #: Longer pieces aren't memoised.
@@ -158,7 +159,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep: list[str],
             more = [pa.array(lists, pa.list_(pa.int32()))] if ids else []
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(count, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string()), *more], [*names, "n_tokens", "ids_sha256", "decoded_sha256", *["token_ids"] * ids])
 
-    rows = docs.select(F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)])
+    rows = docs.select(quoted(text_col).cast("string").alias("text"), *[quoted(c).alias(n) for c, n in zip(keep, names, strict=True)])
     more = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * ids
     schema = T.StructType(rows.schema.fields[1:] + T._parse_datatype_string(more).fields)
     return rows.mapInArrow(run, schema)
@@ -174,7 +175,7 @@ def decode_documents(rows: DataFrame, path: str, keep: list[str], ids_col: str =
             out = [None if x is None else b"".join(map(table.value.__getitem__, x)) for x in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(out, pa.binary())], [*names, "content"])
 
-    picked = rows.select(F.col(ids_col).alias("ids"), *[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)])
+    picked = rows.select(quoted(ids_col).alias("ids"), *[quoted(c).alias(n) for c, n in zip(keep, names, strict=True)])
     return picked.mapInArrow(run, T.StructType([*picked.schema.fields[1:], T.StructField("content", T.BinaryType())]))
 
 
