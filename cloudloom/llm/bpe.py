@@ -22,9 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from cloudloom.llm.columns import quoted
+from cloudloom.llm.memory import give_back
 
 #: Entries after which a worker's memo starts anew, so its memory is bounded.
-PIECES_KEPT, PAIRS_KEPT = 250_000, 400_000
+PIECES_KEPT, PAIRS_KEPT = 120_000, 200_000
 #: Longer pieces aren't memoised.
 LONG_PIECE = 64
 
@@ -158,6 +159,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep: list[str],
                     lists.append(got)
             more = [pa.array(lists, pa.list_(pa.int32()))] if ids else []
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(count, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string()), *more], [*names, "n_tokens", "ids_sha256", "decoded_sha256", *["token_ids"] * ids])
+        give_back()
 
     rows = docs.select(quoted(text_col).cast("string").alias("text"), *[quoted(c).alias(n) for c, n in zip(keep, names, strict=True)])
     more = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * ids

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cloudloom.llm.columns import quoted
+from cloudloom.llm.memory import give_back
 
 SHINGLE, RADIUS, SIMILAR = 5, 13, 0.8
 BLOCK_BITS = 16
@@ -228,6 +229,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col:
                 cols = list(zip(*found, strict=True)) if found else [[], [], [], []]
                 kinds = [pa.string(), pa.float64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([*(c.take(pa.array(of, pa.int64())) for c in b.columns[1:]), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], [*b.schema.names[1:], "item_id", "similarity", "first_word", "n_words"])
+            give_back()
 
         return rows.mapInArrow(run, schema)
 
@@ -255,6 +257,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 yield b.filter(pa.array([not got for got in index.value.leaks(t.as_py() for t in b.column(at))], pa.bool_()))
+            give_back()
 
         return rows.mapInArrow(run, rows.schema)
 

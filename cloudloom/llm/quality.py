@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cloudloom.llm.columns import quoted
+from cloudloom.llm.memory import give_back
 from cloudloom.llm.words import WORD
 from cloudloom.workspace import materialise
 
@@ -98,6 +99,7 @@ def with_stats(docs: DataFrame, keep: list[str], text_col: str = "text") -> Data
         for b in batches:
             rows = np.array([text_stats(t.as_py()) for t in b.column(0)], np.int64).reshape(-1, len(STATS))
             yield pa.RecordBatch.from_arrays([*b.columns[1:], *(pa.array(rows[:, i]) for i in range(len(STATS)))], [*names, *STATS])
+        give_back()
 
     rows = docs.select(quoted(text_col).cast("string").alias("text"), *[quoted(c).alias(n) for c, n in zip(keep, names, strict=True)])
     schema = T.StructType(rows.schema.fields[1:] + [T.StructField(s, T.LongType()) for s in STATS])

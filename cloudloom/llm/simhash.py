@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloudloom.llm.columns import whole_row
+from cloudloom.llm.memory import give_back
 from cloudloom.llm.words import bit_majority, lower_words, shingles
 from cloudloom.operators.components import connected_components
 from cloudloom.workspace import materialise, partitions_for
@@ -250,6 +251,7 @@ def _text_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bands.append(band_keys(cut).view(np.int64).tolist())
             wide.append(wide_majority(cut).astype(">u8").tobytes())
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(wide, pa.binary())], ["rid", "cid", "bands", "wide"])
+    give_back()
 
 
 def _text_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,6 +259,7 @@ def _text_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         cuts = [shingle_set(t.as_py()).view(np.int64) for t in b.column(1)]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cuts, pa.list_(pa.int64()))], ["cid", "cut"])
+    give_back()
 
 
 def wide_majority(hashes: np.ndarray) -> np.ndarray:
