@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloudloom import schema as S
 from cloudloom.functions import geometry as G
 from cloudloom.operators.components import connected_components
-from cloudloom.operators.neighbours import degrees, eps_pairs
+from cloudloom.operators.neighbours import degrees, near_pairs, pair_counts
 from cloudloom.workspace import materialise
 
 KEYS = ["frame_id", "point_id"]
@@ -20,22 +22,35 @@ def clusters(points: DataFrame, eps: float, core_degree: int = S.CORE_DEGREE) ->
     Core points have ``core_degree`` neighbours; connected ones share a cluster,
     named by its rank among the frame's clusters in the order of their smallest
     core ids; a border point joins the first cluster that has a core next to it.
+
+    Two points of a cell whose diagonal is ``eps`` are near each other, so a cell's
+    cores are one node, named by the smallest of them, and only edges between such
+    cells are connected.
     """
-    pairs = materialise(eps_pairs(points, eps), "pairs")
-    counted = pairs.groupBy("frame_id", F.col("src").alias("point_id")).agg(F.count("*").alias("degree"))
-    core = materialise(counted.where(F.col("degree") >= core_degree).select(*KEYS), "core")
-    src, dst = core.withColumnRenamed("point_id", "src"), core.withColumnRenamed("point_id", "dst")
-    to_core = pairs.select("frame_id", "src", "dst").join(dst, ["frame_id", "dst"], "left_semi")
+    pairs = materialise(near_pairs(points, eps), "pairs")
+    core = pair_counts(pairs).where(F.col("degree") >= core_degree).select(*KEYS)
+    fine = eps / math.sqrt(3) * (1 - 1e-9)
+    celled = core.join(points.select(*KEYS, *[G.cell(c, fine).alias(f"c{c}") for c in G.XYZ]), KEYS)
+    heads = celled.groupBy("frame_id", "cx", "cy", "cz").agg(F.min("point_id").alias("head"))
+    core = materialise(celled.join(heads, ["frame_id", "cx", "cy", "cz"]).select(*KEYS, "head"), "core")
+    end = lambda c: core.select("frame_id", F.col("point_id").alias(c), F.col("head").alias(f"{c}_head"))
+    marked = pairs.select("frame_id", "src", "dst").join(end("src"), ["frame_id", "src"], "left").join(end("dst"), ["frame_id", "dst"], "left")
+    # an edge of two cells, or a border point beside a cell
+    inner = F.col("src_head").isNotNull() & F.col("dst_head").isNotNull()
+    one = F.when(inner, F.least("src_head", "dst_head")).when(F.col("src_head").isNull(), F.col("src")).otherwise(F.col("dst"))
+    other = F.when(inner, F.greatest("src_head", "dst_head")).otherwise(F.coalesce("src_head", "dst_head"))
+    met = marked.where("src_head is not null or dst_head is not null").select("frame_id", inner.alias("inner"), one.alias("one"), other.alias("other"))
+    met = materialise(met.where("not inner or one < other").distinct(), "met")
     node = lambda c: F.struct("frame_id", F.col(c).alias("id"))
-    edges = to_core.join(src, ["frame_id", "src"], "left_semi").where("src < dst").select(node("src").alias("src"), node("dst").alias("dst"))
-    alone = core.select(node("point_id").alias("src"), node("point_id").alias("dst"))
-    roots = connected_components(edges.union(alone)).select(F.col("node.frame_id").alias("frame_id"), F.col("node.id").alias("point_id"), F.col("root.id").alias("root"))
+    alone = core.where("point_id = head").select(node("head").alias("src"), node("head").alias("dst"))
+    edges = met.where("inner").select(node("one").alias("src"), node("other").alias("dst")).union(alone)
+    roots = connected_components(edges).select(F.col("node.frame_id").alias("frame_id"), F.col("node.id").alias("head"), F.col("root.id").alias("root"))
     names = roots.select("frame_id", "root").distinct()
     names = names.withColumn("cluster_id", (F.dense_rank().over(Window.partitionBy("frame_id").orderBy("root")) - 1).cast("long"))
-    cores = materialise(roots.join(names, ["frame_id", "root"]).select(*KEYS, "cluster_id"), "cores")
-    border = to_core.join(src, ["frame_id", "src"], "left_anti").join(cores.withColumnRenamed("point_id", "dst"), ["frame_id", "dst"])
-    border = border.groupBy("frame_id", F.col("src").alias("point_id")).agg(F.min("cluster_id").alias("cluster_id"))
-    found = cores.unionByName(border)
+    named = materialise(roots.join(names, ["frame_id", "root"]).select("frame_id", "head", "cluster_id"), "named")
+    border = met.where("not inner").select("frame_id", F.col("one").alias("point_id"), F.col("other").alias("head")).join(named, ["frame_id", "head"])
+    border = border.groupBy(*KEYS).agg(F.min("cluster_id").alias("cluster_id"))
+    found = core.join(named, ["frame_id", "head"]).select(*KEYS, "cluster_id").unionByName(border)
     return points.select(*KEYS).join(found, KEYS, "left").withColumn("cluster_id", F.coalesce("cluster_id", F.lit(-1).cast("long")))
 
 

@@ -58,12 +58,14 @@ def q_codec_comparison(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_txt_lines(spark: SparkSession, sf: str) -> DataFrame:
-    points = emb(spark, sf).select("frame_id", "point_id", *[F.round(c, 2).alias(c) for c in G.XYZ]).where("abs(x) < 100 and abs(y) < 100 and abs(z) < 100")
+    """Every point's line of a text file."""
+    points = emb(spark, sf)
     return points.select("point_id", P.txt_lines(points).alias("line"))
 
 
 def q_ply_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return P.ply_lines(emb(spark, sf)).where("line_no < 0")
+    """All lines of every frame's PLY file."""
+    return P.ply_lines(emb(spark, sf))
 
 
 def q_blob_hex(spark: SparkSession, sf: str) -> DataFrame:
@@ -72,12 +74,12 @@ def q_blob_hex(spark: SparkSession, sf: str) -> DataFrame:
     return P.blob_rows(blobs)
 
 
-NUM = "CASE WHEN round({0}, 2) = 0 THEN '0' ELSE regexp_replace(regexp_replace(printf('%.2f', round({0}, 2)), '0+$', ''), '\\.$', '') END"
 SQL = {
-    "q_txt_lines": f"WITH {EMB_SQL} SELECT point_id, " + " || ' ' || ".join(NUM.format(c) for c in "xyz") + " || ' 0.0' AS line FROM emb WHERE abs(round(x, 2)) < 100 AND abs(round(y, 2)) < 100 AND abs(round(z, 2)) < 100",
+    "q_txt_lines": f"WITH {EMB_SQL} SELECT point_id, printf('%g %g %g 0.0', x, y, z) AS line FROM emb",
     "q_ply_lines": f"""WITH {EMB_SQL}, c AS (SELECT frame_id, count(*) AS n FROM emb GROUP BY 1),
       h AS (SELECT * FROM (VALUES (-9, 'ply'), (-8, 'format ascii 1.0'), (-7, 'element vertex '), (-6, 'property float x'), (-5, 'property float y'), (-4, 'property float z'), (-3, 'element face 0'), (-2, 'property list uchar int vertex_indices'), (-1, 'end_header')) v(line_no, line))
-      SELECT frame_id, CAST(line_no AS BIGINT) AS line_no, CASE WHEN line_no = -7 THEN line || n ELSE line END AS line FROM c, h""",
+      SELECT frame_id, CAST(line_no AS BIGINT) AS line_no, CASE WHEN line_no = -7 THEN line || n ELSE line END AS line FROM c, h
+      UNION ALL SELECT frame_id, point_id, printf('%g %g %g', x, y, z) FROM emb""",
     "q_blob_hex": f"WITH {EMB_SQL} SELECT point_id AS id, lower(hex(encode('p' || point_id))) AS hex FROM emb",
 }
 QUERIES = {n: f for n, f in globals().items() if n.startswith("q_")}

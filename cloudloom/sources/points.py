@@ -7,10 +7,14 @@ so any store works and a lost task leaves no half file behind.
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -98,14 +102,11 @@ def ply_lines(points: DataFrame) -> DataFrame:
 
 
 def write_points(points: DataFrame, path: str, fmt: str = "bin", stride: int = 16) -> None:
-    """Write a folder for each frame (``frame_id=<n>``): text or PLY lines in order, or one Parquet row of records for ``bin``.
-
-    Binary frames are rows (frame_id, content); ``export_bin`` makes single files of them.
-    """
+    """Write ``<frame_id>.bin`` files for ``bin``, or a folder for each frame (``frame_id=<n>``): text or PLY lines in order, or Parquet rows."""
     if fmt == "parquet":
         points.write.partitionBy("frame_id").parquet(path)
     elif fmt == "bin":
-        bin_frames(points, stride).write.partitionBy("frame_id").parquet(path)
+        export_bin(bin_frames(points, stride), path)
     elif fmt in ("txt", "ply"):
         lines = points.select("frame_id", F.col("point_id").alias("line_no"), txt_lines(points).alias("line")) if fmt == "txt" else ply_lines(points)
         ordered = lines.repartition("frame_id").sortWithinPartitions("frame_id", "line_no")
@@ -129,15 +130,26 @@ def bin_frames(points: DataFrame, stride: int = 16) -> DataFrame:
 
 
 def export_bin(frames: DataFrame, path: str) -> None:
-    """One ``<frame_id>.bin`` file for each (frame_id, content) row, through Hadoop's file system from the driver, a row at a time."""
-    sc = frames.sparkSession.sparkContext
-    jvm, conf = sc._jvm, sc._jsc.hadoopConfiguration()
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(conf)
-    for r in frames.toLocalIterator():
-        out = fs.create(jvm.org.apache.hadoop.fs.Path(folder, f"{r.frame_id}.bin"), True)
-        out.write(bytearray(r.content))
-        out.close()
+    """One ``<frame_id>.bin`` file for each (frame_id, content) row, written by the executors.
+
+    A file is written under a name of its own and then moved into place, so a task
+    that runs twice or is lost leaves no half file under the final name. ``path``
+    is a folder that driver and executors share, as a path or a URI.
+    """
+    place = path if "://" in path else "file://" + os.path.abspath(path.removeprefix("file:"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, folder = pafs.FileSystem.from_uri(place)
+        fs.create_dir(folder)
+        for b in batches:
+            for frame, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                part = f"{folder}/.{frame}.{uuid.uuid4().hex}"
+                with fs.open_output_stream(part) as out:
+                    out.write(content.as_buffer())
+                fs.move(part, f"{folder}/{frame}.bin")
+            yield b.select([0])
+
+    frames.select("frame_id", "content").mapInArrow(run, "frame_id long").write.format("noop").mode("overwrite").save()
 
 
 def blob_rows(blobs: DataFrame) -> DataFrame:

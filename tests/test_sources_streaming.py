@@ -71,6 +71,40 @@ def test_command_line(spark, tmp_path, capsys):
     assert spark.read.parquet(f"{tmp_path}/t").count() == 6
 
 
+def test_long_files_arrive_too(spark, tmp_path):
+    """A file of over 64 MB is a frame like any other."""
+    (tmp_path / "land").mkdir()
+    with open(tmp_path / "land" / "5.bin", "wb") as f:
+        f.truncate((65 << 20) + 32)
+    (tmp_path / "land" / "6.bin").write_bytes(bytes(24))
+    seen = frames.landing(spark, f"{tmp_path}/land").select("frame_id", F.octet_length("content").alias("n"))
+    seen.writeStream.format("memory").queryName("landed").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    assert {r.frame_id: r.n for r in spark.table("landed").collect()} == {5: (65 << 20) + 32, 6: 24}
+
+
+def test_bin_files_are_written_by_tasks(spark, tmp_path):
+    points = spark.createDataFrame([(k, i, float(i), -float(k), 0.5) for k in range(5) for i in range(4)], "frame_id long, point_id long, x float, y float, z float").repartition(3)
+    for _ in range(2):  # again over what is there
+        P.write_points(points, f"{tmp_path}/out", "bin", 12)
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == [f"{k}.bin" for k in range(5)]
+    assert (tmp_path / "out" / "3.bin").read_bytes() == b"".join(struct.pack("<3f", i, -3, 0.5) for i in range(4))
+    back = P.read_bin(spark, f"{tmp_path}/out", 12)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, points.collect()))
+
+
+def test_database_tables(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    blobs = spark.createDataFrame([(3, bytearray(b"\x00\xffA")), (4, None)], "frame_id long, blob binary")
+    points = spark.createDataFrame([(7, 0, 1.5, -2.0, 0.25), (7, 1, 0.0, 3.0, 4.0)], "frame_id long, point_id long, x double, y double, z double")
+    P.write_jdbc(blobs.select(F.col("frame_id").alias("id"), "blob"), url, "pc", driver)
+    for _ in range(2):  # rows are added to what is there
+        P.write_jdbc(P.point_rows(points), url, "points", driver)
+    got = {r.ID: r.BLOB and bytes(r.BLOB) for r in spark.read.jdbc(url, "pc", properties=driver).toDF("ID", "BLOB").collect()}
+    assert got == {3: b"\x00\xffA", 4: None}
+    assert sorted(map(tuple, spark.read.jdbc(url, "points", properties=driver).collect())) == [(0.0, 3.0, 4.0, 7)] * 2 + [(1.5, -2.0, 0.25, 7)] * 2
+
+
 def test_hex_rows(spark):
     df = spark.createDataFrame([(3, bytearray(b"\x00\xffA"))], "frame_id long, blob binary")
     assert P.blob_rows(df).first().hex == "00ff41"
