@@ -85,7 +85,7 @@ def shortest(c: str) -> Column:
     digits = F.greatest(F.lit(0), F.lit(5) - F.floor(F.log10(F.greatest(size, F.lit(1e-4)))).cast("int"))
     text = F.lit(None).cast("string")
     for d in range(10):
-        text = F.when(digits == d, F.format_string(f"%.{d}f", v)).otherwise(text)
+        text = F.when(digits == d, F.format_string(f"%.{d}f", F.bround(v, d))).otherwise(text)  # ties go to even digits, as in C
     fixed = F.when(text.contains("."), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
     far = F.regexp_replace(F.format_string("%.5e", v), r"\.?0+e", "e")
     return F.when(size == 0, "0").when((size < 1e-4) | (size >= 1e6), far).otherwise(fixed)
