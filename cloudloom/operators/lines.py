@@ -105,6 +105,20 @@ def head_deltas(heads: DataFrame, keys: list[str], columns: list[str], tie: str)
     return heads.select(*keys, tie, *[(F.col(c) - F.lag(c).over(by)).alias(f"d_{c}") for c in columns])
 
 
+def references_within(heads: DataFrame, keys: list[str], tie: str, reach: str) -> DataFrame:
+    """``(keys, tie, references)``: how many lines before each, in order of elevation and then azimuth, start at most ``reach`` below it.
+
+    ``heads`` has qz, qxy and ``reach``, one value for all lines of a key. Lines meet
+    on their elevation's step of that length or the next one, so it is an equi-join.
+    """
+    step = F.floor(F.col("qz") / F.col(reach))
+    low = heads.select(*keys, F.col("qz").alias("z0"), F.struct("qz", "qxy", tie).alias("before"), F.explode(F.array(step, step + 1)).alias("step"))
+    high = heads.select(*keys, tie, "qz", reach, F.struct("qz", "qxy", tie).alias("here"), step.alias("step"))
+    met = high.join(low, [*keys, "step"]).where((F.col("before") < F.col("here")) & (F.col("qz") - F.col("z0") <= F.col(reach)))
+    counts = met.groupBy(*keys, tie).agg(F.count("*").alias("references"))
+    return heads.select(*keys, tie).join(counts, [*keys, tie], "left").withColumn("references", F.coalesce("references", F.lit(0).cast("long")))
+
+
 def as_of(points: DataFrame, reference: DataFrame, keys: list[str], on: str, values: list[str], tolerance: Column | int, forward: bool = False) -> DataFrame:
     """``points`` with r_<on> and r_<value> of the last reference at or before their ``on`` (or the first at or after).
 

@@ -101,14 +101,13 @@ def ring_heads(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_line_heads_sorted(spark: SparkSession, sf: str) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("frame_id", "band").orderBy("ring"))
+    """Lines in order of their heads' elevation, then azimuth."""
+    rank = F.row_number().over(Window.partitionBy("frame_id", "band").orderBy("qz", "qxy", "ring"))
     return ring_heads(spark, sf).select(*RING, "qdepth", rank.alias("rank"))
 
 
 def q_ring_head_deltas(spark: SparkSession, sf: str) -> DataFrame:
-    heads = ring_heads(spark, sf)
-    by = Window.partitionBy("frame_id", "band").orderBy("ring")
-    return heads.select(*RING, (F.col("qdepth") - F.lag("qdepth").over(by)).alias("d_qdepth"))
+    return lines.head_deltas(ring_heads(spark, sf), ["frame_id", "band"], ["qxy", "qz", "qdepth"], "ring")
 
 
 def _rings(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -134,10 +133,10 @@ def q_two_sided_reference(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_reference_window(spark: SparkSession, sf: str) -> DataFrame:
-    """How many earlier rings lie within two ring steps of each, by range frame."""
-    heads = ring_heads(spark, sf)
-    by = Window.partitionBy("frame_id", "band").orderBy("ring").rangeBetween(-2, 0)
-    return heads.select(*RING, (F.count("*").over(by) - 1).alias("references"))
+    """How many lines before each start within one ring's elevation of it."""
+    most = quantised_scan(spark, sf).groupBy("frame_id", "band").agg(F.max("max_depth").alias("max_depth"))
+    reach = most.select("frame_id", "band", *G.line_thresholds(RS, F.col("max_depth"))).select("frame_id", "band", "z_ang_th")
+    return lines.references_within(ring_heads(spark, sf).join(reach, ["frame_id", "band"]), ["frame_id", "band"], "ring", "z_ang_th")
 
 
 def q_union_paths(spark: SparkSession, sf: str) -> DataFrame:
@@ -168,7 +167,7 @@ M2 = "CAST(list_sum(list_transform(range(0, 21), lambda i: ((({0}>>i)&1)<<(2*i+1
 OCC_SQL = f"""{OCT_SQL}, occ AS (SELECT frame_id, level-1 AS level, {M3.format('(cx>>1)', '(cy>>1)', '(cz>>1)')} AS morton, bit_or(CAST(1<<(4*(cx&1)+2*(cy&1)+(cz&1)) AS INT)) AS occupancy FROM cells WHERE level > 1 GROUP BY 1, 2, 3)"""
 Z_SQL = f"""{QUAD_SQL}, m AS (SELECT *, {M2.format('lx', 'ly')} AS morton FROM t),
 dz AS (SELECT frame_id, morton, point_id, zi - lag(zi, 1, 0) OVER (PARTITION BY frame_id ORDER BY morton, point_id) AS dz FROM m)"""
-HEADS = f"{SCAN_Q}, h AS (SELECT frame_id, band, ring, arg_min(qdepth, az) AS qdepth FROM q GROUP BY 1, 2, 3)"
+HEADS = f"{SCAN_Q}, h AS (SELECT frame_id, band, ring, arg_min(qxy, az) AS qxy, arg_min(qz, az) AS qz, arg_min(qdepth, az) AS qdepth FROM q GROUP BY 1, 2, 3)"
 ASOF = f"""{SCAN_Q}, l AS (SELECT p.frame_id, p.band, p.ring, p.az, p.qdepth, CASE WHEN p.az - b.az <= 3 THEN b.az END AS r_az, CASE WHEN p.az - b.az <= 3 THEN b.qdepth END AS r_qdepth
   FROM q p ASOF LEFT JOIN q b ON b.frame_id = p.frame_id AND b.band = p.band AND b.ring + 1 = p.ring AND b.az <= p.az)"""
 
@@ -187,12 +186,14 @@ SQL = {
     "q_cumulative_freq": f"WITH {OCC_SQL}, hs AS (SELECT frame_id, occupancy AS symbol, count(*) AS n FROM occ GROUP BY 1, 2) SELECT *, CAST(sum(n) OVER (PARTITION BY frame_id ORDER BY symbol) - n AS BIGINT) AS cum FROM hs",
     "q_entropy_bits": f"WITH {OCC_SQL}, hs AS (SELECT frame_id, occupancy AS symbol, count(*) AS n FROM occ GROUP BY 1, 2) SELECT frame_id, CAST(sum(n) AS BIGINT) AS total, round(sum(n)*log2(sum(n)) - sum(n*log2(n)), 3) AS bits FROM hs GROUP BY 1",
     "q_ring_deltas": f"WITH {SCAN_Q} SELECT frame_id, band, ring, az, qdepth - lag(qdepth, 1, 0) OVER (PARTITION BY frame_id, band, ring ORDER BY az) AS d_qdepth FROM q",
-    "q_line_heads_sorted": f"WITH {HEADS} SELECT *, CAST(row_number() OVER (PARTITION BY frame_id, band ORDER BY ring) AS INT) AS rank FROM h",
-    "q_ring_head_deltas": f"WITH {HEADS} SELECT frame_id, band, ring, qdepth - lag(qdepth) OVER (PARTITION BY frame_id, band ORDER BY ring) AS d_qdepth FROM h",
+    "q_line_heads_sorted": f"WITH {HEADS} SELECT frame_id, band, ring, qdepth, CAST(row_number() OVER (PARTITION BY frame_id, band ORDER BY qz, qxy, ring) AS INT) AS rank FROM h",
+    "q_ring_head_deltas": f"WITH {HEADS} SELECT frame_id, band, ring, " + ", ".join(f"{c} - lag({c}) OVER (PARTITION BY frame_id, band ORDER BY qz, qxy, ring) AS d_{c}" for c in ("qxy", "qz", "qdepth")) + " FROM h",
     "q_asof_reference": f"WITH {ASOF} SELECT * FROM l",
     "q_two_sided_reference": f"""WITH {ASOF}, f AS (SELECT p.frame_id, p.band, p.ring, p.az, CASE WHEN b.az - p.az <= 3 THEN b.qdepth END AS f_qdepth FROM q p ASOF LEFT JOIN q b ON b.frame_id = p.frame_id AND b.band = p.band AND b.ring + 1 = p.ring AND b.az >= p.az)
       SELECT frame_id, band, ring, az, CASE WHEN abs(r_qdepth-qdepth) < abs(f_qdepth-qdepth) THEN r_qdepth ELSE f_qdepth END AS ref_qdepth FROM l JOIN f USING (frame_id, band, ring, az) WHERE abs(f_qdepth-r_qdepth) > {int(2.0 / RS)}""",
-    "q_reference_window": f"WITH {HEADS} SELECT frame_id, band, ring, count(*) OVER (PARTITION BY frame_id, band ORDER BY ring RANGE BETWEEN 2 PRECEDING AND CURRENT ROW) - 1 AS \"references\" FROM h",
+    "q_reference_window": f"""WITH {HEADS}, th AS (SELECT frame_id, band, CAST(round(radians(27.4)/64/({RS}/max_depth)) AS INT) AS z_ang_th FROM most)
+      SELECT h.frame_id, h.band, h.ring, count(b.ring) AS "references" FROM h JOIN th USING (frame_id, band)
+      LEFT JOIN h b ON b.frame_id = h.frame_id AND b.band = h.band AND (b.qz, b.qxy, b.ring) < (h.qz, h.qxy, h.ring) AND h.qz - b.qz <= z_ang_th GROUP BY 1, 2, 3""",
     "q_union_paths": f"WITH {EMB_SQL}, d AS (SELECT *, sqrt(x*x+y*y+z*z) AS depth FROM emb) SELECT frame_id, path, count(*) AS n FROM (SELECT frame_id, 'near' AS path FROM d WHERE depth <= 100 UNION ALL SELECT frame_id, 'far' FROM d WHERE depth > 100) GROUP BY 1, 2",
     "q_anti_leftovers": f"WITH {EMB_SQL}, d AS (SELECT *, sqrt(x*x+y*y+z*z) AS depth FROM emb) SELECT frame_id, point_id FROM d WHERE NOT (depth > 0 AND depth <= 50)",
 }
