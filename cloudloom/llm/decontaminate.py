@@ -44,7 +44,6 @@ ITEMS_A_PASS = 4096
 STEP, TOGETHER = 16384, 1 << 15
 #: Pairs of windows and items' rows that are compared at a time, about.
 PAIRS = 1 << 18
-_ROLL = [7, 0, 1, 2, 3, 4, 5, 6]
 _MARKS = string.punctuation.encode()
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -71,16 +70,29 @@ def shingle_hashes(words: list[bytes]) -> np.ndarray:
 def window_fingerprints(hashes: np.ndarray, spans: list[int]) -> Iterator[tuple[int, int, np.ndarray]]:
     """(span, first, fingerprints): SimHash of every run of ``span`` shingles as eight bytes, in pieces of bounded size."""
     longest = max(spans, default=0)
+    # sums of several bits lie side by side in a 64-bit number: their differences are exact while a window's fit their lane
+    lane = np.uint8 if longest < 1 << 8 else np.uint16 if longest < 1 << 16 else np.uint32
     for at in range(0, len(hashes), STEP):
         part = hashes[at : at + STEP + longest - 1]
-        bits = np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        sums = np.zeros((len(part) + 1, 64), np.int16 if longest < 1 << 14 else np.int32)
-        np.cumsum(bits, axis=0, dtype=sums.dtype, out=sums[1:])  # wraps; differences don't
+        bits = np.unpackbits(part.astype(">u8").view(np.uint8))
+        lanes = bits.astype(lane, copy=False).view(np.uint64).reshape(len(part), -1)
+        sums = np.zeros((len(part) + 1, lanes.shape[1]), np.uint64)
+        np.cumsum(lanes, axis=0, out=sums[1:])  # wraps; differences don't
         for span in spans:
             n = min(STEP, len(part) - span + 1)
             if n > 0:
-                ones = sums[span : span + n] - sums[:n]
-                yield span, at, np.packbits(ones > span // 2, axis=1)
+                ones = (sums[span : span + n] - sums[:n]).view(lane)
+                yield span, at, np.packbits((ones > span // 2).ravel()).reshape(-1, 8)
+
+
+def _blocks(fps: np.ndarray) -> np.ndarray:
+    """The 16-bit blocks of fingerprints, a row for each place."""
+    return fps.view(np.uint16).reshape(-1, 64 // BLOCK_BITS).T.astype(np.intp)
+
+
+def _rolled(fps: np.ndarray) -> np.ndarray:
+    """Fingerprints turned by a byte, so that their blocks lie across the borders of the others."""
+    return fps << np.uint64(8) | fps >> np.uint64(56)
 
 
 def window_size(n_words: int) -> int:
@@ -113,17 +125,16 @@ class Index:
         self.spans = sorted(at)
         self.rows = {s: (np.array([f for f, _, _ in x], np.uint64), [(k, first) for _, k, first in x]) for s, x in at.items()}
         self.lists = {s: self._lists(fps) for s, (fps, _) in self.rows.items()}
-        rolled = {s: fps.view(np.uint8).reshape(-1, 8)[:, _ROLL].copy().view(np.uint64).ravel() for s, (fps, _) in self.rows.items()}
-        self.near = {s: (self._tables(fps), self._tables(rolled[s])) for s, (fps, _) in self.rows.items()}
+        self.near = {s: (self._tables(fps), self._tables(_rolled(fps))) for s, (fps, _) in self.rows.items()}
 
     @staticmethod
     def _tables(fps: np.ndarray) -> list[np.ndarray]:
         values = np.arange(1 << BLOCK_BITS, dtype=np.uint16)
         out = []
-        for block in fps.view(np.uint16).reshape(-1, 64 // BLOCK_BITS).T:
+        for block in _blocks(fps):
             nearest = np.full(len(values), BLOCK_BITS, np.uint8)
             for x in np.unique(block):
-                np.minimum(nearest, np.bitwise_count(values ^ x), out=nearest)
+                np.minimum(nearest, np.bitwise_count(values ^ np.uint16(x)), out=nearest)
             out.append(nearest)
         return out
 
@@ -131,8 +142,8 @@ class Index:
     def _lists(fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each block (starts, rows): the rows whose block is within a quarter of the radius of a value, by value."""
         out = []
-        for block in fps.view(np.uint16).reshape(-1, 64 // BLOCK_BITS).T:
-            values = (block[:, None] ^ _BALL).ravel()
+        for block in _blocks(fps):
+            values = (block.astype(np.uint16)[:, None] ^ _BALL).ravel()
             order = np.argsort(values, kind="stable")
             starts = np.searchsorted(values[order], np.arange((1 << BLOCK_BITS) + 1))
             out.append((starts, (order // len(_BALL)).astype(np.int32)))
@@ -141,19 +152,22 @@ class Index:
     @staticmethod
     def _least(tables: list[np.ndarray], fps: np.ndarray) -> np.ndarray:
         """A lower bound of every fingerprint's distance to the nearest item."""
-        blocks = np.ascontiguousarray(fps).view(np.uint16).T.astype(np.intp)
-        return sum(table.take(block) for table, block in zip(tables, blocks, strict=True))
+        return sum(table.take(block, mode="clip") for table, block in zip(tables, _blocks(fps), strict=True))
 
     def within(self, span: int, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, row) of all indexed fingerprints of a class within the radius."""
         first, second = self.near[span]
-        maybe = np.flatnonzero(self._least(first, fps) <= RADIUS)
+        whole = fps.view(np.uint64).ravel()
+        maybe = np.flatnonzero(self._least(first, whole) <= RADIUS)
+        whole = whole.take(maybe)
         # the same test on other blocks: a byte further on
-        maybe = maybe[self._least(second, fps[maybe][:, _ROLL]) <= RADIUS]
+        still = np.flatnonzero(self._least(second, _rolled(whole)) <= RADIUS)
+        maybe, whole = maybe.take(still), whole.take(still)
         rows, found = self.rows[span][0], []
-        blocks, whole = fps[maybe].view(np.uint16).T.astype(np.intp), fps[maybe].view(np.uint64).ravel()
-        first = np.stack([starts[x] for (starts, _), x in zip(self.lists[span], blocks, strict=True)])
-        size = np.stack([starts[x + 1] for (starts, _), x in zip(self.lists[span], blocks, strict=True)]) - first
+        first, size = np.empty((2, 64 // BLOCK_BITS, len(maybe)), np.int64)
+        for k, ((starts, _), x) in enumerate(zip(self.lists[span], _blocks(whole), strict=True)):
+            first[k], size[k] = starts.take(x), starts.take(x + 1)
+        size -= first
         total = np.cumsum(size.sum(0))
         cuts = [0, *(np.searchsorted(total, np.arange(PAIRS, total[-1], PAIRS)) + 1).tolist(), len(maybe)] if len(maybe) else []
         for a, z in pairwise(cuts):
@@ -161,9 +175,9 @@ class Index:
                 n = size[k, a:z]
                 stops = np.cumsum(n)
                 w = np.repeat(np.arange(a, z), n)
-                r = of[np.arange(len(w)) + np.repeat(first[k, a:z] - stops + n, n)]
-                near = np.bitwise_count(whole[w] ^ rows[r]) <= RADIUS
-                found.append(maybe[w[near]] * len(rows) + r[near])
+                r = of.take(np.arange(len(w)) + np.repeat(first[k, a:z] - stops + n, n))
+                near = np.flatnonzero(np.bitwise_count(whole.take(w) ^ rows.take(r)) <= RADIUS)
+                found.append(maybe.take(w.take(near)) * len(rows) + r.take(near))
         both = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
         return both // max(1, len(rows)), both % max(1, len(rows))
 
