@@ -124,6 +124,15 @@ def test_window_fingerprints_match_plain_sums():
         assert got[s, i] == sum(b << k for k, b in enumerate(bits))
 
 
+@pytest.mark.parametrize("span", [255, 256, 70000])
+def test_windows_longer_than_a_lane_of_bits(span):
+    hashes = np.random.default_rng(5).integers(0, 1 << 63, span + 3).astype(np.uint64) | np.uint64(1)
+    ((_, _, fps),) = d.window_fingerprints(hashes, [span])
+    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    for i, fp in enumerate(fps):
+        assert np.array_equal(np.unpackbits(fp), bits[i : i + span].sum(0, dtype=np.int64) > span // 2)
+
+
 def test_rows_passes_and_odd_columns(spark, cases, monkeypatch):
     items, docs = cases
     df = spark.createDataFrame([(i, t, 1, None) for i, t in enumerate(docs)] + [(None, docs[13], 1, None)], "doc_id long, text string, item_id int, similarity string")
