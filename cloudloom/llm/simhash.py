@@ -33,7 +33,7 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloudloom.llm.columns import whole_row
@@ -50,9 +50,9 @@ HALF_FLIPS = np.stack([np.concatenate(([np.uint64(0)], ONE[h : h + 32])) for h i
 HALF_PAIRS = np.stack([np.array([ONE[i] | ONE[k] for i in range(h, h + 32) for k in range(i + 1, h + 32)], np.uint64) for h in (0, 32)])
 LOW32 = np.uint64(0xFFFFFFFF)
 HALF = np.uint64(32)
-#: near_copies: bands of minima and minima a band (a pair at 0.8 misses all bands once in 9000); words of the wide
-#: fingerprint, and differing bits that 0.8 or more can't reach (a mean of 96 at worst, and five deviations).
-BANDS, BAND_ROWS, WIDE, WIDE_BITS = 30, 6, 8, 140
+#: near_copies: bands of minima and minima a band (a pair at 0.8 misses all bands once in 9000); how many times as many
+#: leads each round has.
+BANDS, BAND_ROWS, MORE_LEADS = 30, 6, 4
 _XOR, _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 _FOLD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -242,15 +242,15 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def _text_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rid, cid, bands, wide): the name of a text's set of shingles, its band keys and its SimHash in WIDE words."""
+    """(rid, cid, n, bands): the name and size of a text's set of shingles and its band keys."""
     for b in batches:
-        names, bands, wide = [], [], []
+        names, sizes, bands = [], [], []
         for t in b.column(1):
             cut = shingle_set(t.as_py())
             names.append(xxhash.xxh3_64_intdigest(cut.tobytes()))
-            bands.append(band_keys(cut).view(np.int64).tolist())
-            wide.append(wide_majority(cut).astype(">u8").tobytes())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(wide, pa.binary())], ["rid", "cid", "bands", "wide"])
+            sizes.append(len(cut))
+            bands.append(band_keys(cut).view(np.int64))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["rid", "cid", "n", "bands"])
     give_back()
 
 
@@ -262,16 +262,6 @@ def _text_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
-def wide_majority(hashes: np.ndarray) -> np.ndarray:
-    """SimHash of WIDE words from one hash a shingle, in pieces of bounded size."""
-    ones, step = np.zeros(WIDE * 64, np.int64), 255 * 32
-    for at in range(0, len(hashes), step):
-        bits = np.unpackbits(_mixed(hashes[at : at + step], WIDE).astype(">u8").view(np.uint8), axis=1)
-        for i in range(0, len(bits), 255):
-            ones += bits[i : i + 255].sum(0, dtype=np.uint8)
-    return np.packbits(ones * 2 > len(hashes)).view(">u8").astype(np.uint64)
-
-
 def near_copies(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """``(rid, root)``: rows of ``docs`` by the distinct key ``id_col`` (long), and the smallest key of their group.
 
@@ -281,16 +271,15 @@ def near_copies(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFra
     words are equal to each other. Every row appears, alone in its group if it has no copy.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("rid"), F.col(text_col).cast("string").alias("text"))
-    prints = materialise(rows.mapInArrow(_text_bands, "rid long, cid long, bands array<long>, wide binary"), "bands")
+    prints = materialise(rows.mapInArrow(_text_bands, "rid long, cid long, n long, bands array<long>"), "bands")
     # one class for each set of shingles: copies take part once; classes are named by what
     # they hold, so neither the order nor the placing of rows decides which links are looked at
-    classes = materialise(prints.groupBy("cid").agg(F.min("rid").alias("low"), F.first("bands").alias("bands"), F.first("wide").alias("wide")), "classes")
-    each = classes.select(F.explode("bands").alias("key"), "cid")
-    shared = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    classes = materialise(prints.groupBy("cid").agg(F.min("rid").alias("low"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
+    each = classes.select(F.explode("bands").alias("key"), "cid", "n")
+    shared = each.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
     live = materialise(each.join(shared, "key").withColumn("root", F.col("cid")), "members")
-    wanted = live.select("cid").distinct().join(classes.select("cid", F.col("low").alias("rid"), "wide"), "cid")
-    wanted = materialise(wanted, "wanted")
-    sets = materialise(rows.join(wanted.select("rid", "cid"), "rid").select("cid", "text").mapInArrow(_text_sets, "cid long, cut array<long>").join(wanted.select("cid", "wide"), "cid"), "sets")
+    wanted = live.select("cid").distinct().join(classes.select("cid", F.col("low").alias("rid")), "cid").select("rid", "cid")
+    sets = materialise(rows.join(wanted, "rid").select("cid", "text").mapInArrow(_text_sets, "cid long, cut array<long>"), "sets")
     grouped = classes.join(connected_components(_band_links(live, sets), "a", "b"), F.col("cid") == F.col("node"), "left").withColumn("group", F.coalesce("root", "cid"))
     lows = grouped.groupBy("group").agg(F.min("low").alias("root"))
     labelled = grouped.select("cid", "group").join(lows, "group").select("cid", "root")
@@ -298,11 +287,11 @@ def near_copies(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFra
 
 
 def _band_links(live: DataFrame, sets: DataFrame) -> DataFrame:
-    """``(a, b)`` links that connect all similar pairs of a band, from the bands' members ``(key, cid, root)``.
+    """``(a, b)`` links that connect all similar pairs of a band, from the bands' members ``(key, cid, n, root)`` with sets of ``n``.
 
     Leads of a band are held against its other members; then they leave, links
-    become roots, and what is left under two or more roots gets twice as many
-    leads, until nothing is. So each two members of a band were compared or are
+    become roots, and what is left under two or more roots gets MORE_LEADS times
+    as many leads, until nothing is. So each two members of a band were compared or are
     already in one component: a member that its leads refuse isn't lost.
     """
     links, tested, turn = None, None, 0
@@ -317,7 +306,7 @@ def _band_links(live: DataFrame, sets: DataFrame) -> DataFrame:
         tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
         roots = connected_components(found, "ra", "rb").select(F.col("node").alias("root"), F.col("root").alias("top"))
         rest = live.join(leads.select("key", F.col("lead.cid").alias("cid")), ["key", "cid"], "left_anti").join(roots, "root", "left")
-        rest = materialise(rest.select("key", "cid", F.coalesce("top", "root").alias("root")), "rest")
+        rest = materialise(rest.select("key", "cid", "n", F.coalesce("top", "root").alias("root")), "rest")
         split = rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
         live = materialise(rest.join(split, "key", "left_semi"), "members")
         if live.isEmpty():
@@ -326,26 +315,26 @@ def _band_links(live: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _leads(live: DataFrame, turn: int) -> DataFrame:
-    """Up to ``2 ** turn`` leads of every band's members ``(key, cid, root)``."""
-    dealt = live.withColumn("deal", F.pmod(F.xxhash64("cid", F.lit(turn)), F.lit(1 << turn)))
-    return dealt.groupBy("key", "deal").agg(F.min(F.struct("cid", "root")).alias("lead")).select("key", "lead")
+    """Up to ``MORE_LEADS ** turn`` leads of every band's members ``(key, cid, n, root)``."""
+    dealt = live.withColumn("deal", F.pmod(F.xxhash64("cid", F.lit(turn)), F.lit(MORE_LEADS**turn)))
+    return dealt.groupBy("key", "deal").agg(F.min(F.struct("cid", "n", "root")).alias("lead")).select("key", "lead")
 
 
 def _led(live: DataFrame, leads: DataFrame) -> DataFrame:
-    """Distinct pairs ``(a, b, ra, rb)`` of leads and members of their band under other roots, ``a`` the smaller."""
-    met = live.join(leads, "key").where("root <> lead.root")
-    ends = met.select(F.struct("cid", "root").alias("x"), F.col("lead").alias("y"))
+    """Distinct pairs ``(a, b, ra, rb)`` of leads and members of their band under other roots, ``a`` the smaller.
+
+    Sets whose sizes alone rule out a similarity of 0.8 make no pair.
+    """
+    met = live.join(leads, "key").where("root <> lead.root and least(n, lead.n) * 5 >= greatest(n, lead.n) * 4")
+    ends = met.select(F.struct("cid", "root").alias("x"), F.struct("lead.cid", "lead.root").alias("y"))
     ends = ends.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     return ends.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"), F.col("x.root").alias("ra"), F.col("y.root").alias("rb"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs with a Jaccard similarity of 0.8 or more; those whose wide fingerprints are too far apart aren't looked at closely."""
-    wide = lambda end: sets.select(F.col("cid").alias(end), F.col("wide").alias(f"w{end}"))
-    maybe = pairs.join(wide("a"), "a").join(wide("b"), "b").where(_differing("wa", "wb") <= WIDE_BITS).drop("wa", "wb")
-    maybe = materialise(maybe, "candidates")
+    """The pairs with a Jaccard similarity of 0.8 or more."""
     cut = lambda end: sets.select(F.col("cid").alias(end), F.col("cut").alias(f"c{end}"))
-    both = maybe.join(cut("a"), "a").join(cut("b"), "b").withColumn("both", F.size(F.array_intersect("ca", "cb")))
+    both = pairs.join(cut("a"), "a").join(cut("b"), "b").withColumn("both", F.size(F.array_intersect("ca", "cb")))
     # both / (a + b - both) >= 0.8 in whole numbers
     return materialise(both.where(F.col("both") * 9 >= (F.size("ca") + F.size("cb")) * 4).select("a", "b", "ra", "rb"), "near")
 
@@ -363,15 +352,6 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return rows.join(stay, "rid", "left_semi").select("own.*")
 
 
-def _differing(a: str, b: str) -> Column:
-    """Differing bits of two binary columns of WIDE 64-bit words."""
-    word = lambda c, k: F.conv(F.hex(F.substring(c, 8 * k + 1, 8)), 16, -10).cast("long")
-    total = F.lit(0)
-    for k in range(WIDE):
-        total = total + F.bit_count(word(a, k).bitwiseXOR(word(b, k)))
-    return total
-
-
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole ``documents`` under the 3-word, 3-bit contract."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

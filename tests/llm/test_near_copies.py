@@ -47,8 +47,8 @@ def test_members_that_their_lead_refuses_are_compared_too(spark):
         for k in range(6):
             cut[len(cut)] = list(range(10**4 * chain + 10 * k, 10**4 * chain + 10 * k + 95))
     order = dict(zip(list(cut)[1:], rng.sample(range(1, 31), 30), strict=True)) | {0: 0}
-    live = spark.createDataFrame([(7, order[i], order[i]) for i in cut], "key long, cid long, root long")
-    sets = spark.createDataFrame([(order[i], c, bytearray(64)) for i, c in cut.items()], "cid long, cut array<long>, wide binary")
+    live = spark.createDataFrame([(7, order[i], len(cut[i]), order[i]) for i in cut], "key long, cid long, n long, root long")
+    sets = spark.createDataFrame([(order[i], c) for i, c in cut.items()], "cid long, cut array<long>")
     root = {r.node: r.root for r in connected_components(simhash._band_links(live, sets), "a", "b").collect()}
     groups = [{order[i] for i in range(1 + 6 * chain, 7 + 6 * chain)} for chain in range(5)]
     assert root == {i: min(g) for g in groups for i in g}
