@@ -33,7 +33,7 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cloudloom.llm.columns import whole_row
@@ -289,12 +289,14 @@ def near_copies(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFra
 def _band_links(live: DataFrame, sets: DataFrame) -> DataFrame:
     """``(a, b)`` links that connect all similar pairs of a band, from the bands' members ``(key, cid, n, root)`` with sets of ``n``.
 
-    Leads of a band are held against its other members; then they leave, links
-    become roots, and what is left under two or more roots gets MORE_LEADS times
-    as many leads, until nothing is. So each two members of a band were compared or are
-    already in one component: a member that its leads refuse isn't lost.
+    A lead of a band is held against its other members; then it leaves and links
+    become roots. Members left under two or more roots move from bands to their rare
+    shingles, which any two similar ones share, and so on with MORE_LEADS times as
+    many leads a round, until no key has two roots. So each two similar members of a
+    band were compared or are already in one component: a member that its leads
+    refuse isn't lost, and a passage common to many texts doesn't pair them.
     """
-    links, tested, turn = None, None, 0
+    links, tested, turn, live = None, None, 0, live.withColumn("place", F.lit(1))
     while True:
         leads = materialise(_leads(live, turn), "leads")
         pairs = _led(live, leads)
@@ -306,26 +308,49 @@ def _band_links(live: DataFrame, sets: DataFrame) -> DataFrame:
         tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
         roots = connected_components(found, "ra", "rb").select(F.col("node").alias("root"), F.col("root").alias("top"))
         rest = live.join(leads.select("key", F.col("lead.cid").alias("cid")), ["key", "cid"], "left_anti").join(roots, "root", "left")
-        rest = materialise(rest.select("key", "cid", "n", F.coalesce("top", "root").alias("root")), "rest")
-        split = rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-        live = materialise(rest.join(split, "key", "left_semi"), "members")
+        rest = materialise(rest.select("key", "cid", "n", "place", F.coalesce("top", "root").alias("root")), "rest")
+        live = materialise(_split(rest), "members")
+        if turn == 0:
+            live = materialise(_split(materialise(_under_rare_shingles(live, sets), "rare")), "members")
         if live.isEmpty():
             return links.select("a", "b")
         turn += 1
 
 
+def _split(live: DataFrame) -> DataFrame:
+    """The members of keys that have two or more roots."""
+    split = live.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    return live.join(split, "key", "left_semi")
+
+
+def _under_rare_shingles(live: DataFrame, sets: DataFrame) -> DataFrame:
+    """The members under the ``n div 5 + 1`` rarest shingles of their sets, counted over all of them, in place of their keys,
+    with the places of these.
+
+    Sets that are similar by 0.8 or more have all but a fifth of either in common,
+    so in any one order of the shingles the first fifths and one more must meet.
+    """
+    each = live.select("cid", "n", "root").distinct().join(sets, "cid").select("cid", "n", "root", F.explode("cut").alias("key"))
+    often = each.groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
+    placed = each.join(often, "key", "left").withColumn("place", F.row_number().over(Window.partitionBy("cid").orderBy(F.coalesce("often", F.lit(1)), "key")))
+    return placed.where("place <= n div 5 + 1 and often > 1").select("key", "cid", "n", "place", "root")
+
+
 def _leads(live: DataFrame, turn: int) -> DataFrame:
-    """Up to ``MORE_LEADS ** turn`` leads of every band's members ``(key, cid, n, root)``."""
+    """Up to ``MORE_LEADS ** turn`` leads of every key's members ``(key, cid, n, place, root)``."""
     dealt = live.withColumn("deal", F.pmod(F.xxhash64("cid", F.lit(turn)), F.lit(MORE_LEADS**turn)))
-    return dealt.groupBy("key", "deal").agg(F.min(F.struct("cid", "n", "root")).alias("lead")).select("key", "lead")
+    return dealt.groupBy("key", "deal").agg(F.min(F.struct("cid", "n", "place", "root")).alias("lead")).select("key", "lead")
 
 
 def _led(live: DataFrame, leads: DataFrame) -> DataFrame:
-    """Distinct pairs ``(a, b, ra, rb)`` of leads and members of their band under other roots, ``a`` the smaller.
+    """Distinct pairs ``(a, b, ra, rb)`` of leads and members of their key under other roots, ``a`` the smaller.
 
-    Sets whose sizes alone rule out a similarity of 0.8 make no pair.
+    Sets whose sizes, or what follows their places in the order of shingles, alone
+    rule out a similarity of 0.8 make no pair: it takes 4 / 9 of the two sizes in
+    common, and nothing in common comes before the first shingle at which they meet.
     """
-    met = live.join(leads, "key").where("root <> lead.root and least(n, lead.n) * 5 >= greatest(n, lead.n) * 4")
+    left = "least(n - place, lead.n - lead.place) + 1"
+    met = live.join(leads, "key").where(f"root <> lead.root and least(n, lead.n) * 5 >= greatest(n, lead.n) * 4 and ({left}) * 9 >= (n + lead.n) * 4")
     ends = met.select(F.struct("cid", "root").alias("x"), F.struct("lead.cid", "lead.root").alias("y"))
     ends = ends.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     return ends.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"), F.col("x.root").alias("ra"), F.col("y.root").alias("rb"))

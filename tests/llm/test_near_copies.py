@@ -52,3 +52,23 @@ def test_members_that_their_lead_refuses_are_compared_too(spark):
     root = {r.node: r.root for r in connected_components(simhash._band_links(live, sets), "a", "b").collect()}
     groups = [{order[i] for i in range(1 + 6 * chain, 7 + 6 * chain)} for chain in range(5)]
     assert root == {i: min(g) for g in groups for i in g}
+
+
+def test_similar_sets_meet_at_rare_shingles_and_others_hardly(spark):
+    """Edited versions of a few sets and sets around one common passage: all similar pairs are candidates."""
+    rng, cut = random.Random(6), {}
+    for base in range(5):
+        core = rng.sample(range(10**6), rng.randrange(20, 120))
+        for _ in range(14):
+            kept = [x for x in core if rng.random() > 0.08]
+            cut[len(cut)] = sorted(set(kept + rng.sample(range(10**6), rng.randrange(8))))
+    passage = rng.sample(range(10**6), 60)
+    for _ in range(40):
+        cut[len(cut)] = sorted(set(passage + rng.sample(range(10**6), 40)))
+    live = spark.createDataFrame([(7, i, len(c), i) for i, c in cut.items()], "key long, cid long, n long, root long")
+    sets = spark.createDataFrame([(i, c) for i, c in cut.items()], "cid long, cut array<long>")
+    keyed = simhash._under_rare_shingles(live, sets).cache()
+    pairs = {(r.a, r.b) for r in simhash._led(keyed, simhash._leads(keyed, 12)).collect()}
+    similar = {(i, k) for i in cut for k in cut if i < k and len(set(cut[i]) & set(cut[k])) * 5 >= len(set(cut[i]) | set(cut[k])) * 4}
+    assert len(similar) > 100 and similar <= pairs
+    assert not any(i >= 70 and k >= 70 for i, k in pairs)
