@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cloudloom.llm import bpe, chat, ctw, decontaminate, pii, quality, sharding, simhash, simple8b, unigram
+from cloudloom.llm import audit, bpe, chat, ctw, decontaminate, pii, quality, sharding, simhash, simple8b, unigram
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_context_tree_scores": ctw.op9_context_tree_scores,
         "op10_byte_bpe": bpe.op10_byte_bpe,
+        "op11_filter_audit": audit.op11_filter_audit,
     }
 
 
@@ -26,4 +27,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat_perspectives": chat.SQL,
         "op7_extendible_shards": sharding.SQL,
+        "op11_filter_audit": audit.SQL,
     }
