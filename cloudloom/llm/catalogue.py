@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cloudloom.llm import audit, bpe, chat, ctw, decontaminate, pii, quality, sharding, simhash, simple8b, unigram
+from cloudloom.llm import audit, bpe, chat, ctw, decontaminate, exact, pii, quality, sharding, simhash, simple8b, unigram
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op9_context_tree_scores": ctw.op9_context_tree_scores,
         "op10_byte_bpe": bpe.op10_byte_bpe,
         "op11_filter_audit": audit.op11_filter_audit,
+        "op12_exact_dedup": exact.op12_exact_dedup,
     }
 
 
@@ -28,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_chat_perspectives": chat.SQL,
         "op7_extendible_shards": sharding.SQL,
         "op11_filter_audit": audit.SQL,
+        "op12_exact_dedup": exact.SQL,
     }
