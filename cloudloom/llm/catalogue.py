@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cloudloom.llm import audit, bpe, chat, ctw, decontaminate, exact, pii, quality, sharding, simhash, simple8b, unigram
+from cloudloom.llm import audit, bpe, chat, ctw, decontaminate, exact, lexical, pii, quality, sharding, simhash, simple8b, unigram
 
 
 def queries() -> dict:
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op10_byte_bpe": bpe.op10_byte_bpe,
         "op11_filter_audit": audit.op11_filter_audit,
         "op12_exact_dedup": exact.op12_exact_dedup,
+        "op13_lexical_search": lexical.op13_lexical_search,
     }
 
 
@@ -30,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_extendible_shards": sharding.SQL,
         "op11_filter_audit": audit.SQL,
         "op12_exact_dedup": exact.SQL,
+        "op13_lexical_search": lexical.SQL,
     }
