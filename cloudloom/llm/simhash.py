@@ -26,6 +26,7 @@ similarity.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 from itertools import product
@@ -36,11 +37,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cloudloom.llm.columns import whole_row
+from cloudloom.llm.columns import quoted, whole_row
 from cloudloom.llm.memory import give_back
 from cloudloom.llm.words import bit_majority, lower_words, shingles
 from cloudloom.operators.components import connected_components
-from cloudloom.workspace import materialise, partitions_for
+from cloudloom.workspace import materialise, partitions_for, release, superseded
 
 SEED = 42
 #: Rows sent for a fingerprint on average, rows a task takes in, variants it unfolds at a time.
@@ -83,7 +84,7 @@ def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_co
             fps = np.array([text_fingerprint(t.as_py(), size) for t in b.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, fp long")
 
 
@@ -270,20 +271,22 @@ def near_copies(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFra
     one of BANDS bands. Texts with equal sets of shingles always link; texts without
     words are equal to each other. Every row appears, alone in its group if it has no copy.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("rid"), F.col(text_col).cast("string").alias("text"))
-    prints = materialise(rows.mapInArrow(_text_bands, "rid long, cid long, n long, bands array<long>"), "bands")
-    # one class for each set of shingles: copies take part once; classes are named by what
-    # they hold, so neither the order nor the placing of rows decides which links are looked at
-    classes = materialise(prints.groupBy("cid").agg(F.min("rid").alias("low"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
-    each = classes.select(F.explode("bands").alias("key"), "cid", "n")
-    shared = each.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
-    live = materialise(each.join(shared, "key").withColumn("root", F.col("cid")), "members")
-    wanted = live.select("cid").distinct().join(classes.select("cid", F.col("low").alias("rid")), "cid").select("rid", "cid")
-    sets = materialise(rows.join(wanted, "rid").select("cid", "text").mapInArrow(_text_sets, "cid long, cut array<long>"), "sets")
-    grouped = classes.join(connected_components(_band_links(live, sets), "a", "b"), F.col("cid") == F.col("node"), "left").withColumn("group", F.coalesce("root", "cid"))
-    lows = grouped.groupBy("group").agg(F.min("low").alias("root"))
-    labelled = grouped.select("cid", "group").join(lows, "group").select("cid", "root")
-    return prints.select("rid", "cid").join(labelled, "cid").select("rid", "root")
+    rows = docs.select(quoted(id_col).cast("long").alias("rid"), quoted(text_col).cast("string").alias("text"))
+    with superseded() as keep:
+        prints = materialise(rows.mapInArrow(_text_bands, "rid long, cid long, n long, bands array<long>"), "bands")
+        # one class for each set of shingles: copies take part once; classes are named by what
+        # they hold, so neither the order nor the placing of rows decides which links are looked at
+        classes = materialise(prints.groupBy("cid").agg(F.min("rid").alias("low"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
+        each = classes.select(F.explode("bands").alias("key"), "cid", "n")
+        shared = each.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
+        live = materialise(each.join(shared, "key").withColumn("root", F.col("cid")), "members")
+        wanted = live.select("cid").distinct().join(classes.select("cid", F.col("low").alias("rid")), "cid").select("rid", "cid")
+        sets = materialise(rows.join(wanted, "rid").select("cid", "text").mapInArrow(_text_sets, "cid long, cut array<long>"), "sets")
+        grouped = classes.join(connected_components(_band_links(live, sets), "a", "b"), F.col("cid") == F.col("node"), "left").withColumn("group", F.coalesce("root", "cid"))
+        lows = grouped.groupBy("group").agg(F.min("low").alias("root"))
+        labelled = grouped.select("cid", "group").join(lows, "group").select("cid", "root")
+        keep.append(materialise(prints.select("rid", "cid").join(labelled, "cid").select("rid", "root"), "groups"))
+    return keep[0]
 
 
 def _band_links(live: DataFrame, sets: DataFrame) -> DataFrame:
@@ -296,7 +299,7 @@ def _band_links(live: DataFrame, sets: DataFrame) -> DataFrame:
     band were compared or are already in one component: a member that its leads
     refuse isn't lost, and a passage common to many texts doesn't pair them.
     """
-    links, tested, turn, live = None, None, 0, live.withColumn("place", F.lit(1))
+    links, tested, turn, live = None, None, 0, live.withColumn("place", F.lit(1)).withColumn("short", F.lit(True))
     while True:
         leads = materialise(_leads(live, turn), "leads")
         pairs = _led(live, leads)
@@ -308,50 +311,62 @@ def _band_links(live: DataFrame, sets: DataFrame) -> DataFrame:
         tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
         roots = connected_components(found, "ra", "rb").select(F.col("node").alias("root"), F.col("root").alias("top"))
         rest = live.join(leads.select("key", F.col("lead.cid").alias("cid")), ["key", "cid"], "left_anti").join(roots, "root", "left")
-        rest = materialise(rest.select("key", "cid", "n", "place", F.coalesce("top", "root").alias("root")), "rest")
-        live = materialise(_split(rest), "members")
+        rest = materialise(rest.select("key", "cid", "n", "place", "short", F.coalesce("top", "root").alias("root")), "rest")
+        before, live = live, materialise(_split(rest), "members")
         if turn == 0:
-            live = materialise(_split(materialise(_under_rare_shingles(live, sets), "rare")), "members")
+            rare = materialise(_under_rare_shingles(live, sets), "rare")
+            release(live)
+            live = materialise(_split(rare), "members")
+            release(rare)
+        release(before, leads, rest)
         if live.isEmpty():
             return links.select("a", "b")
         turn += 1
 
 
 def _split(live: DataFrame) -> DataFrame:
-    """The members of keys that have two or more roots."""
-    split = live.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    """The members of keys that have two or more roots, and a short member."""
+    split = live.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("short").alias("some")).where("low < high and some").select("key")
     return live.join(split, "key", "left_semi")
 
 
 def _under_rare_shingles(live: DataFrame, sets: DataFrame) -> DataFrame:
-    """The members under the ``n div 5 + 1`` rarest shingles of their sets, counted over all of them, in place of their keys,
-    with the places of these.
+    """The members under the ``n div 5 + 1`` rarest shingles of their sets, counted over all of them, in place of their keys.
 
-    Sets that are similar by 0.8 or more have all but a fifth of either in common,
-    so in any one order of the shingles the first fifths and one more must meet.
+    ``place`` is a shingle's place in its set, ``short`` whether that is among the first
+    ``n div 9 + 1``. Two sets similar by 0.8 or more share 4 / 9 of their sizes: 8 / 9 of the
+    smaller one and 4 / 5 of the larger. So in any one order of the shingles they meet at a
+    short place of the smaller set and at one of these places of the larger. A key also
+    says which of two neighbouring classes of sizes it is for, as sizes differ by a quarter at most.
     """
     each = live.select("cid", "n", "root").distinct().join(sets, "cid").select("cid", "n", "root", F.explode("cut").alias("key"))
     often = each.groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
     placed = each.join(often, "key", "left").withColumn("place", F.row_number().over(Window.partitionBy("cid").orderBy(F.coalesce("often", F.lit(1)), "key")))
-    return placed.where("place <= n div 5 + 1 and often > 1").select("key", "cid", "n", "place", "root")
+    kept = placed.where("place <= n div 5 + 1 and often > 1").withColumn("size", F.floor(F.log(F.col("n")) / math.log(1.25)))
+    classed = F.explode(F.array(F.xxhash64("key", "size"), F.xxhash64("key", F.col("size") + 1)))
+    return kept.select(classed.alias("key"), "cid", "n", "place", F.expr("place <= n div 9 + 1").alias("short"), "root")
 
 
 def _leads(live: DataFrame, turn: int) -> DataFrame:
-    """Up to ``MORE_LEADS ** turn`` leads of every key's members ``(key, cid, n, place, root)``."""
+    """Up to ``MORE_LEADS ** turn`` leads of every key's members ``(key, cid, n, place, short, root)``."""
     dealt = live.withColumn("deal", F.pmod(F.xxhash64("cid", F.lit(turn)), F.lit(MORE_LEADS**turn)))
-    return dealt.groupBy("key", "deal").agg(F.min(F.struct("cid", "n", "place", "root")).alias("lead")).select("key", "lead")
+    return dealt.groupBy("key", "deal").agg(F.min(F.struct("cid", "n", "place", "short", "root")).alias("lead")).select("key", "lead")
 
 
 def _led(live: DataFrame, leads: DataFrame) -> DataFrame:
     """Distinct pairs ``(a, b, ra, rb)`` of leads and members of their key under other roots, ``a`` the smaller.
 
+    Short members meet leads that are no smaller, and short leads meet larger
+    members, so members that fill a key's later places only never meet each other.
     Sets whose sizes, or what follows their places in the order of shingles, alone
     rule out a similarity of 0.8 make no pair: it takes 4 / 9 of the two sizes in
     common, and nothing in common comes before the first shingle at which they meet.
     """
     left = "least(n - place, lead.n - lead.place) + 1"
-    met = live.join(leads, "key").where(f"root <> lead.root and least(n, lead.n) * 5 >= greatest(n, lead.n) * 4 and ({left}) * 9 >= (n + lead.n) * 4")
-    ends = met.select(F.struct("cid", "root").alias("x"), F.struct("lead.cid", "lead.root").alias("y"))
+    bound = f"root <> lead.root and least(n, lead.n) * 5 >= greatest(n, lead.n) * 4 and ({left}) * 9 >= (n + lead.n) * 4"
+    small = live.where("short").join(leads, "key").where(f"n <= lead.n and {bound}")
+    large = live.join(leads.where("lead.short"), "key").where(f"n > lead.n and {bound}")
+    ends = small.union(large.select(small.columns)).select(F.struct("cid", "root").alias("x"), F.struct("lead.cid", "lead.root").alias("y"))
     ends = ends.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     return ends.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"), F.col("x.root").alias("ra"), F.col("y.root").alias("rb"))
 

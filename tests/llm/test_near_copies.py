@@ -72,3 +72,20 @@ def test_similar_sets_meet_at_rare_shingles_and_others_hardly(spark):
     similar = {(i, k) for i in cut for k in cut if i < k and len(set(cut[i]) & set(cut[k])) * 5 >= len(set(cut[i]) | set(cut[k])) * 4}
     assert len(similar) > 100 and similar <= pairs
     assert not any(i >= 70 and k >= 70 for i, k in pairs)
+
+
+def test_texts_of_one_template_meet_nowhere(spark):
+    """A template with a passage of one's own in it, at a similarity of about 0.7: the joins' rows grow with the texts, not with their pairs."""
+    rng = random.Random(3)
+    base, counts = words(rng, 160), []
+    for n in (60, 120):
+        cut = {}
+        for i in range(n):
+            at = rng.randrange(20, 110)
+            w = base[:at] + [f"own{i}x{k}" for k in range(22)] + base[at + 22 :]
+            cut[i] = simhash.shingle_set(" ".join(w)).view("int64").tolist()
+        live = spark.createDataFrame([(7, i, len(c), i) for i, c in cut.items()], "key long, cid long, n long, root long")
+        sets = spark.createDataFrame([(i, c) for i, c in cut.items()], "cid long, cut array<long>")
+        keyed = simhash._split(simhash._under_rare_shingles(live, sets))
+        counts.append(keyed.where("short").join(keyed.select("key", "cid").withColumnRenamed("cid", "other"), "key").count())
+    assert counts[1] <= 3 * counts[0] + 50
