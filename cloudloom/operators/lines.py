@@ -5,22 +5,19 @@ from __future__ import annotations
 from collections import defaultdict
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloudloom import schema as S
 
-LINE_POINTS = "frame_id long, band int, line_id int, pos int, point_id long, xy_ang double, z_ang double, depth double"
-
-
 def grow_lines(xy: np.ndarray, z: np.ndarray, rho: np.ndarray, max_dis: float = S.MAX_DIS, least: int = S.LEAST_LINE) -> list[list[int]]:
     """Greedy lines over one frame's points of a band, in input order.
 
     A seed grows to the right and then to the left by its nearest unused point
     in that direction, as long as one is nearer than ``max_dis``. Candidates lie
     in the azimuth cells up to ``max_dis`` ahead and in the point's own and the
-    nearer neighbouring elevation row; angles don't wrap. Lines of fewer than
+    nearer neighbouring elevation row; of points of one azimuth later ones lie to the
+    right; angles don't wrap. Lines of fewer than
     ``least`` points give theirs back.
     """
     cells: dict[tuple[int, int], list[int]] = defaultdict(list)
@@ -35,9 +32,9 @@ def grow_lines(xy: np.ndarray, z: np.ndarray, rho: np.ndarray, max_dis: float =
         rows = sorted((int(cz[i]), int(cz[i] + nearer[i])))
         near = [k for a in sorted((int(cx[i]), int(cx[i]) + sign)) for b in rows for k in cells.get((a, b), ())]
         ids = np.array(near, int)
-        ids = ids[~used[ids]]
+        ids = np.sort(ids[~used[ids]])  # the first of equally near ones
         dx, dz, dd = xy[ids] - xy[i], z[ids] - z[i], rho[ids] - rho[i]
-        ahead = (dx >= 0 if sign > 0 else dx < 0) & (np.abs(dx) <= max_dis) & (np.abs(dz) <= S.PHI_FACTOR * max_dis)
+        ahead = ((dx > 0) | (dx == 0) & (ids > i) if sign > 0 else dx < 0) & (np.abs(dx) <= max_dis) & (np.abs(dz) <= S.PHI_FACTOR * max_dis)
         d = np.sqrt(dx * dx + (dz * S.PHI_FACTOR) ** 2 + (dd * S.DEPTH_FACTOR) ** 2)
         d[~ahead] = np.inf
         best = int(np.argmin(d)) if len(d) else -1
@@ -63,31 +60,6 @@ def grow_lines(xy: np.ndarray, z: np.ndarray, rho: np.ndarray, max_dis: float =
     return lines
 
 
-def find_lines(spoints: DataFrame) -> DataFrame:
-    """Lines of every frame, band after band: what one band leaves is tried again with the next.
-
-    ``spoints`` has frame_id, point_id, band, xy_ang, z_ang and depth. A frame is one
-    sweep of the sensor, so its size is bounded by the sensor. Gives LINE_POINTS;
-    points without a line appear with band -1.
-    """
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        out, rest = [], frame.iloc[:0]
-        frame = frame.sort_values("point_id", kind="stable")
-        for b in range(len(S.BANDS) - 1):
-            points = pd.concat([frame[frame.band == b], rest], ignore_index=True)
-            taken = np.zeros(len(points), bool)
-            for k, line in enumerate(grow_lines(*(points[c].to_numpy(float) for c in ("xy_ang", "z_ang", "depth")))):
-                taken[line] = True
-                out.append(points.iloc[line].assign(band=b, line_id=k, pos=range(len(line))))
-            rest = points[~taken]
-        out.append(rest.assign(band=-1, line_id=-1, pos=range(len(rest))))
-        return pd.concat(out)[["frame_id", "band", "line_id", "pos", "point_id", "xy_ang", "z_ang", "depth"]]
-
-    columns = spoints.select("frame_id", "point_id", F.col("band").cast("int"), *[F.col(c).cast("double") for c in ("xy_ang", "z_ang", "depth")])
-    return columns.groupBy("frame_id").applyInPandas(one, LINE_POINTS)
-
-
 def deltas(points: DataFrame, line: list[str], order: str, columns: list[str]) -> DataFrame:
     """Each column less the point before on the line; a line's first point keeps its values."""
     by = Window.partitionBy(*line).orderBy(order)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cloudloom import schema as S
 from cloudloom.functions import geometry as G
-from cloudloom.operators import lines
+from cloudloom.operators import polylines
 from cloudloom.plans import compress as C
 from cloudloom.plans.clouds import RS, spherical_scan
 from cloudloom.sources import points as P
@@ -18,14 +18,14 @@ OPTIONS = S.CompressOptions(RS, rate=0.05)
 
 def q_polylines(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of the sweep: points and extent of each."""
-    found = lines.find_lines(spherical_scan(spark, sf)).where("line_id >= 0")
+    found = polylines.find_lines(spherical_scan(spark, sf)).where("line_id >= 0")
     return found.groupBy("frame_id", "band", "line_id").agg(F.count("*").alias("points"), F.round(F.min("xy_ang"), 6).alias("first"), F.round(F.max("xy_ang"), 6).alias("last"))
 
 
 def q_polyline_outliers(spark: SparkSession, sf: str) -> DataFrame:
     """Points that no line took, by anti join with those of lines."""
     s = spherical_scan(spark, sf)
-    taken = lines.find_lines(s).where("line_id >= 0").select("frame_id", "point_id")
+    taken = polylines.find_lines(s).where("line_id >= 0").select("frame_id", "point_id")
     return s.select("frame_id", "point_id").join(taken, ["frame_id", "point_id"], "left_anti")
 
 

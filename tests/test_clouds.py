@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from cloudloom import schema as S
 from cloudloom.functions import geometry as G
-from cloudloom.operators import components, density, lines, neighbours, trees
+from cloudloom.operators import components, density, lines, neighbours, polylines, trees
 from cloudloom.plans import compress as C
 from pyspark.sql import functions as F
 
@@ -95,7 +95,7 @@ def test_leftovers_are_tried_in_the_next_band(spark):
     near = [(0, i, 0, 1.0 + 0.003 * i, 0.0, 24.0) for i in range(4)]
     far = [(0, 10 + i, 1, 1.0 + 0.003 * (i + 4), 0.0, 26.0) for i in range(4)]
     df = spark.createDataFrame(near + far + [(0, 99, 2, 3.0, 0.0, 70.0)], "frame_id long, point_id long, band int, xy_ang double, z_ang double, depth double")
-    got = lines.find_lines(df).collect()
+    got = polylines.find_lines(df).collect()
     assert {(r.point_id, r.band) for r in got if r.line_id >= 0} == {(r[1], 1) for r in near + far}
     assert [r.point_id for r in got if r.line_id < 0] == [99]
 
