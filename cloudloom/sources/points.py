@@ -1,26 +1,17 @@
 """Readers and writers of point clouds.
 
 A file is a frame; frames are numbered by the rank of their file's name, points
-by their place in the file. Everything goes through Spark's readers and writers,
-so any store works and a lost task leaves no half file behind.
+by their place in the file. ``.bin`` files have a data source of their own
+(``records``), all else goes through Spark's readers and writers.
 """
 
 from __future__ import annotations
 
-import os
-import uuid
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cloudloom import schema as S
-
-RECORD = {16: ("x", "y", "z", "intensity"), 12: ("x", "y", "z")}
+from cloudloom.sources.records import read_records, write_frames
+from cloudloom.workspace import materialise
 
 
 def frame_numbers(files: DataFrame, path: str = "path") -> DataFrame:
@@ -31,38 +22,32 @@ def frame_numbers(files: DataFrame, path: str = "path") -> DataFrame:
 
 def read_bin(spark: SparkSession, path: str, stride: int = 16) -> DataFrame:
     """Points of headerless little-endian float records; 16 bytes have an intensity, trailing bytes are ignored."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(path)
-    numbered = files.select("path", "content").join(frame_numbers(files.select("path")), "path")
-    return parse_bin(numbered.select("frame_id", "content"), stride)
-
+    return read_records(spark, path, stride)
 
-def parse_bin(frames: DataFrame, stride: int = 16) -> DataFrame:
-    """``(frame_id, content)`` rows as points; works on streams too."""
-    names = RECORD[stride]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for frame, content in b.itertuples(index=False):
-                n = len(content) // stride
-                v = np.frombuffer(content, "<f4", n * len(names)).reshape(n, len(names))
-                for at in range(0, n, 100_000):
-                    part = v[at : at + 100_000]
-                    yield pd.DataFrame({"frame_id": frame, "point_id": np.arange(at, at + len(part)), **{c: part[:, i] for i, c in enumerate(names)}})
+def numbered_lines(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
+    """``(file, line_no, line)``: all lines of text files, numbered from 0 in each file, however many tasks read it.
 
-    return frames.mapInPandas(run, S.POINTS + ", intensity float" * (stride == 16))
+    A line's number is its place in its block of the file and the lines of the blocks before.
+    """
+    text = spark.read.option("pathGlobFilter", glob).text(path)
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    rows = materialise(text.select(*place, F.monotonically_increasing_id().alias("at"), F.col("value").alias("line")), "lines")  # numbers of one reading
+    blocks = rows.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")
+    starts = blocks.select("file", "block", (before - F.col("first")).alias("shift"))
+    return rows.join(starts, ["file", "block"]).select("file", (F.col("at") + F.col("shift")).alias("line_no"), "line")
 
 
 def read_txt(spark: SparkSession, path: str) -> DataFrame:
     """Points of ``x y z intensity`` lines; a file ends at its first line that isn't numbers."""
-    text = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
-    numbered = text.select("path", "content").join(frame_numbers(text.select("path")), "path")
-    rows = numbered.select("frame_id", F.posexplode(F.split(F.decode("content", "UTF-8"), "\r?\n")).alias("point_id", "line")).where("trim(line) <> ''")
+    lines = numbered_lines(spark, path)
     parts = F.split(F.trim("line"), "\\s+")
     value = lambda i: F.expr(f"try_cast(get(p, {i}) as float)")
-    rows = rows.withColumn("p", parts).select("frame_id", F.col("point_id").cast("long"), *[value(i).alias(c) for i, c in enumerate(("x", "y", "z", "intensity"))])
-    bad = rows.where("x is null or y is null or z is null").groupBy("frame_id").agg(F.min("point_id").alias("stop"))
-    kept = rows.join(bad, "frame_id", "left").where("stop is null or point_id < stop").drop("stop")
-    return kept
+    rows = lines.where("trim(line) <> ''").withColumn("p", parts).select("file", F.col("line_no").alias("point_id"), *[value(i).alias(c) for i, c in enumerate(("x", "y", "z", "intensity"))])
+    bad = rows.where("x is null or y is null or z is null").groupBy("file").agg(F.min("point_id").alias("stop"))
+    kept = rows.join(bad, "file", "left").where("stop is null or point_id < stop").drop("stop")
+    return kept.join(frame_numbers(lines, "file"), "file").select("frame_id", "point_id", "x", "y", "z", "intensity")
 
 
 def read_points(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
@@ -102,11 +87,11 @@ def ply_lines(points: DataFrame) -> DataFrame:
 
 
 def write_points(points: DataFrame, path: str, fmt: str = "bin", stride: int = 16) -> None:
-    """Write ``<frame_id>.bin`` files for ``bin``, or a folder for each frame (``frame_id=<n>``): text or PLY lines in order, or Parquet rows."""
+    """Write ``<frame_id>.bin`` files for ``bin``, in place of all that were there, or a folder for each frame (``frame_id=<n>``): text or PLY lines in order, or Parquet rows."""
     if fmt == "parquet":
         points.write.partitionBy("frame_id").parquet(path)
     elif fmt == "bin":
-        export_bin(bin_frames(points, stride), path)
+        write_frames(points, path, stride)
     elif fmt in ("txt", "ply"):
         lines = points.select("frame_id", F.col("point_id").alias("line_no"), txt_lines(points).alias("line")) if fmt == "txt" else ply_lines(points)
         ordered = lines.repartition("frame_id").sortWithinPartitions("frame_id", "line_no")
@@ -115,43 +100,6 @@ def write_points(points: DataFrame, path: str, fmt: str = "bin", stride: int = 1
         raise ValueError(f"unknown point format: {fmt}")
 
 
-def bin_frames(points: DataFrame, stride: int = 16) -> DataFrame:
-    """``(frame_id, content)``: each frame's records; a frame is one sweep, so its size is bounded by the sensor."""
-    names = RECORD[stride]
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("point_id", kind="stable")
-        v = np.zeros((len(pdf), len(names)), "<f4")
-        for i, c in enumerate(names):
-            v[:, i] = pdf[c] if c in pdf else 0
-        return pd.DataFrame({"frame_id": [pdf.frame_id.iloc[0]], "content": [v.tobytes()]})
-
-    return points.groupBy("frame_id").applyInPandas(one, "frame_id long, content binary")
-
-
-def export_bin(frames: DataFrame, path: str) -> None:
-    """One ``<frame_id>.bin`` file for each (frame_id, content) row, written by the executors.
-
-    A file is written under a name of its own and then moved into place, so a task
-    that runs twice or is lost leaves no half file under the final name. ``path``
-    is a folder that driver and executors share, as a path or a URI.
-    """
-    place = path if "://" in path else "file://" + os.path.abspath(path.removeprefix("file:"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, folder = pafs.FileSystem.from_uri(place)
-        fs.create_dir(folder)
-        for b in batches:
-            for frame, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                part = f"{folder}/.{frame}.{uuid.uuid4().hex}"
-                with fs.open_output_stream(part) as out:
-                    out.write(content.as_buffer())
-                fs.move(part, f"{folder}/{frame}.bin")
-            yield b.select([0])
-
-    frames.select("frame_id", "content").mapInArrow(run, "frame_id long").write.format("noop").mode("overwrite").save()
-
-
 def blob_rows(blobs: DataFrame) -> DataFrame:
     """``(id, hex)``: blobs as lower-case hex, as a database's byte literal takes them."""
     return blobs.select(F.col("frame_id").alias("id"), F.lower(F.hex("blob")).alias("hex"))

@@ -1,40 +1,38 @@
 """Frames that arrive as files: compress, store and decompress them as a stream.
 
 The landing folder takes the place of a socket: a sender drops whole files, the
-file source picks each up once, and the checkpoint gives each an effect once.
+source admits each once, and the checkpoint gives each an effect once.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from cloudloom import schema as S
 from cloudloom.plans import compress as C
-from cloudloom.sources.points import parse_bin, point_rows
+from cloudloom.sources.points import point_rows
+from cloudloom.sources.records import place, register
 
-FILES = "path string, modificationTime timestamp, length long, content binary"
 
+def landing(spark: SparkSession, folder: str, numbers: str = "name", bytes_a_batch: int | None = None, stride: int = 16) -> DataFrame:
+    """A stream of the points of every file of a folder, however long; frames are numbered by ``name`` or by ``arrival``.
 
-def landing(spark: SparkSession, folder: str, glob: str = "*.bin", per_batch: int = 64) -> DataFrame:
-    """A stream of ``(frame_id, content)``: every file of a folder, however long; a name's digits are the frame's number.
-
-    A file is one row, which Spark holds up to 2 GB; a longer one fails the batch instead of being left out.
+    A name that isn't a number is a frame by its path's hash, so different files are different frames.
     """
-    files = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", glob).option("maxFilesPerTrigger", per_batch).load(folder)
-    number = F.regexp_extract("path", r"([0-9]+)[^/0-9]*$", 1)
-    frame = F.when(number != "", number.cast("long")).otherwise(F.xxhash64("path"))
-    return files.select(frame.alias("frame_id"), "content")
+    stream = register(spark).readStream.format("point_records").option("numbers", numbers).option("stride", stride)
+    return (stream.option("bytes_a_batch", bytes_a_batch) if bytes_a_batch else stream).load(place(folder))
 
 
-def compress_stream(spark: SparkSession, folder: str, out: str, checkpoint: str, options: S.CompressOptions = S.CompressOptions(), trigger: dict | None = None) -> StreamingQuery:
+def compress_stream(
+    spark: SparkSession, folder: str, out: str, checkpoint: str, options: S.CompressOptions = S.CompressOptions(), trigger: dict | None = None, numbers: str = "name", bytes_a_batch: int | None = None
+) -> StreamingQuery:
     """Compress every file of ``folder`` into blob rows (Parquet, one folder a batch, so a repeated batch replaces itself)."""
 
-    def batch(frames: DataFrame, number: int) -> None:
-        C.compress(parse_bin(frames), options).write.mode("overwrite").parquet(f"{out}/batch={number}")
+    def batch(points: DataFrame, number: int) -> None:
+        C.compress(points, options).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    return landing(spark, folder).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    return landing(spark, folder, numbers, bytes_a_batch).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def store_stream(spark: SparkSession, blobs: str, out: str, checkpoint: str, compressed: bool = False, trigger: dict | None = None) -> StreamingQuery:

@@ -33,7 +33,7 @@ def test_txt_files_end_at_the_first_bad_line(spark, tmp_path):
 @pytest.mark.parametrize("stride", [12, 16])
 def test_bin_round_trip(spark, tmp_path, stride):
     points = P.read_bin(spark, write_bins(tmp_path / "in"))
-    P.export_bin(P.bin_frames(points, stride), f"file://{tmp_path}/out")
+    P.write_points(points, f"file://{tmp_path}/out", "bin", stride)
     assert len(glob.glob(f"{tmp_path}/out/*.bin")) == 2
     back = P.read_bin(spark, f"{tmp_path}/out", stride)
     key = lambda df: sorted((r.frame_id, r.point_id, r.x, r.y, r.z) for r in df.collect())
@@ -77,9 +77,26 @@ def test_long_files_arrive_too(spark, tmp_path):
     with open(tmp_path / "land" / "5.bin", "wb") as f:
         f.truncate((65 << 20) + 32)
     (tmp_path / "land" / "6.bin").write_bytes(bytes(24))
-    seen = frames.landing(spark, f"{tmp_path}/land").select("frame_id", F.octet_length("content").alias("n"))
-    seen.writeStream.format("memory").queryName("landed").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
-    assert {r.frame_id: r.n for r in spark.table("landed").collect()} == {5: (65 << 20) + 32, 6: 24}
+    seen = frames.landing(spark, f"{tmp_path}/land").groupBy("frame_id").agg(F.count("*").alias("n"))
+    seen.writeStream.format("memory").queryName("landed").outputMode("complete").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    assert {r.frame_id: r.n for r in spark.table("landed").collect()} == {5: (65 << 16) + 2, 6: 1}
+
+
+def test_text_of_several_blocks(spark, tmp_path):
+    """Files longer than a task's share: numbers go on from block to block, and a bad line in a later block ends the file."""
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.txt").write_text("".join(f"{i} 2 3 0\n" if i % 50 else f"\r\n{i} 2 3 0\n" for i in range(1, 4001)))
+    (tmp_path / "t" / "b.txt").write_text("".join("end\n" if i == 2500 else f"{i} 2 3 0\n" for i in range(4000)))
+    keep = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        assert P.numbered_lines(spark, f"{tmp_path}/t").groupBy("file").agg(F.count_distinct("line_no").alias("n"), F.max("line_no").alias("m")).where("n = m + 1").count() == 2
+        got = P.read_txt(spark, f"{tmp_path}/t").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", keep)
+    one = sorted((r.point_id, r.x) for r in got if r.frame_id == 0)
+    assert [x for _, x in one] == list(range(1, 4001)) and all(p == x - 1 + x // 50 for p, x in one)
+    assert sorted((r.point_id, r.x) for r in got if r.frame_id == 1) == [(i, float(i)) for i in range(2500)]
 
 
 def test_bin_files_are_written_by_tasks(spark, tmp_path):
