@@ -66,6 +66,12 @@ def quantised_spherical(resolution: float, max_depth: Column) -> list[Column]:
     return [F.round(F.col("xy_ang") / step).cast("int").alias("qxy"), F.round(F.col("z_ang") / step).cast("int").alias("qz"), F.round(F.col("depth") / resolution).cast("int").alias("qdepth")]
 
 
+def dequantised_spherical(resolution: float, max_depth: Column) -> list[Column]:
+    """xy_ang, z_ang and depth again, from their steps."""
+    step = F.lit(resolution) / max_depth
+    return [(F.col("qxy") * step).alias("xy_ang"), (F.col("qz") * step).alias("z_ang"), (F.col("qdepth") * resolution).alias("depth")]
+
+
 def line_thresholds(resolution: float, max_depth: Column) -> list[Column]:
     """Steps between neighbouring points and lines of the sensor, and the depth difference that asks for a reference."""
     step = F.lit(resolution) / max_depth
@@ -83,8 +89,14 @@ def cell(c: Column | str, size: float) -> Column:
     return F.floor(col(c).cast("double") / size).cast("long")
 
 
-def morton(axes: list[str], bits: int = 21) -> str:
-    """SQL that interleaves non-negative cell numbers, the first axis most significant."""
-    n = len(axes)
-    terms = " | ".join(f"shiftleft(shiftright({a}, i) & 1L, {n} * i + {n - 1 - k})" for k, a in enumerate(axes))
-    return f"aggregate(sequence(0, {bits - 1}), 0L, (m, i) -> m | {terms})"
+def morton(axes: list[str]) -> str:
+    """SQL that interleaves non-negative cell numbers, the first axis most significant; it fails on numbers that don't fit 63 bits together."""
+    n, bits = len(axes), 63 // len(axes)
+    terms = " | ".join(f"shiftleft(shiftright({a}, bit_) & 1L, {n} * bit_ + {n - 1 - k})" for k, a in enumerate(axes))
+    fit = " and ".join(f"shiftright({a}, {bits}) = 0" for a in axes)
+    return f"if({fit}, aggregate(sequence(0, {bits - 1}), 0L, (code_, bit_) -> code_ | {terms}), raise_error('cell numbers of over {bits} bits'))"
+
+
+def unmorton(code: str, axes: int) -> list[Column]:
+    """The cell numbers of a code, the most significant axis first."""
+    return [F.expr(f"aggregate(sequence(0, {63 // axes - 1}), 0L, (cell_, bit_) -> cell_ | shiftleft(shiftright({code}, {axes} * bit_ + {axes - 1 - k}) & 1L, bit_))") for k in range(axes)]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cloudloom import schema as S
 from cloudloom.functions import geometry as G
 from cloudloom.operators.components import connected_components
+from cloudloom.operators.places import swept
 from cloudloom.operators.neighbours import degrees, near_pairs, pair_counts
 from cloudloom.workspace import materialise
 
@@ -68,9 +69,9 @@ def dense_flags(points: DataFrame, labels: DataFrame) -> DataFrame:
 
 def rate_split(points: DataFrame, rate: float) -> DataFrame:
     """``points`` with ``dense`` for the nearest ones of each frame, as many as come before n * rate."""
-    by = Window.partitionBy("frame_id")
-    at = F.row_number().over(by.orderBy(G.norm2(), "point_id")) - 1
-    return points.withColumn("dense", at < F.count("*").over(by) * rate)
+    sizes = points.groupBy("frame_id").agg(F.count("*").alias("_all"))
+    ranked = swept(points.withColumn("_far", G.norm2()), ["frame_id"], ["_far", "point_id"])
+    return ranked.join(sizes, "frame_id").select(*points.columns, (F.col("place") < F.col("_all") * rate).alias("dense"))
 
 
 def approximate_core_cells(points: DataFrame, eps: float, core_degree: int = S.CORE_DEGREE) -> DataFrame:

@@ -22,3 +22,22 @@ def entropy_bits(hist: DataFrame, keys: list[str]) -> DataFrame:
     logs = F.sum(F.col("n") * F.log2("n"))
     total = F.sum("n")
     return hist.groupBy(*keys).agg(total.alias("total"), (total * F.log2(total) - logs).alias("bits"))
+
+
+def rescaled(hist: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """``keys, symbol, n, shift, scaled``: counts halved, but not below one, as often as it takes for their sum to stay under ``limit``.
+
+    Halving k times is a shift by k, so sums for all shifts come from one aggregation
+    and the smallest that fits is taken; as many symbols as ``limit`` never fit (null).
+    """
+    shifts = F.explode(F.sequence(F.lit(0), F.lit(62))).alias("shift")
+    spread = hist.select(*keys, shifts, F.col("n").cast("long").alias("n")).select(*keys, "shift", F.expr("greatest(1L, shiftright(n, shift))").alias("s"))
+    fits = spread.groupBy(*keys, "shift").agg(F.sum("s").alias("total")).where(F.col("total") < limit)
+    best = fits.groupBy(*keys).agg(F.min("shift").alias("shift"))
+    return hist.join(best, keys, "left").select(*keys, "symbol", "n", "shift", F.expr("greatest(1L, shiftright(cast(n as bigint), shift))").alias("scaled")).withColumn("scaled", F.when(F.col("shift").isNotNull(), F.col("scaled")))
+
+
+def narrow_streams(values: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``keys, n, largest, narrow, bytes``: whether a stream of numbers fits bytes (its largest is under 256), and its length before coding."""
+    seen = values.groupBy(*keys).agg(F.count("*").alias("n"), F.max(value).alias("largest")).withColumn("narrow", F.col("largest") < 256)
+    return seen.withColumn("bytes", F.col("n") * F.when(F.col("narrow"), 1).otherwise(4))

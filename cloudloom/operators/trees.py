@@ -7,10 +7,12 @@ u >> (D - l + 1). Breadth-first order is the order of (level, Morton code).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloudloom.functions import geometry as G
+from cloudloom.operators.places import swept
+from cloudloom.workspace import materialise, release
 
 
 def bit_length(e: str) -> str:
@@ -60,14 +62,51 @@ def leaf_counts(leaf_rows: DataFrame, names: list[str]) -> DataFrame:
 def z_deltas(points: DataFrame) -> DataFrame:
     """``(frame_id, morton, point_id, dz)``: zi less the one before, in leaf order and then input order."""
     coded = points.select("frame_id", F.expr(G.morton(["lx", "ly"])).alias("morton"), "point_id", "zi")
-    before = F.lag("zi", 1, 0).over(Window.partitionBy("frame_id").orderBy("morton", "point_id"))
-    return coded.select("frame_id", "morton", "point_id", (F.col("zi") - before).cast("long").alias("dz"))
+    rows = swept(coded, ["frame_id"], ["morton", "point_id"], lasts=("zi",))
+    return rows.select("frame_id", "morton", "point_id", (F.col("zi") - F.coalesce("last_zi", F.lit(0))).cast("long").alias("dz"))
 
 
 def from_z_deltas(deltas: DataFrame) -> DataFrame:
     """``(frame_id, morton, point_id, zi)`` again, by running sums."""
-    total = F.sum("dz").over(Window.partitionBy("frame_id").orderBy("morton", "point_id"))
-    return deltas.select("frame_id", "morton", "point_id", total.cast("int").alias("zi"))
+    rows = swept(deltas.select("frame_id", "morton", "point_id", "dz"), ["frame_id"], ["morton", "point_id"], totals=("dz",))
+    return rows.select("frame_id", "morton", "point_id", F.col("total_dz").cast("int").alias("zi"))
+
+
+def breadth_first(rows: DataFrame, order: list[str], value: str) -> DataFrame:
+    """``(frame_id, place, <value>)``: a frame's rows as the sequence that is stored, without what they are ordered by."""
+    return swept(rows.select("frame_id", *order, value), ["frame_id"], order).select("frame_id", "place", value)
+
+
+def children(sequence: DataFrame, axes: int) -> DataFrame:
+    """``(frame_id, node, parent, child)``: every node but the roots, by places in breadth-first order, from the occupancy ``(frame_id, place, occupancy)``.
+
+    Set bits are nodes in just this order, so a node's children follow those of all
+    nodes before it: their places are the rank of set bits, a prefix sum of bit counts.
+    """
+    ones = sequence.withColumn("ones", F.expr("cast(bit_count(occupancy) as bigint)"))
+    ranked = swept(ones.withColumnRenamed("place", "at"), ["frame_id"], ["at"], totals=("ones",))
+    held = F.expr(f"filter(sequence(0, {(1 << axes) - 1}), j -> shiftright(occupancy, j) & 1 = 1)")
+    each = ranked.select("frame_id", F.col("at").alias("parent"), (F.col("total_ones") - F.col("ones") + 1).alias("first"), F.posexplode(held).alias("k", "child"))
+    return each.select("frame_id", (F.col("first") + F.col("k")).alias("node"), "parent", F.col("child").cast("long").alias("child"))
+
+
+def decoded_leaves(sequence: DataFrame, counts: DataFrame, axes: int) -> DataFrame:
+    """``(frame_id, morton, n)`` from the stored occupancy and counts ``(frame_id, place, n)`` of leaves in order.
+
+    A leaf's code is the path to it: paths to the root double in length each round.
+    A frame whose only leaf is the root has no occupancy.
+    """
+    paths = materialise(children(sequence, axes).select("frame_id", "node", F.col("parent").alias("up"), F.col("child").alias("code"), F.lit(1).alias("steps")), "paths")
+    while not paths.where("up > 0").isEmpty():
+        over = paths.select("frame_id", F.col("node").alias("up"), F.col("up").alias("far"), F.col("code").alias("high"), F.col("steps").alias("more"))
+        met = paths.join(over, ["frame_id", "up"], "left")
+        code = F.coalesce(F.expr(f"shiftleft(high, {axes} * steps) | code"), F.col("code"))
+        before = paths
+        paths = materialise(met.select("frame_id", "node", F.coalesce("far", F.lit(0)).alias("up"), code.alias("code"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")), "paths")
+        release(before)
+    inner = sequence.groupBy("frame_id").agg(F.count("*").alias("inner"))
+    leaf = paths.join(inner, "frame_id").where("node >= inner").select("frame_id", (F.col("node") - F.col("inner")).alias("place"), F.col("code").alias("morton"))
+    return counts.join(leaf, ["frame_id", "place"], "left").select("frame_id", F.coalesce("morton", F.lit(0)).alias("morton"), "n")
 
 
 def reconstruct(points: DataFrame, axes: tuple[str, ...], scales: tuple[float, ...], compat: bool = False) -> list:
