@@ -20,8 +20,7 @@ from __future__ import annotations
 import string
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
-from functools import reduce
-from itertools import pairwise, repeat
+from itertools import islice, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +32,7 @@ from pyspark.sql import types as T
 
 from cloudloom.llm.columns import quoted
 from cloudloom.llm.memory import give_back
+from cloudloom.workspace import materialise, release
 
 SHINGLE, RADIUS, SIMILAR = 5, 13, 0.8
 BLOCK_BITS = 16
@@ -225,13 +225,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col:
     Words are compared without A-Z case and marks at their ends. Null and empty
     texts and texts or items of under five words match nothing. Repeated rows
     and repeated items each give rows of their own. The benchmark's items travel
-    with the tasks, ``ITEMS_A_PASS`` at a time, so a larger benchmark takes more
-    passes over the documents instead of more memory.
+    with the tasks, ``ITEMS_A_PASS`` at a time. A larger benchmark takes more passes
+    over the documents, one after the other: each is written before the next one's
+    items are indexed, so neither driver nor tasks hold more than two passes' items.
     """
     kept = [quoted(c).alias(f"k{i}") for i, c in enumerate(keep)]
     rows = docs.select(quoted(text_col).cast("string").alias("text"), *kept)
-    schema = T.StructType(rows.schema.fields[1:] + T._parse_datatype_string("item_id string, similarity double, first_word long, n_words long").fields)
-    kind = dict(benchmark.dtypes)[item_col]
+    kinds = {"item_id": T.StringType(), "similarity": T.DoubleType(), "first_word": T.LongType(), "n_words": T.LongType()}
+    schema = T.StructType(rows.schema.fields[1:] + [T.StructField(n, k) for n, k in kinds.items()])
+    out = None
 
     def one_pass(index: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,29 +243,42 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col:
                     of += [i] * len(got)
                     found += got
                 cols = list(zip(*found, strict=True)) if found else [[], [], [], []]
-                kinds = [pa.string(), pa.float64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(of, pa.int64())) for c in b.columns[1:]), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], [*b.schema.names[1:], "item_id", "similarity", "first_word", "n_words"])
+                arrow = [pa.string(), pa.float64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(of, pa.int64())) for c in b.columns[1:]), *(pa.array(c, k) for c, k in zip(cols, arrow, strict=True))], [*b.schema.names[1:], *kinds])
             give_back()
 
         return rows.mapInArrow(run, schema)
 
-    out = reduce(DataFrame.unionByName, [one_pass(x) for x in _indexes(benchmark, item_col, item_text)])
-    return out.withColumn("item_id", F.col("item_id").cast(kind))
+    for index, last in _indexes(benchmark, item_col, item_text):
+        found = one_pass(index)
+        if not last:
+            found = materialise(found, "leaks")
+            index.destroy()
+        out = found if out is None else out.unionByName(found)
+    return out.withColumn("item_id", F.col("item_id").cast(dict(benchmark.dtypes)[item_col]))
 
 
-def _indexes(benchmark: DataFrame, item_col: str, item_text: str) -> list[Broadcast]:
-    """Broadcast indexes of ``ITEMS_A_PASS`` items each; one empty index for an empty benchmark."""
-    sc, out, items = benchmark.sparkSession.sparkContext, [], []
-    for r in benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text).cast("string").alias("t")).toLocalIterator():
-        items.append((r.i, r.t))
-        if len(items) == ITEMS_A_PASS:
-            out.append(sc.broadcast(Index(items)))
-            items = []
-    return [*out, sc.broadcast(Index(items))] if items or not out else out
+def _indexes(benchmark: DataFrame, item_col: str, item_text: str) -> Iterator[tuple[Broadcast, bool]]:
+    """Broadcast indexes of ``ITEMS_A_PASS`` items each, and whether one is the last; the next is built when the one before is done with.
+
+    An empty benchmark gives one empty index.
+    """
+    sc = benchmark.sparkSession.sparkContext
+    rows = benchmark.select(quoted(item_col).cast("string").alias("i"), quoted(item_text).cast("string").alias("t")).toLocalIterator()
+    lot = [(r.i, r.t) for r in islice(rows, ITEMS_A_PASS)]
+    while True:
+        following = [(r.i, r.t) for r in islice(rows, ITEMS_A_PASS)]
+        yield sc.broadcast(Index(lot)), not following
+        if not following:
+            return
+        lot = following
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text holds no item, decided row by row: all columns stay and nothing is shuffled."""
+    """The rows of ``docs`` whose text holds no item, decided row by row: all columns stay and nothing is shuffled.
+
+    Of several passes each reads what the one before has kept and written.
+    """
     at = docs.columns.index(text_col)
     rows = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
 
@@ -275,7 +290,13 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
 
         return rows.mapInArrow(run, rows.schema)
 
-    return reduce(one_pass, _indexes(benchmark, item_col, item_text), rows).toDF(*docs.columns)
+    for index, last in _indexes(benchmark, item_col, item_text):
+        before, rows = rows, one_pass(rows, index)
+        if not last:
+            rows = materialise(rows, "clean")
+            index.destroy()
+            release(before)
+    return rows.toDF(*docs.columns)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cloudloom.llm.columns import quoted
 from cloudloom.workspace import new_path
 
 #: Fixed by the format: ids and bits for the selectors 2 to 15; 0 is the escape.
@@ -271,7 +272,7 @@ def write_token_files(docs: DataFrame, spec: str, path: str, end_id: int | None
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(spec)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("text"))
     tie = F.xxhash64("text")
     ordered = rows.repartitionByRange(parts, "doc_id", tie).sortWithinPartitions("doc_id", tie)
     end = [] if end_id is None else [end_id]
