@@ -10,11 +10,53 @@ from pyspark.sql import functions as F
 from cloudloom import schema as S
 from cloudloom.functions import geometry as G
 from cloudloom.operators.components import connected_components
+from cloudloom.operators.neighbours import degrees, near_between, near_pairs, pair_counts, square_distance
 from cloudloom.operators.places import swept
-from cloudloom.operators.neighbours import degrees, near_pairs, pair_counts
 from cloudloom.workspace import materialise
 
-KEYS = ["frame_id", "point_id"]
+KEYS, CELL = ["frame_id", "point_id"], ["frame_id", "fx", "fy", "fz"]
+
+
+def fine_cells(points: DataFrame, eps: float) -> DataFrame:
+    """``points`` with cells fx, fy, fz whose diagonal is ``eps``, so that points of one cell are near each other."""
+    fine = eps / math.sqrt(3) * (1 - 1e-9)
+    return points.select(*KEYS, *G.XYZ, *[G.cell(c, fine).alias(f"f{c}") for c in G.XYZ])
+
+
+def core_points(points: DataFrame, eps: float, core_degree: int = S.CORE_DEGREE) -> DataFrame:
+    """``(frame_id, point_id)`` of the points with ``core_degree`` others closer than ``eps``.
+
+    A fine cell of more points than that is all core, and no pairs are made in it:
+    pairs are counted among the points of other cells, and between those and such cells.
+    """
+    base = fine_cells(points, eps)
+    full = base.groupBy(*CELL).agg(F.count("*").alias("n")).where(F.col("n") > core_degree).select(*CELL, F.lit(True).alias("full"))
+    marked = materialise(base.join(full, CELL, "left").select(*KEYS, *G.XYZ, F.coalesce("full", F.lit(False)).alias("full")), "cells")
+    some, filled = marked.where("not full"), marked.where("full")
+    across = near_between(some, filled, eps).groupBy("frame_id", F.col("src").alias("point_id")).agg(F.count("*").alias("degree"))
+    counted = pair_counts(near_pairs(some, eps, bounded=True)).unionByName(across).groupBy(*KEYS).agg(F.sum("degree").alias("degree"))
+    return counted.where(F.col("degree") >= core_degree).select(*KEYS).unionByName(filled.select(*KEYS))
+
+
+def cell_links(marked: DataFrame, eps: float) -> DataFrame:
+    """``(frame_id, one, other, inner)``: heads of two cells with cores closer than ``eps``, or (not inner) a point that is no core beside a cell's.
+
+    ``marked`` has fine cells, ``head`` (the smallest core of the point's cell, null without any) and ``core``.
+    Points of one cell are near anyway, so only those of different cells are compared, and only if one of the cells has a core.
+    """
+    cells = marked.groupBy(*CELL).agg(F.min("head").alias("head"), F.count("*").alias("n"))
+    # cells up to two steps away, each pair once: those behind, of which a corner can be near enough
+    near = [(i, j, k) for i in range(3) for j in range(-2, 3) for k in range(-2, 3) if (i, j, k) > (0, 0, 0) and sum(max(0, abs(x) - 1) ** 2 for x in (i, j, k)) < 3]
+    step = F.explode(F.array(*[F.struct(*[F.lit(x).cast("long").alias(n) for x, n in zip(t, "xyz", strict=True)]) for t in near]))
+    spread = cells.select("*", step.alias("step")).select(*[F.col(c).alias(f"a_{c}") for c in CELL[1:]], F.col("head").alias("a_head"), "frame_id", *[(F.col(f"f{c}") + F.col(f"step.{c}")).alias(f"f{c}") for c in G.XYZ])
+    met = spread.join(cells.select(*CELL, "head"), CELL).where("a_head is not null or head is not null").drop("a_head", "head")
+    left = marked.select("frame_id", *[F.col(c).alias(f"a_{c}") for c in [*CELL[1:], "point_id", *G.XYZ, "head", "core"]])
+    pairs = met.join(left, ["frame_id", *[f"a_{c}" for c in CELL[1:]]]).join(marked, CELL).where((F.col("a_core") | F.col("core")) & (square_distance("a_") < eps * eps))
+    inner = F.col("a_core") & F.col("core")
+    one = F.when(inner, F.least("a_head", "head")).when(F.col("core"), F.col("a_point_id")).otherwise(F.col("point_id"))
+    other = F.when(inner, F.greatest("a_head", "head")).when(F.col("core"), F.col("head")).otherwise(F.col("a_head"))
+    beside = marked.where("head is not null and not core").select("frame_id", F.col("point_id").alias("one"), F.col("head").alias("other"), F.lit(False).alias("inner"))
+    return pairs.select("frame_id", one.alias("one"), other.alias("other"), inner.alias("inner")).union(beside).distinct()
 
 
 def clusters(points: DataFrame, eps: float, core_degree: int = S.CORE_DEGREE) -> DataFrame:
@@ -24,26 +66,16 @@ def clusters(points: DataFrame, eps: float, core_degree: int = S.CORE_DEGREE) ->
     named by its rank among the frame's clusters in the order of their smallest
     core ids; a border point joins the first cluster that has a core next to it.
 
-    Two points of a cell whose diagonal is ``eps`` are near each other, so a cell's
-    cores are one node, named by the smallest of them, and only edges between such
-    cells are connected.
+    A fine cell's cores are one node, named by the smallest of them, and only
+    edges between such cells are connected.
     """
-    pairs = materialise(near_pairs(points, eps), "pairs")
-    core = pair_counts(pairs).where(F.col("degree") >= core_degree).select(*KEYS)
-    fine = eps / math.sqrt(3) * (1 - 1e-9)
-    celled = core.join(points.select(*KEYS, *[G.cell(c, fine).alias(f"c{c}") for c in G.XYZ]), KEYS)
-    heads = celled.groupBy("frame_id", "cx", "cy", "cz").agg(F.min("point_id").alias("head"))
-    core = materialise(celled.join(heads, ["frame_id", "cx", "cy", "cz"]).select(*KEYS, "head"), "core")
-    end = lambda c: core.select("frame_id", F.col("point_id").alias(c), F.col("head").alias(f"{c}_head"))
-    marked = pairs.select("frame_id", "src", "dst").join(end("src"), ["frame_id", "src"], "left").join(end("dst"), ["frame_id", "dst"], "left")
-    # an edge of two cells, or a border point beside a cell
-    inner = F.col("src_head").isNotNull() & F.col("dst_head").isNotNull()
-    one = F.when(inner, F.least("src_head", "dst_head")).when(F.col("src_head").isNull(), F.col("src")).otherwise(F.col("dst"))
-    other = F.when(inner, F.greatest("src_head", "dst_head")).otherwise(F.coalesce("src_head", "dst_head"))
-    met = marked.where("src_head is not null or dst_head is not null").select("frame_id", inner.alias("inner"), one.alias("one"), other.alias("other"))
-    met = materialise(met.where("not inner or one < other").distinct(), "met")
+    core = core_points(points, eps, core_degree).withColumn("core", F.lit(True))
+    flagged = fine_cells(points, eps).join(core, KEYS, "left").withColumn("core", F.coalesce("core", F.lit(False)))
+    heads = flagged.where("core").groupBy(*CELL).agg(F.min("point_id").alias("head"))
+    marked = materialise(flagged.join(heads, CELL, "left"), "marked")
+    met = materialise(cell_links(marked, eps), "met")
     node = lambda c: F.struct("frame_id", F.col(c).alias("id"))
-    alone = core.where("point_id = head").select(node("head").alias("src"), node("head").alias("dst"))
+    alone = marked.where("point_id = head").select(node("head").alias("src"), node("head").alias("dst"))
     edges = met.where("inner").select(node("one").alias("src"), node("other").alias("dst")).union(alone)
     roots = connected_components(edges).select(F.col("node.frame_id").alias("frame_id"), F.col("node.id").alias("head"), F.col("root.id").alias("root"))
     names = roots.select("frame_id", "root").distinct()
@@ -51,7 +83,7 @@ def clusters(points: DataFrame, eps: float, core_degree: int = S.CORE_DEGREE) ->
     named = materialise(roots.join(names, ["frame_id", "root"]).select("frame_id", "head", "cluster_id"), "named")
     border = met.where("not inner").select("frame_id", F.col("one").alias("point_id"), F.col("other").alias("head")).join(named, ["frame_id", "head"])
     border = border.groupBy(*KEYS).agg(F.min("cluster_id").alias("cluster_id"))
-    found = core.join(named, ["frame_id", "head"]).select(*KEYS, "cluster_id").unionByName(border)
+    found = marked.where("core").select(*KEYS, "head").join(named, ["frame_id", "head"]).select(*KEYS, "cluster_id").unionByName(border)
     return points.select(*KEYS).join(found, KEYS, "left").withColumn("cluster_id", F.coalesce("cluster_id", F.lit(-1).cast("long")))
 
 
@@ -85,4 +117,4 @@ def approximate_core_cells(points: DataFrame, eps: float, core_degree: int = S.C
     return counts.join(around, key).where(F.col("around") >= core_degree)
 
 
-__all__ = ["approximate_core_cells", "cluster_sizes", "clusters", "degrees", "dense_flags", "rate_split"]
+__all__ = ["approximate_core_cells", "cell_links", "cluster_sizes", "clusters", "core_points", "degrees", "dense_flags", "rate_split"]

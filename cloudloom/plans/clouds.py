@@ -115,7 +115,7 @@ def q_degree(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_core_points(spark: SparkSession, sf: str) -> DataFrame:
-    return neighbours.degrees(emb(spark, sf), EPS).where("degree >= 78").select("frame_id", "point_id")
+    return density.core_points(emb(spark, sf), EPS)
 
 
 def q_clusters(spark: SparkSession, sf: str) -> DataFrame:
@@ -146,8 +146,7 @@ def q_nearest_neighbour(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_directional_nn(spark: SparkSession, sf: str) -> DataFrame:
     s = spherical_scan(spark, sf).withColumn("xy_ang", F.round("xy_ang", 9))  # points of one azimuth differ by rounding only
-    n = neighbours.directional_nearest(s)
-    return n.select("frame_id", "point_id", F.round("distance", 9).alias("distance"))
+    return neighbours.directional_nearest(s, digits=9)
 
 
 Q = lambda v, s, n: f"CAST(round({v}*{s}) AS INT) AS {n}"
@@ -196,8 +195,8 @@ SQL = {
     "q_rate_split": f"WITH {EMB_SQL}, r AS (SELECT frame_id, point_id, row_number() OVER (PARTITION BY frame_id ORDER BY x*x+y*y+z*z, point_id) - 1 AS i, count(*) OVER (PARTITION BY frame_id) AS n FROM emb) SELECT frame_id, point_id FROM r WHERE i < n*0.3",
     "q_approximate_core_cells": f"WITH {EMB_SQL}, c AS (SELECT frame_id, {CELL}, count(*) AS n FROM emb GROUP BY ALL) SELECT a.frame_id, a.cx, a.cy, a.cz, a.n, CAST(sum(b.n) AS BIGINT) AS around FROM c a JOIN c b ON a.frame_id = b.frame_id AND abs(a.cx-b.cx) <= 1 AND abs(a.cy-b.cy) <= 1 AND abs(a.cz-b.cz) <= 1 GROUP BY ALL HAVING sum(b.n) >= 78",
     "q_nearest_neighbour": f"WITH {EMB_SQL}, {PAIRS.format(NEAR * NEAR)}, r AS (SELECT *, row_number() OVER (PARTITION BY frame_id, src ORDER BY d2, dst) AS k FROM pairs) SELECT frame_id, src AS point_id, dst AS nearest_id, round(d2, 6) AS d2 FROM r WHERE k = 1",
-    "q_directional_nn": f"""WITH {SCAN_S.replace("atan2(y, x) + 2*pi()) % (2*pi()) AS xy_ang", "atan2(y, x) + 2*pi()) % (2*pi()) AS xy_raw, round(xy_raw, 9) AS xy_ang")}, p AS (SELECT a.frame_id, a.point_id, sqrt((b.xy_ang-a.xy_ang)*(b.xy_ang-a.xy_ang) + 25*(b.z_ang-a.z_ang)*(b.z_ang-a.z_ang) + 1e-6*(b.depth-a.depth)*(b.depth-a.depth)) AS d
+    "q_directional_nn": f"""WITH {SCAN_S.replace("atan2(y, x) + 2*pi()) % (2*pi()) AS xy_ang", "atan2(y, x) + 2*pi()) % (2*pi()) AS xy_raw, round(xy_raw, 9) AS xy_ang")}, p AS (SELECT a.frame_id, a.point_id, b.point_id AS right_id, sqrt((b.xy_ang-a.xy_ang)*(b.xy_ang-a.xy_ang) + 25*(b.z_ang-a.z_ang)*(b.z_ang-a.z_ang) + 1e-6*(b.depth-a.depth)*(b.depth-a.depth)) AS d
       FROM s a JOIN s b ON a.frame_id = b.frame_id AND b.xy_ang BETWEEN a.xy_ang AND a.xy_ang + 0.01 AND a.point_id <> b.point_id WHERE abs(b.z_ang - a.z_ang) <= 0.05)
-      SELECT frame_id, point_id, round(min(d), 9) AS distance FROM p GROUP BY 1, 2""",
+      SELECT frame_id, point_id, right_id, round(d, 9) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY frame_id, point_id ORDER BY round(d, 9), right_id) AS k FROM p) WHERE k = 1""",
 }
 QUERIES = {n: f for n, f in globals().items() if n.startswith("q_")}

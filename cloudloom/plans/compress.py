@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cloudloom import schema as S
@@ -126,3 +126,15 @@ def metrics(blobs: DataFrame) -> DataFrame:
     """Sizes in bits and the ratio of 12 bytes a point to the blob."""
     size = F.octet_length("blob")
     return blobs.select("frame_id", "n_points", (F.col("n_points") * 96).alias("raw_bits"), (size * 8).cast("long").alias("comp_bits"), (F.col("n_points") * 12 / size).alias("ratio"), "octree_bytes", "line_bytes", "quadtree_bytes", "seconds")
+
+
+def write_measured(blobs: DataFrame, path: str) -> dict[str, float]:
+    """Write BLOBS rows over ``path``; what was written in all is observed by the pass that writes, so nothing is coded or read twice.
+
+    Sizes before and after are in bits, those of the paths in bytes; ``seconds`` are those of all frames' coding.
+    """
+    seen, size = Observation(), F.octet_length("blob")
+    sums = {"frames": F.lit(1), "n_points": F.col("n_points"), "n_dropped": F.col("n_dropped"), "raw_bits": F.col("n_points") * 96, "comp_bits": size * 8} | {c: F.col(c) for c in ("octree_bytes", "line_bytes", "quadtree_bytes", "seconds")}
+    blobs.observe(seen, *[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in sums.items()]).write.mode("overwrite").parquet(path)
+    got = seen.get
+    return got | {"ratio": got["raw_bits"] / got["comp_bits"] if got["comp_bits"] else 0.0}

@@ -124,3 +124,36 @@ def test_frames_round_trip_within_the_bound(spark, options):
         assert (gap.max() if "tree" in r.path else np.linalg.norm(gap) / math.sqrt(3)) <= options.resolution / 2 + 1e-9
     assert C.metrics(blobs).where("ratio > 0").count() == 2
     assert C.compress(df.where("false"), options).collect() == []
+
+
+@pytest.mark.parametrize("core_degree", [4, 12])
+def test_full_cells_cluster_like_all_pairs(spark, core_degree):
+    """Clumps whose cells are core by their numbers alone, thin bridges, borders and noise, against all pairs."""
+    rng = np.random.default_rng(core_degree)
+    clump = lambda at, n, wide: np.array(at) + rng.uniform(-wide, wide, (n, 3))
+    frames = [
+        np.concatenate([clump((0, 0, 0), 60, 0.2), clump((1.3, 0, 0), 40, 0.2), clump((5, 5, 5), 30, 0.3), rng.uniform(-4, 8, (60, 3)), np.linspace((5, 5, 5), (8, 5, 5), 9)]),
+        np.concatenate([clump((i * 0.9, 0, 0), 12, 0.25) for i in range(7)] + [rng.uniform(-2, 9, (80, 3))]),
+    ]
+    rows = [(f, i, *map(float, p)) for f, points in enumerate(frames) for i, p in enumerate(points)]
+    df = spark.createDataFrame(rows, "frame_id long, point_id long, x double, y double, z double").repartition(5)
+    got = {(r.frame_id, r.point_id): r.cluster_id for r in density.clusters(df, 1.0, core_degree).collect()}
+    cores = {(r.frame_id, r.point_id) for r in density.core_points(df, 1.0, core_degree).collect()}
+    for f, p in enumerate(frames):
+        near = ((p[:, None] - p[None]) ** 2).sum(2) < 1.0
+        np.fill_diagonal(near, False)
+        core = near.sum(1) >= core_degree
+        assert {i for g, i in cores if g == f} == set(np.flatnonzero(core).tolist())
+        label, names = np.full(len(p), -1), 0
+        for i in np.flatnonzero(core):
+            if label[i] < 0:
+                todo, label[i] = [i], names
+                while todo:
+                    for k in np.flatnonzero(near[todo.pop()] & core & (label < 0)):
+                        label[k] = names
+                        todo.append(k)
+                names += 1
+        for i in np.flatnonzero(~core):
+            beside = label[near[i] & core]
+            label[i] = beside.min() if len(beside) else -1
+        assert [got[f, i] for i in range(len(p))] == label.tolist()

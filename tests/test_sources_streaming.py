@@ -126,3 +126,19 @@ def test_hex_rows(spark):
     df = spark.createDataFrame([(3, bytearray(b"\x00\xffA"))], "frame_id long, blob binary")
     assert P.blob_rows(df).first().hex == "00ff41"
     assert C.decompress(spark.createDataFrame([(1, 0.1, None)], "frame_id long, resolution double, blob binary")).count() == 0
+
+
+def test_sizes_are_observed_by_the_pass_that_writes(spark, tmp_path):
+    points = P.read_bin(spark, write_bins(tmp_path / "in"))
+    got = C.write_measured(C.compress(points, S.CompressOptions(0.04, rate=0.5)), f"{tmp_path}/b")
+    back = C.metrics(spark.read.parquet(f"{tmp_path}/b")).agg(*[F.sum(c).alias(c) for c in ("n_points", "raw_bits", "comp_bits", "octree_bytes", "line_bytes", "quadtree_bytes", "seconds")]).first()
+    assert got["frames"] == 2 and all(got[c] == back[c] for c in back.asDict())
+    assert got["ratio"] == got["raw_bits"] / got["comp_bits"] > 0
+    none = C.write_measured(C.compress(points.where("false")), f"{tmp_path}/none")
+    assert none["frames"] == 0 and none["ratio"] == 0
+
+
+def test_frames_of_a_stream_are_numbered_by_arrival(spark, tmp_path):
+    source = write_bins(tmp_path / "land", ("left_1.bin", "right_1.bin"))
+    frames.compress_stream(spark, source, f"{tmp_path}/blobs", f"{tmp_path}/c1", S.CompressOptions(0.04, rate=0.5), numbers="arrival").awaitTermination()
+    assert sorted(r.frame_id for r in spark.read.option("recursiveFileLookup", "true").parquet(f"{tmp_path}/blobs").collect()) == [0, 1]
