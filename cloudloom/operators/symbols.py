@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cloudloom.operators.lines import as_of
+
 
 def histogram(symbols: DataFrame, keys: list[str], symbol: str) -> DataFrame:
     """``keys, symbol, n``."""
@@ -17,6 +19,24 @@ def cumulative(hist: DataFrame, keys: list[str]) -> DataFrame:
     return hist.withColumn("cum", F.coalesce(F.sum("n").over(before), F.lit(0)))
 
 
+def ranges(stream: DataFrame, table: DataFrame, keys: list[str], symbol: str) -> DataFrame:
+    """``stream`` with ``low`` and ``high``, each symbol's range of counts from ``cumulative``; a symbol that the table lacks has none."""
+    own = table.select(*keys, F.col("symbol").alias(symbol), F.col("cum").alias("low"), (F.col("cum") + F.col("n")).alias("high"))
+    return stream.join(own, [*keys, symbol], "left")
+
+
+def symbols_at(counts: DataFrame, table: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """``counts`` with ``symbol`` and ``low``: the symbol whose range holds the count, the one of the largest ``cum`` at or before it; null beyond the last.
+
+    A decoder's search, for all counts at once: one order by count instead of a range join.
+    """
+    last = F.col("cum") + F.col("n")
+    starts = table.where("n > 0").select(*keys, F.col("cum").alias(count), "symbol", F.col("cum").alias("low"), last.alias("high"))
+    met = as_of(counts, starts, keys, count, ["symbol", "low", "high"], (1 << 62))
+    inside = F.col(count) < F.col("r_high")
+    return met.select(*counts.columns, F.when(inside, F.col("r_symbol")).alias("symbol"), F.when(inside, F.col("r_low")).alias("low"))
+
+
 def entropy_bits(hist: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, total, bits``: what an ideal coder needs with these frequencies."""
     logs = F.sum(F.col("n") * F.log2("n"))

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from cloudloom import schema as S
 from cloudloom.functions import geometry as G
 from cloudloom.operators import polylines
+from cloudloom.plans import clouds
 from cloudloom.plans import compress as C
-from cloudloom.plans.clouds import RS, spherical_scan
+from cloudloom.plans.clouds import EPS, RS, spherical_scan
 from cloudloom.sources import points as P
 from cloudloom.sources.fixtures import EMB_SQL, emb, scan
 
@@ -49,6 +50,12 @@ def q_roundtrip_error(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.groupBy("frame_id", "path").agg(F.count("*").alias("n"), F.round(F.max(off), 3).alias("worst"))
 
 
+def q_density_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Coded with the default split and decoded again: the octree's points are the dense ones of clusters."""
+    decoded = C.decompress(C.compress(emb(spark, sf), S.CompressOptions(EPS / S.EPS_SCALE)))
+    return decoded.groupBy("frame_id", (F.col("path") == "octree").alias("dense")).agg(F.count("*").alias("n"))
+
+
 def q_codec_comparison(spark: SparkSession, sf: str) -> DataFrame:
     cloud, out = scan(spark, sf), None
     for codec in S.CODECS:
@@ -75,6 +82,7 @@ def q_blob_hex(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SQL = {
+    "q_density_roundtrip": clouds.SQL["q_dense_sparse"],
     "q_txt_lines": f"WITH {EMB_SQL} SELECT point_id, printf('%g %g %g 0.0', x, y, z) AS line FROM emb",
     "q_ply_lines": f"""WITH {EMB_SQL}, c AS (SELECT frame_id, count(*) AS n FROM emb GROUP BY 1),
       h AS (SELECT * FROM (VALUES (-9, 'ply'), (-8, 'format ascii 1.0'), (-7, 'element vertex '), (-6, 'property float x'), (-5, 'property float y'), (-4, 'property float z'), (-3, 'element face 0'), (-2, 'property list uchar int vertex_indices'), (-1, 'end_header')) v(line_no, line))

@@ -54,6 +54,25 @@ def q_rescaled_counts(spark: SparkSession, sf: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [symbols.rescaled(both, ["frame_id", "large"], limit).withColumn("limit", F.lit(limit).cast("long")) for limit in LIMITS])
 
 
+def occupancy_table(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The occupancy stream of the octrees, and its cumulative counts."""
+    stream = trees.occupancy(trees.leaves(octree(spark, sf), OCT), OCT)
+    return stream, symbols.cumulative(symbols.histogram(stream, ["frame_id"], "occupancy"), ["frame_id"])
+
+
+def q_symbol_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """The range of counts of every node's occupancy, as a coder looks it up."""
+    return symbols.ranges(*occupancy_table(spark, sf), ["frame_id"], "occupancy")
+
+
+def q_symbol_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The symbol that a count falls on, as a decoder searches it: a count for every node, and one beyond the last."""
+    stream, table = occupancy_table(spark, sf)
+    total = table.groupBy("frame_id").agg(F.sum("n").alias("total"))
+    counts = stream.join(total, "frame_id").select("frame_id", "level", "morton", F.expr("(morton * 7919 + level) % (total + 1)").alias("count"))
+    return symbols.symbols_at(counts, table, ["frame_id"], "count")
+
+
 def q_narrow_streams(spark: SparkSession, sf: str) -> DataFrame:
     """Azimuth differences along the rings: which bands' streams fit bytes."""
     q = swept(quantised_scan(spark, sf).select("frame_id", "band", "ring", "az"), ["frame_id", "band", "ring"], ["az"], lasts=("az",))
@@ -82,6 +101,7 @@ def q_decoded_paths(spark: SparkSession, sf: str) -> DataFrame:
     return reduce(DataFrame.union, [d.toDF(*named) for d in (out, back, far)]).select(*named[:3], *[F.round(c, 5).alias(c) for c in named[3:]])
 
 
+TABLE = f"{OCC_SQL}, hs AS (SELECT frame_id, occupancy AS symbol, count(*) AS n FROM occ GROUP BY 1, 2), tb AS (SELECT *, CAST(sum(n) OVER (PARTITION BY frame_id ORDER BY symbol) - n AS BIGINT) AS cum FROM hs)"
 RESCALE = "SELECT h.frame_id, h.large, h.symbol, h.n, s.shift, CASE WHEN s.shift IS NOT NULL THEN greatest(1, h.n >> s.shift) END AS scaled, CAST({0} AS BIGINT) AS \"limit\" FROM b h LEFT JOIN (SELECT frame_id, large, min(shift) AS shift FROM sums WHERE total < {0} GROUP BY 1, 2) s ON s.frame_id = h.frame_id AND s.large = h.large"
 PATHS = f"""{EMB_SQL}, k AS (SELECT *, sqrt(x*x + y*y + z*z) AS depth, row_number() OVER (PARTITION BY frame_id ORDER BY x*x + y*y + z*z, point_id) - 1 < count(*) OVER (PARTITION BY frame_id) * {RATE} AS dense FROM emb),
 di AS (SELECT frame_id, point_id, CAST(round(x*{2 / RT}) AS BIGINT) AS xi, CAST(round(y*{2 / RT}) AS BIGINT) AS yi, CAST(round(z*{2 / RT}) AS BIGINT) AS zi FROM k WHERE dense),
@@ -102,6 +122,10 @@ SQL = {
       b AS (SELECT frame_id, false AS large, symbol, n FROM hs UNION ALL SELECT frame_id, true, symbol, n << 40 FROM hs),
       sums AS (SELECT frame_id, large, shift, sum(greatest(1, n >> shift)) AS total FROM b, (SELECT CAST(unnest(range(0, 63)) AS INT) AS shift) GROUP BY 1, 2, 3)
       """ + " UNION ALL ".join(RESCALE.format(limit) for limit in LIMITS),
+    "q_symbol_ranges": f"WITH {TABLE} SELECT o.*, cum AS low, cum + n AS high FROM occ o JOIN tb ON tb.frame_id = o.frame_id AND symbol = occupancy",
+    "q_symbol_search": f"""WITH {TABLE}, tot AS (SELECT frame_id, CAST(sum(n) AS BIGINT) AS total FROM tb GROUP BY 1),
+      c AS (SELECT frame_id, level, morton, (morton * 7919 + level) % (total + 1) AS "count" FROM occ JOIN tot USING (frame_id))
+      SELECT c.*, symbol, cum AS low FROM c LEFT JOIN tb ON tb.frame_id = c.frame_id AND cum <= "count" AND "count" < cum + n""",
     "q_narrow_streams": f"""WITH {SCAN_Q}, d AS (SELECT frame_id, band, az - lag(az) OVER (PARTITION BY frame_id, band, ring ORDER BY az) AS dx, row_number() OVER (PARTITION BY frame_id, band, ring ORDER BY az) AS k FROM q)
       SELECT frame_id, band, count(*) AS n, max(dx) AS largest, max(dx) < 256 AS narrow, count(*) * CASE WHEN max(dx) < 256 THEN 1 ELSE 4 END AS bytes FROM d WHERE k > 1 GROUP BY 1, 2""",
     "q_spherical_restored": f"WITH {SCAN_Q} SELECT point_id, round(qxy*({RS}/max_depth), 7) AS xy_ang, round(qz*({RS}/max_depth), 7) AS z_ang, round(qdepth*CAST({RS} AS DOUBLE), 7) AS depth FROM q",

@@ -83,3 +83,12 @@ def test_rescaling_halves_as_often_as_it_takes(spark, limit):
 def test_streams_that_fit_bytes(spark):
     df = spark.createDataFrame([(1, 255), (1, -3), (2, 256), (2, 0)], "k int, v int")
     assert {r.k: (r.n, r.largest, r.narrow, r.bytes) for r in symbols.narrow_streams(df, ["k"], "v").collect()} == {1: (2, 255, True, 2), 2: (2, 256, False, 8)}
+
+
+def test_counts_fall_on_the_symbols_of_their_ranges(spark):
+    table = spark.createDataFrame([(k, s, n, c) for k, rows in {1: [(0, 3, 0), (5, 0, 3), (7, 2, 3)], 2: [(9, 1, 0)]}.items() for s, n, c in rows], "k int, symbol int, n long, cum long")
+    counts = spark.createDataFrame([(1, i) for i in range(6)] + [(2, 0), (2, 1), (3, 0)], "k int, count long").withColumn("tag", F.lit("t"))
+    got = {(r["k"], r["count"]): (r.symbol, r.low) for r in symbols.symbols_at(counts, table, ["k"], "count").collect()}
+    assert got == {(1, 0): (0, 0), (1, 1): (0, 0), (1, 2): (0, 0), (1, 3): (7, 3), (1, 4): (7, 3), (1, 5): (None, None), (2, 0): (9, 0), (2, 1): (None, None), (3, 0): (None, None)}
+    stream = spark.createDataFrame([(1, 7), (1, 8)], "k int, s int")
+    assert sorted(map(tuple, symbols.ranges(stream, table, ["k"], "s").collect()), key=str) == [(1, 7, 3, 5), (1, 8, None, None)]
