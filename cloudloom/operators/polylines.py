@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from cloudloom import schema as S
 from cloudloom.functions import geometry as G
 from cloudloom.operators.components import connected_components
-from cloudloom.workspace import materialise, release, superseded
+from cloudloom.workspace import materialise, materialise_counting, release, superseded
 
 #: A point's number in a pass: how many bands ago it was left over, above its id.
 ID_BITS = 56
@@ -55,13 +55,15 @@ def nearest_links(edges: DataFrame) -> DataFrame:
 
 def jumps(links: DataFrame) -> list[DataFrame]:
     """Tables ``(frame_id, side, p, q1, q2, q3, q4)``: at k, the points 1 to 4 times 4^k links on, as far as the chain goes."""
-    tables, step = [], materialise(links, "links")
-    while not step.isEmpty():
+    tables = []
+    step, more = materialise_counting(links, "links")
+    while more:
         table = step.withColumnRenamed("q", "q1")
         for i in (1, 2, 3):
             table = table.join(step.select(*CHAIN, F.col("p").alias(f"q{i}"), F.col("q").alias(f"q{i + 1}")), [*CHAIN, f"q{i}"], "left")
-        tables.append(materialise(table.select(*CHAIN, "p", "q1", "q2", "q3", "q4"), "jumps"))
-        step = tables[-1].where("q4 is not null").select(*CHAIN, "p", F.col("q4").alias("q"))
+        table, more = materialise_counting(table.select(*CHAIN, "p", "q1", "q2", "q3", "q4"), "jumps", "q4 is not null")
+        tables.append(table)
+        step = table.where("q4 is not null").select(*CHAIN, "p", F.col("q4").alias("q"))
     return tables
 
 
@@ -99,8 +101,11 @@ def components_of(edges: DataFrame, tables: list[DataFrame]) -> DataFrame:
     ends = materialise(chain_ends(points, tables), "ends")
     end = lambda c: ends.select("frame_id", F.col("p").alias(c), F.struct("frame_id", "end").alias(f"{c}_end"))
     met = edges.join(end("a"), ["frame_id", "a"]).join(end("b"), ["frame_id", "b"]).where("a_end <> b_end")
-    roots = connected_components(met.select("a_end", "b_end").distinct(), "a_end", "b_end").select("node.frame_id", F.col("node.end").alias("end"), F.col("root.end").alias("root"))
-    return ends.join(roots, ["frame_id", "end"], "left").select("frame_id", "p", F.coalesce("root", "end").alias("part"))
+    left, some = materialise_counting(met.select("a_end", "b_end").distinct(), "ends")
+    if not some:
+        return ends.withColumnRenamed("end", "part")
+    roots = connected_components(left, "a_end", "b_end").select("node.frame_id", F.col("node.end").alias("end"), F.col("root.end").alias("root"))
+    return materialise(ends.join(roots, ["frame_id", "end"], "left").select("frame_id", "p", F.coalesce("root", "end").alias("part")), "parts")
 
 
 def lines_of(points: DataFrame, max_dis: float = S.MAX_DIS, least: int = S.LEAST_LINE) -> DataFrame:
@@ -110,11 +115,11 @@ def lines_of(points: DataFrame, max_dis: float = S.MAX_DIS, least: int = S.LEAST
     ``lines.grow_lines`` over each frame's points in that order. An empty table has no lines.
     """
     taken, parts, done = None, None, None
-    edges = materialise(reach(points, max_dis), "reach")
-    while not edges.isEmpty():
+    edges, some = materialise_counting(reach(points, max_dis), "reach")
+    while some:
         tables = jumps(nearest_links(edges))
         if parts is None:
-            parts = materialise(components_of(edges, tables), "parts")
+            parts = components_of(edges, tables)
         found = seeds(tables, least).join(parts, ["frame_id", "p"])
         if done is not None:
             found = found.join(done, ["frame_id", "part"]).where("p > last").drop("last")
@@ -124,7 +129,8 @@ def lines_of(points: DataFrame, max_dis: float = S.MAX_DIS, least: int = S.LEAST
         used = line.select("frame_id", "p")
         live = parts.join(first.select("frame_id", "part"), ["frame_id", "part"], "left_semi").join(used, ["frame_id", "p"], "left_anti").select("frame_id", "p")
         free = edges.join(live.withColumnRenamed("p", "a"), ["frame_id", "a"], "left_semi").join(live.withColumnRenamed("p", "b"), ["frame_id", "b"], "left_semi")
-        before, edges, done = edges, materialise(free, "reach"), first.select("frame_id", "part", F.col("p").alias("last"))
+        before, done = edges, first.select("frame_id", "part", F.col("p").alias("last"))
+        edges, some = materialise_counting(free, "reach")
         release(before, *tables)
     if taken is None:
         return points.where("false").select("frame_id", F.col("p").alias("seed"), F.lit(0).alias("pos"), "p")
@@ -146,7 +152,7 @@ def find_lines(spoints: DataFrame) -> DataFrame:
         out, rest = None, points.where("false")
         for b in range(len(S.BANDS) - 1):
             here = points.where(F.col("band") == b).union(rest)
-            here = materialise(here.withColumn("p", F.shiftleft((b - F.col("band")).cast("long"), ID_BITS).bitwiseOR(F.col("point_id"))), "here")
+            here = here.withColumn("p", F.shiftleft((b - F.col("band")).cast("long"), ID_BITS).bitwiseOR(F.col("point_id")))
             lines = lines_of(here)
             order = Window.partitionBy("frame_id").orderBy("seed")
             names = lines.select("frame_id", "seed").distinct().withColumn("line_id", F.row_number().over(order) - 1)

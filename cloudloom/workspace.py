@@ -13,7 +13,8 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 _scopes: list[list[DataFrame]] = []
@@ -47,6 +48,14 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return table
 
 
+def materialise_counting(df: DataFrame, label: str, condition: str = "true") -> tuple[DataFrame, int]:
+    """``materialise``, and how many rows meet a condition, seen by the pass that writes them."""
+    seen = Observation()
+    count = F.count(F.when(F.expr(condition), 1))
+    table = materialise(df.observe(seen, count.alias("n")), label)
+    return table, seen.get.get("n") or 0
+
+
 def release(*tables: DataFrame | None) -> None:
     """Delete tables that ``materialise`` wrote, once nothing will read them; other DataFrames and None are left alone."""
     for table in tables:
