@@ -217,7 +217,7 @@ class Grams:
 
     def __init__(self, keys: np.ndarray, logs: np.ndarray):
         order = np.argsort(keys)
-        self.keys, self.logs = keys[order], logs[order].astype(np.float32)
+        self.keys, self.logs = keys[order], logs[order]
 
     def look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(log10 probability, whether known) of each key; 0 for those that aren't."""
@@ -238,7 +238,7 @@ def frequent_grams(logs: DataFrame) -> Broadcast:
         if (total := total + sizes[s]) > FREQUENT_GRAMS:
             break
         least = s
-    table = logs.where(step >= least).select("key", F.col("logp").cast("float").alias("logp")).toArrow()
+    table = logs.where(step >= least).select("key", "logp").toArrow()
     return logs.sparkSession.sparkContext.broadcast(Grams(table.column("key").to_numpy(), table.column("logp").to_numpy()))
 
 

@@ -91,13 +91,16 @@ def test_scores_are_those_of_the_definition(spark, made, monkeypatch):
     df = spark.createDataFrame([(f"{k}:{'' if i is None else i}", i, t) for k, (i, t) in enumerate(made)], "of string, doc_id long, text string")
     monkeypatch.setattr(ctw, "FREQUENT", 5)
     monkeypatch.setattr(ctw, "held_out", lambda c: F.coalesce(F.crc32(F.split(c, ":")[1]) % 7 == 2, F.lit(False)))
+    by_path = []
     for most, rows in ((1 << 21, df.repartition(3)), (50, df.orderBy("text")), (0, df.repartition(5, "text"))):  # all grams broadcast, some, none; files or shuffles
         monkeypatch.setattr(ctw, "FREQUENT_GRAMS", most)
         got = {int(r.doc_id.split(":")[0]): r for r in ctw.score_texts(rows, "of").collect()}
         assert set(got) == set(want)
         for k, r in got.items():
             assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == want[k][1:5]
-            assert np.allclose((r.base_score, r.score), want[k][5:], atol=1e-4), made[k]
+            assert np.allclose((r.base_score, r.score), want[k][5:], rtol=0, atol=1e-7), made[k]
+        by_path.append([(got[k].base_score, got[k].score) for k in sorted(got)])
+    assert np.allclose(by_path[0], by_path[1], rtol=0, atol=1e-10) and np.allclose(by_path[0], by_path[2], rtol=0, atol=1e-10)
 
 
 def test_probabilities_of_all_bytes_sum_to_one(spark, made):
