@@ -43,35 +43,33 @@ def assign_shards(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", t
     they are told apart by ``row``, a number of the row (``row_col`` if the table
     has one). Other columns are ignored, an empty table gives an empty table.
     """
-    spark = docs.sparkSession
     size = F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long")
     rows = docs.select(F.col(id_col).alias("doc_id"), size.alias("n_bytes"), (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     rows = materialise(rows, "sizes")
-    live = rows.select("row", hash_bits(key).alias("bits"), "n_bytes", F.lit("s").alias("stem"))
+    own = ["row", "doc_id", "n_bytes"]  # carried along, so that nothing is joined by row
+    live = rows.select(*own, hash_bits(key).alias("bits"), F.lit("s").alias("stem"))
     done, turn, left = [], 0, HASH_BITS
     while (total := live.agg(F.sum("n_bytes").alias("b"), F.count("*").alias("n")).first()).n:
         bits = min(left, max(0, math.ceil(math.log2(max(1, total.b) / limit))) + FINER)
         left -= bits
         places = live.withColumn("cell", F.shiftrightunsigned("bits", left))
-        found = places.join(_directory(places, bits, limit, first=turn == 0), ["stem", "cell"])
+        # written, so that Spark knows its size and never takes the rows for the smaller side
+        found = places.join(materialise(_directory(places, bits, limit, first=turn == 0), "directory"), ["stem", "cell"])
         prefix = F.expr(f"if(depth = 0, '', lpad(conv(shiftrightunsigned(cell, {bits} - depth), 10, 2), depth, '0'))")
-        done.append(found.where("depth is not null").select("row", F.concat("stem", prefix).alias("shard")))
+        done.append(found.where("depth is not null").select(*own, F.concat("stem", prefix).alias("shard")))
         turn += 1
         deeper = found.where("depth is null").withColumn("stem", F.concat("stem", F.lpad(F.conv("cell", 10, 2), bits, "0")))
         if left:
             deeper = deeper.withColumn("bits", F.col("bits").bitwiseAND((1 << left) - 1))
         else:  # the hash is used up: rows of one key are left, told apart by their numbers
             left = HASH_BITS
-            deeper = deeper.join(rows.select("row", key.alias("key")), "row").withColumn("bits", hash_bits(F.concat_ws("#", "key", "row", F.lit(turn))))
-        live = materialise(deeper.select("row", "bits", "n_bytes", "stem"), "live")
-    if not done:
-        done = [spark.createDataFrame([], "row long, shard string")]
-    shards = done[0]
+            deeper = deeper.withColumn("bits", hash_bits(F.concat_ws("#", key, "row", F.lit(turn))))
+        live = materialise(deeper.select(*own, "bits", "stem"), "live")
+    named = done[0] if done else rows.withColumn("shard", F.lit("s"))
     for d in done[1:]:
-        shards = shards.union(d)
-    named = rows.join(shards, "row")
-    sums = named.groupBy("shard").agg(F.sum("n_bytes").alias("shard_bytes"), F.count("*").alias("shard_docs"))
+        named = named.union(d)
+    sums = materialise(named.groupBy("shard").agg(F.sum("n_bytes").alias("shard_bytes"), F.count("*").alias("shard_docs")), "shards")
     out = named.join(sums, "shard")
     return out.select("row", "doc_id", "shard", (F.length("shard") - 1).cast("long").alias("depth"), "n_bytes", "shard_bytes", "shard_docs")
 
