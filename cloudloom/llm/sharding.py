@@ -81,10 +81,11 @@ def _directory(places: DataFrame, bits: int, limit: int, first: bool) -> DataFra
     spread = cells.select("stem", "cell", "b", "n", levels).withColumn("prefix", F.expr(f"shiftrightunsigned(cell, {bits} - depth)"))
     sums = spread.groupBy("stem", "depth", "prefix").agg(F.sum("b").alias("sb"), F.sum("n").alias("sn"))
     # many cells share a short prefix: they are dealt out by their last bits, and short prefixes that fit, few as they are, go to each
-    short = F.col("depth") <= SHORT
-    salts = F.explode(F.when(short, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt")
+    # in no more ways than they have cells
+    short, ways = F.col("depth") <= SHORT, F.expr(f"int(least({SALTS}L, shiftleft(1L, {bits} - depth)))")
+    salts = F.explode(F.when(short, F.sequence(F.lit(0), ways - 1)).otherwise(F.array(F.lit(0)))).alias("salt")
     fits = sums.where((F.col("sb") <= limit) | (F.col("sn") == 1)).select("stem", "depth", "prefix", salts, F.lit(True).alias("ok"))
-    dealt = spread.withColumn("salt", F.when(short, (F.col("cell") % SALTS).cast("int")).otherwise(0))
+    dealt = spread.withColumn("salt", F.when(short, (F.col("cell") % ways).cast("int")).otherwise(0))
     joined = dealt.join(fits, ["stem", "depth", "prefix", "salt"], "left")
     return joined.groupBy("stem", "cell").agg(F.min(F.when(F.col("ok"), F.col("depth"))).alias("depth"))
 
