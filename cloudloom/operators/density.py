@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cloudloom import schema as S
 from cloudloom.functions import geometry as G
 from cloudloom.operators.components import connected_components
-from cloudloom.operators.neighbours import degrees, near_between, near_pairs, pair_counts, square_distance
+from cloudloom.operators.neighbours import at_positions, degrees, near_between, near_pairs, pair_counts, positions, square_distance
 from cloudloom.operators.places import swept
 from cloudloom.workspace import materialise
 
@@ -20,21 +20,28 @@ KEYS, CELL = ["frame_id", "point_id"], ["frame_id", "fx", "fy", "fz"]
 def fine_cells(points: DataFrame, eps: float) -> DataFrame:
     """``points`` with cells fx, fy, fz whose diagonal is ``eps``, so that points of one cell are near each other."""
     fine = eps / math.sqrt(3) * (1 - 1e-9)
-    return points.select(*KEYS, *G.XYZ, *[G.cell(c, fine).alias(f"f{c}") for c in G.XYZ])
+    return points.select("*", *[G.cell(c, fine).alias(f"f{c}") for c in G.XYZ])
 
 
 def core_points(points: DataFrame, eps: float, core_degree: int = S.CORE_DEGREE) -> DataFrame:
-    """``(frame_id, point_id)`` of the points with ``core_degree`` others closer than ``eps``.
+    """``(frame_id, point_id)`` of the points with ``core_degree`` others closer than ``eps``."""
+    places = materialise(positions(points), "places")
+    return at_positions(points, places.join(core_places(places, eps, core_degree), KEYS).select("frame_id", *G.XYZ))
 
-    A fine cell of more points than that is all core, and no pairs are made in it:
-    pairs are counted among the points of other cells, and between those and such cells.
+
+def core_places(places: DataFrame, eps: float, core_degree: int) -> DataFrame:
+    """``(frame_id, point_id)`` of the places (see ``positions``) whose points are core.
+
+    A fine cell of more points than ``core_degree`` is all core, and no pairs are made in it:
+    pairs are counted among the places of other cells, and between those and such cells.
     """
-    base = fine_cells(points, eps)
-    full = base.groupBy(*CELL).agg(F.count("*").alias("n")).where(F.col("n") > core_degree).select(*CELL, F.lit(True).alias("full"))
-    marked = materialise(base.join(full, CELL, "left").select(*KEYS, *G.XYZ, F.coalesce("full", F.lit(False)).alias("full")), "cells")
+    base = fine_cells(places, eps)
+    full = base.groupBy(*CELL).agg(F.sum("n").alias("all")).where(F.col("all") > core_degree).select(*CELL, F.lit(True).alias("full"))
+    marked = materialise(base.join(full, CELL, "left").select(*KEYS, *G.XYZ, "n", F.coalesce("full", F.lit(False)).alias("full")), "cells")
     some, filled = marked.where("not full"), marked.where("full")
-    across = near_between(some, filled, eps).groupBy("frame_id", F.col("src").alias("point_id")).agg(F.count("*").alias("degree"))
-    counted = pair_counts(near_pairs(some, eps, bounded=True)).unionByName(across).groupBy(*KEYS).agg(F.sum("degree").alias("degree"))
+    across = near_between(some, filled, eps, ("n",)).groupBy("frame_id", F.col("src").alias("point_id")).agg(F.sum("n").alias("degree"))
+    copies = some.select(*KEYS, (F.col("n") - 1).alias("degree"))
+    counted = pair_counts(near_pairs(some, eps, bounded=True, carried=("n",))).unionByName(across).unionByName(copies).groupBy(*KEYS).agg(F.sum("degree").alias("degree"))
     return counted.where(F.col("degree") >= core_degree).select(*KEYS).unionByName(filled.select(*KEYS))
 
 
@@ -67,10 +74,11 @@ def clusters(points: DataFrame, eps: float, core_degree: int = S.CORE_DEGREE) ->
     core ids; a border point joins the first cluster that has a core next to it.
 
     A fine cell's cores are one node, named by the smallest of them, and only
-    edges between such cells are connected.
+    edges between such cells are connected. Copies of a point are one place.
     """
-    core = core_points(points, eps, core_degree).withColumn("core", F.lit(True))
-    flagged = fine_cells(points, eps).join(core, KEYS, "left").withColumn("core", F.coalesce("core", F.lit(False)))
+    places = materialise(positions(points), "places")
+    core = core_places(places, eps, core_degree).withColumn("core", F.lit(True))
+    flagged = fine_cells(places.drop("n"), eps).join(core, KEYS, "left").withColumn("core", F.coalesce("core", F.lit(False)))
     heads = flagged.where("core").groupBy(*CELL).agg(F.min("point_id").alias("head"))
     marked = materialise(flagged.join(heads, CELL, "left"), "marked")
     met = materialise(cell_links(marked, eps), "met")
@@ -84,7 +92,8 @@ def clusters(points: DataFrame, eps: float, core_degree: int = S.CORE_DEGREE) ->
     border = met.where("not inner").select("frame_id", F.col("one").alias("point_id"), F.col("other").alias("head")).join(named, ["frame_id", "head"])
     border = border.groupBy(*KEYS).agg(F.min("cluster_id").alias("cluster_id"))
     found = marked.where("core").select(*KEYS, "head").join(named, ["frame_id", "head"]).select(*KEYS, "cluster_id").unionByName(border)
-    return points.select(*KEYS).join(found, KEYS, "left").withColumn("cluster_id", F.coalesce("cluster_id", F.lit(-1).cast("long")))
+    named = places.join(found, KEYS).select("frame_id", *G.XYZ, "cluster_id")
+    return at_positions(points, named, "left").withColumn("cluster_id", F.coalesce("cluster_id", F.lit(-1).cast("long")))
 
 
 def cluster_sizes(labels: DataFrame) -> DataFrame:
