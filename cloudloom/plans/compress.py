@@ -36,6 +36,12 @@ def split(points: DataFrame, options: S.CompressOptions) -> DataFrame:
 
 def encode_frame(ids: np.ndarray, xyz: np.ndarray, dense: np.ndarray, o: S.CompressOptions) -> tuple[bytes, list[int], np.ndarray, int]:
     """(blob, bytes of octree, lines and quadtree, ids in decoding order, dropped points) of one frame in id order."""
+    ((blob, sizes),), kept, dropped = encode_by_codecs(ids, xyz, dense, o, [o.codec])
+    return blob, sizes, kept, dropped
+
+
+def encode_by_codecs(ids: np.ndarray, xyz: np.ndarray, dense: np.ndarray, o: S.CompressOptions, codecs: list[str]) -> tuple[list[tuple[bytes, list[int]]], np.ndarray, int]:
+    """(blob and bytes of octree, lines and quadtree by each codec, ids in decoding order, dropped points) of one frame in id order: its lines are found once."""
     r, kept = o.resolution, []
     octree, order = B.tree_block(B.half_away(xyz[dense] * (2 / r)))
     kept.append(ids[dense][order])
@@ -49,8 +55,8 @@ def encode_frame(ids: np.ndarray, xyz: np.ndarray, dense: np.ndarray, o: S.Compr
         deepest = float(rho[here].max()) if len(here) else 1.0
         found = grow_lines(xy_ang[here], z_ang[here], rho[here]) if len(here) else []
         q = np.stack((B.half_away(xy_ang[here] / (r / deepest)), B.half_away(z_ang[here] / (r / deepest)), B.half_away(rho[here] / r)), 1)
-        block, order = B.line_block([q[i] for i in found], deepest, r, o.codec, o.intra_only)
-        line_blocks.append(block)
+        coded, order = B.line_blocks([q[i] for i in found], deepest, r, codecs, o.intra_only)
+        line_blocks.append(coded)
         kept += [ids[here[found[i]]] for i in order]
         left = np.delete(here, np.concatenate(found)) if found else here
     far = sparse[(rho[sparse] > S.BANDS[-1]) | (rho[sparse] == 0)]
@@ -59,9 +65,11 @@ def encode_frame(ids: np.ndarray, xyz: np.ndarray, dense: np.ndarray, o: S.Compr
     quadtree, order = B.tree_block(cells[:, :2])
     heights = B.encode_ints(np.diff(cells[order, 2], prepend=0))
     kept.append(ids[rest][order])
-    body = B.pack(struct.pack("<f?", r, o.compat), o.codec.encode(), octree, *line_blocks, quadtree, heights)
-    sizes = [len(octree), sum(map(len, line_blocks)), len(quadtree) + len(heights)]
-    return body, sizes, np.concatenate(kept), len(far) if o.compat else 0
+    out = []
+    for codec, lines in zip(codecs, zip(*line_blocks, strict=True), strict=True):
+        body = B.pack(struct.pack("<f?", r, o.compat), codec.encode(), octree, *lines, quadtree, heights)
+        out.append((body, [len(octree), sum(map(len, lines)), len(quadtree) + len(heights)]))
+    return out, np.concatenate(kept), len(far) if o.compat else 0
 
 
 def decode_frame(blob: bytes, r: float) -> list[tuple[str, np.ndarray]]:
@@ -96,6 +104,18 @@ def compress(points: DataFrame, options: S.CompressOptions = S.CompressOptions()
     return rows.groupBy("frame_id").applyInPandas(one, BLOBS)
 
 
+def compress_by_codecs(points: DataFrame, options: S.CompressOptions, codecs: tuple[str, ...] = S.CODECS) -> DataFrame:
+    """BLOBS rows of every codec for each frame, as ``compress`` gives one by one; ``seconds`` are those of all together."""
+
+    def all_of(pdf: pd.DataFrame) -> pd.DataFrame:
+        began, pdf = time.time(), pdf.sort_values("point_id", kind="stable")
+        coded, _, dropped = encode_by_codecs(pdf.point_id.to_numpy(), pdf[["x", "y", "z"]].to_numpy(float), pdf.dense.to_numpy(bool), options, list(codecs))
+        spent = time.time() - began
+        return pd.DataFrame([[pdf.frame_id.iloc[0], len(pdf), dropped, options.resolution, codec, blob, *sizes, spent] for codec, (blob, sizes) in zip(codecs, coded, strict=True)])
+
+    return split(points.select("frame_id", "point_id", *G.XYZ), options).groupBy("frame_id").applyInPandas(all_of, BLOBS)
+
+
 def coding_order(points: DataFrame, options: S.CompressOptions = S.CompressOptions()) -> DataFrame:
     """``(frame_id, seq, point_id)``: which point each decoded one was; for checking errors."""
 
