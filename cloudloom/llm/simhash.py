@@ -18,10 +18,11 @@ most 3 by construction, checked again): linear in a group's size, and no link's
 connection is lost.
 
 ``near_copies`` is for texts whose sets of five-word shingles are similar by 0.8
-or more, which is beyond what fingerprints within 3 bits can see: it meets on
-bands of minima of the shingles' hashes (MinHash), which depend on the similarity
-alone and not on where a text was edited, and verifies candidates by their exact
-similarity.
+or more. Its first candidates are those whose fingerprints, of these sets, are
+within 3 bits. That sees similarities above about 0.98; for the rest, sets that
+are in no common group yet meet on bands of minima of the same hashes (MinHash),
+which depend on the similarity alone and not on where a text was edited. All
+candidates are verified by their exact similarity.
 """
 
 from __future__ import annotations
@@ -243,15 +244,16 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def _text_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rid, cid, n, bands): the name and size of a text's set of shingles and its band keys."""
+    """(rid, cid, n, fp, bands): the name, size and fingerprint of a text's set of shingles and its band keys."""
     for b in batches:
-        names, sizes, bands = [], [], []
+        names, sizes, prints, bands = [], [], [], []
         for t in b.column(1):
             cut = shingle_set(t.as_py())
             names.append(xxhash.xxh3_64_intdigest(cut.tobytes()))
             sizes.append(len(cut))
+            prints.append(bit_majority(cut[:, None])[0])
             bands.append(band_keys(cut).view(np.int64))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["rid", "cid", "n", "bands"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))], ["rid", "cid", "n", "fp", "bands"])
     give_back()
 
 
@@ -267,28 +269,48 @@ def near_copies(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFra
     """``(rid, root)``: rows of ``docs`` by the distinct key ``id_col`` (long), and the smallest key of their group.
 
     Groups are components of links between texts whose sets of five-word shingles
-    have a Jaccard similarity of 0.8 or more, computed exactly. Candidates share
-    one of BANDS bands. Texts with equal sets of shingles always link; texts without
+    have a Jaccard similarity of 0.8 or more, computed exactly. Candidates have
+    fingerprints within 3 bits or share one of BANDS bands. Texts with equal sets of shingles always link; texts without
     words are equal to each other. Every row appears, alone in its group if it has no copy.
     """
     rows = docs.select(quoted(id_col).cast("long").alias("rid"), quoted(text_col).cast("string").alias("text"))
     with superseded() as keep:
-        prints = materialise(rows.mapInArrow(_text_bands, "rid long, cid long, n long, bands array<long>"), "bands")
+        prints = materialise(rows.mapInArrow(_text_bands, "rid long, cid long, n long, fp long, bands array<long>"), "bands")
         # one class for each set of shingles: copies take part once; classes are named by what
         # they hold, so neither the order nor the placing of rows decides which links are looked at
-        classes = materialise(prints.groupBy("cid").agg(F.min("rid").alias("low"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
+        classes = materialise(prints.groupBy("cid").agg(F.min("rid").alias("low"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "classes")
+        close = fingerprint_pairs(classes)
         each = classes.select(F.explode("bands").alias("key"), "cid", "n")
         shared = each.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
-        live = materialise(each.join(shared, "key").withColumn("root", F.col("cid")), "members")
-        wanted = live.select("cid").distinct().join(classes.select("cid", F.col("low").alias("rid")), "cid").select("rid", "cid")
+        members = materialise(each.join(shared, "key"), "members")
+        wanted = members.select("cid").union(close.select("a")).union(close.select("b")).distinct().join(classes.select("cid", F.col("low").alias("rid")), "cid").select("rid", "cid")
         sets = materialise(rows.join(wanted, "rid").select("cid", "text").mapInArrow(_text_sets, "cid long, cut array<long>"), "sets")
-        grouped = classes.join(connected_components(_band_links(live, sets), "a", "b"), F.col("cid") == F.col("node"), "left").withColumn("group", F.coalesce("root", "cid"))
+        linked = _verified(close, sets)
+        roots = connected_components(linked, "a", "b").select(F.col("node").alias("cid"), "root")
+        live = materialise(_split(members.join(roots, "cid", "left").select("key", "cid", "n", F.coalesce("root", "cid").alias("root"), F.lit(True).alias("short"))).drop("short"), "live")
+        release(members)
+        links = linked.select("a", "b").unionByName(_band_links(live, sets))
+        grouped = classes.join(connected_components(links, "a", "b"), F.col("cid") == F.col("node"), "left").withColumn("group", F.coalesce("root", "cid"))
         lows = grouped.groupBy("group").agg(F.min("low").alias("root"))
         labelled = grouped.select("cid", "group").join(lows, "group").select("cid", "root")
         keep.append(materialise(prints.select("rid", "cid").join(labelled, "cid").select("rid", "root"), "groups"))
     return keep[0]
 
 
+def fingerprint_pairs(classes: DataFrame) -> DataFrame:
+    """``(a, b, ra, rb)``: classes ``(cid, fp)`` whose fingerprints are within 3 bits, ``a`` and ``ra`` the smaller.
+
+    A fingerprint's classes are held against the smallest of them, and the smallest of two fingerprints against each other.
+    """
+    heads = materialise(classes.groupBy("fp").agg(F.min("cid").alias("head")), "heads")
+    own = classes.select("cid", "fp").join(heads, "fp").where("cid <> head").select("head", "cid")
+    links = fingerprint_links(heads.select(F.lit(0).alias("view"), "fp"), direct=True)
+    end = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"{c}_head"))
+    across = links.join(end("src"), "src").join(end("dst"), "dst").select("src_head", "dst_head")
+    both = own.union(across).select(F.least("head", "cid").alias("a"), F.greatest("head", "cid").alias("b")).distinct()
+    return materialise(both.select("a", "b", F.col("a").alias("ra"), F.col("b").alias("rb")), "close")
+
+
 def _band_links(live: DataFrame, sets: DataFrame) -> DataFrame:
     """``(a, b)`` links that connect all similar pairs of a band, from the bands' members ``(key, cid, n, root)`` with sets of ``n``.
 

@@ -89,3 +89,18 @@ def test_texts_of_one_template_meet_nowhere(spark):
         keyed = simhash._split(simhash._under_rare_shingles(live, sets))
         counts.append(keyed.where("short").join(keyed.select("key", "cid").withColumnRenamed("cid", "other"), "key").count())
     assert counts[1] <= 3 * counts[0] + 50
+
+
+def test_fingerprints_link_near_copies_before_bands_do(spark, monkeypatch):
+    """Without what bands link: long texts with a word or two changed, and others of which fingerprints see nothing."""
+    rng, rows = random.Random(12), []
+    for i in range(24):
+        w = words(rng, 1500)
+        v = [x if k not in (300, 900)[: 1 + i % 2] else "changed" for k, x in enumerate(w)] if i < 16 else edited(rng, "block", w, 0.1)
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+    prints = [int(simhash.bit_majority(simhash.shingle_set(t)[:, None])[0]) for _, t in rows]
+    wanted = [(prints[2 * i] ^ prints[2 * i + 1]).bit_count() <= 3 for i in range(24)]
+    assert 10 <= sum(wanted) < 24
+    monkeypatch.setattr(simhash, "_band_links", lambda live, sets: live.selectExpr("cid a", "cid b").where("false"))
+    root = dict(simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id").collect())
+    assert [root[2 * i] == root[2 * i + 1] for i in range(24)] == wanted
