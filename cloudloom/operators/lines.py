@@ -20,6 +20,11 @@ def grow_lines(xy: np.ndarray, z: np.ndarray, rho: np.ndarray, max_dis: float =
     right; angles don't wrap. Lines of fewer than
     ``least`` points give theirs back.
     """
+    return [line for _, line in seeded_lines(xy, z, rho, max_dis, least)]
+
+
+def seeded_lines(xy: np.ndarray, z: np.ndarray, rho: np.ndarray, max_dis: float = S.MAX_DIS, least: int = S.LEAST_LINE) -> list[tuple[int, list[int]]]:
+    """The lines of ``grow_lines``, each behind its seed."""
     cells: dict[tuple[int, int], list[int]] = defaultdict(list)
     low_x, low_z = (float(a.min()) if len(a) else 0.0 for a in (xy, z))
     cx, cz = ((xy - low_x) // max_dis).astype(int), ((z - low_z) // max_dis).astype(int)
@@ -54,7 +59,7 @@ def grow_lines(xy: np.ndarray, z: np.ndarray, rho: np.ndarray, max_dis: float =
             left.append(k)
         line = left[::-1] + right
         if len(line) >= least:
-            lines.append(line)
+            lines.append((seed, line))
         else:
             used[line] = False
     return lines

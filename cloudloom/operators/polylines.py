@@ -1,4 +1,9 @@
-"""Scan lines grown by rounds of joins, with no frame gathered anywhere.
+"""Scan lines of frames of any size, with no frame gathered anywhere.
+
+Lines only run along near points, so points that no chain of near cells connects
+don't know of each other, in any band. Frames fall apart into such crowds, which
+are found by cells alone; crowds of a bounded size are dealt out to tasks whole,
+several together, and their lines grown there. Larger ones go by rounds of joins.
 
 The rule is greedy and sequential: seeds in input order, each grows to the right
 and then to the left by its nearest free point in that direction, and a line that
@@ -19,17 +24,25 @@ with the most lines of a component, after the first in a fraction of the points.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloudloom import schema as S
 from cloudloom.functions import geometry as G
 from cloudloom.operators.components import connected_components
+from cloudloom.operators.lines import seeded_lines
 from cloudloom.workspace import materialise, materialise_counting, release, superseded
 
 #: A point's number in a pass: how many bands ago it was left over, above its id.
 ID_BITS = 56
 CHAIN = ["frame_id", "side"]
+ANGLES = ["xy_ang", "z_ang", "depth"]
+#: Points of a crowd whose lines one task grows, and of the crowds of a frame that are sent together.
+CROWD, TOGETHER = 1 << 15, 1 << 16
+ROW, PLACE = ["frame_id", "cp", "cd"], ["frame_id", "cp", "cd", "ct"]
+GROWN = "frame_id long, band int, seed long, pos int, point_id long, xy_ang double, z_ang double, depth double"
 
 
 def reach(points: DataFrame, max_dis: float) -> DataFrame:
@@ -138,29 +151,94 @@ def lines_of(points: DataFrame, max_dis: float = S.MAX_DIS, least: int = S.LEAST
     return taken.join(first, ["frame_id", "seed"]).select("frame_id", "seed", (F.col("place") - F.col("low")).alias("pos"), "p")
 
 
+def placed(points: DataFrame, max_dis: float) -> DataFrame:
+    """``points`` with cells ct, cp and cd, so that near points are in one or in adjacent cells; null for those that are near none."""
+    wide = max_dis * (1 + 1e-9)
+    finite = F.expr(" and ".join(f"{c} - {c} = 0" for c in ANGLES))
+    sizes = zip(("ct", "cp", "cd"), ANGLES, (wide, wide / S.PHI_FACTOR, wide / S.DEPTH_FACTOR), strict=True)
+    return points.select("*", *[F.when(finite, F.floor(F.col(c) / size).cast("long")).alias(n) for n, c, size in sizes])
+
+
+def crowds(points: DataFrame, max_dis: float = S.MAX_DIS) -> DataFrame:
+    """``(frame_id, cp, cd, ct, crowd, size)``: what connected crowd of adjacent cells each cell of ``placed`` points is in, and its number of points.
+
+    Cells of one elevation and depth that follow each other in azimuth are one run, and only runs are connected.
+    """
+    cells = points.where("ct is not null").groupBy(*PLACE).agg(F.count("*").alias("n"))
+    around = Window.partitionBy(*ROW).orderBy("ct")  # as many cells as azimuths have, 629
+    begins = F.when(F.coalesce(F.col("ct") - F.lag("ct").over(around) > 1, F.lit(True)), F.col("ct"))
+    cells = materialise(cells.withColumn("begins", begins).withColumn("start", F.last("begins", True).over(around)).drop("begins"), "cells")
+    runs = materialise(cells.groupBy(*ROW, "start").agg(F.max("ct").alias("end"), F.sum("n").alias("n")), "runs")
+    ahead = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("p"), F.lit(j).cast("long").alias("d")) for i, j in ((0, 1), (1, -1), (1, 0), (1, 1))]))
+    spread = runs.select("frame_id", F.col("cp").alias("a_cp"), F.col("cd").alias("a_cd"), F.col("start").alias("a_start"), F.col("end").alias("a_end"), ahead.alias("s"))
+    spread = spread.withColumn("cp", F.col("a_cp") + F.col("s.p")).withColumn("cd", F.col("a_cd") + F.col("s.d"))
+    met = spread.join(runs, ROW).where("a_start <= end + 1 and start <= a_end + 1")
+    node = lambda a: F.struct("frame_id", *[F.col(f"{a}{c}").alias(c) for c in ("cp", "cd", "start")])
+    edges = met.select(node("a_").alias("src"), node("").alias("dst")).union(runs.select(node("").alias("src"), node("").alias("dst")))
+    roots = connected_components(edges).select("node.*", F.struct("root.cp", "root.cd", "root.start").alias("crowd"))
+    named = materialise(runs.join(roots, [*ROW, "start"]).select(*ROW, "start", "n", "crowd"), "roots")
+    sizes = named.groupBy("frame_id", "crowd").agg(F.sum("n").alias("size"))
+    named = named.drop("n").join(sizes, ["frame_id", "crowd"])
+    return cells.drop("n").join(named, [*ROW, "start"]).select(*PLACE, "crowd", "size")
+
+
+def _grown(pdf: pd.DataFrame) -> pd.DataFrame:
+    """GROWN rows of whole crowds of a frame: band after band, what one leaves behind the next one's points; -1 without a line."""
+    band, ids, at = pdf.band.to_numpy(), pdf.point_id.to_numpy(), pdf[ANGLES].to_numpy(float).T
+    of, seed, pos, rest = np.full(len(pdf), -1, np.int32), np.full(len(pdf), -1), np.zeros(len(pdf), np.int32), np.empty(0, int)
+    for b in range(len(S.BANDS) - 1):
+        here = np.concatenate((np.flatnonzero(band == b), rest))
+        p = (b - band[here].astype(np.int64)) << ID_BITS | ids[here]
+        order = np.argsort(p)
+        here, p = here[order], p[order]
+        for first, line in seeded_lines(*(a[here] for a in at)):
+            of[here[line]], seed[here[line]], pos[here[line]] = b, p[first], np.arange(len(line))
+        rest = here[of[here] < 0]
+    return pd.DataFrame({"frame_id": pdf.frame_id, "band": of, "seed": seed, "pos": pos, "point_id": ids} | dict(zip(ANGLES, at, strict=True)))
+
+
+def _by_rounds(points: DataFrame) -> DataFrame:
+    """GROWN rows of crowds of any size, a band after the other."""
+    out, rest = None, points.where("false")
+    for b in range(len(S.BANDS) - 1):
+        here = points.where(F.col("band") == b).union(rest)
+        here = here.withColumn("p", F.shiftleft((b - F.col("band")).cast("long"), ID_BITS).bitwiseOR(F.col("point_id")))
+        both = materialise(here.join(lines_of(here), ["frame_id", "p"], "left").drop("p"), "lines")
+        found = both.where("seed is not null").select("frame_id", F.lit(b).alias("band"), "seed", "pos", "point_id", *ANGLES)
+        out = found if out is None else out.unionByName(found)
+        rest = both.where("seed is null").select(*points.columns)
+    return out.unionByName(_lineless(rest))
+
+
+def _lineless(points: DataFrame) -> DataFrame:
+    """GROWN rows of points that are in no line."""
+    return points.select("frame_id", F.lit(-1).alias("band"), F.lit(-1).cast("long").alias("seed"), F.lit(0).alias("pos"), "point_id", *ANGLES)
+
+
 def find_lines(spoints: DataFrame) -> DataFrame:
     """Lines of every frame, band after band: what one band leaves is tried again with the next, after its own points.
 
-    ``spoints`` has frame_id, point_id (0 to 2^56 - 1, unique in the frame), band, xy_ang, z_ang and depth.
+    ``spoints`` has frame_id, point_id (0 to 2^56 - 1, unique in the frame), band (0 to 2 or null), xy_ang, z_ang and depth.
     Gives ``(frame_id, band, line_id, pos, point_id, xy_ang, z_ang, depth)``; lines are numbered
     within their band in order of their seeds. Points without a line have band and line_id -1 and
     pos 0; points without a band are left out.
     """
-    columns = ["xy_ang", "z_ang", "depth"]
     with superseded() as keep:
-        points = materialise(spoints.where("band is not null").select("frame_id", "point_id", F.col("band").cast("int"), *[F.col(c).cast("double") for c in columns]), "spoints")
-        out, rest = None, points.where("false")
-        for b in range(len(S.BANDS) - 1):
-            here = points.where(F.col("band") == b).union(rest)
-            here = here.withColumn("p", F.shiftleft((b - F.col("band")).cast("long"), ID_BITS).bitwiseOR(F.col("point_id")))
-            lines = lines_of(here)
-            order = Window.partitionBy("frame_id").orderBy("seed")
-            names = lines.select("frame_id", "seed").distinct().withColumn("line_id", F.row_number().over(order) - 1)
-            named = lines.join(names, ["frame_id", "seed"]).drop("seed")
-            both = materialise(here.join(named, ["frame_id", "p"], "left").drop("p"), "lines")
-            found = both.where("line_id is not null").select("frame_id", F.lit(b).alias("band"), "line_id", "pos", "point_id", *columns)
-            out = found if out is None else out.unionByName(found)
-            rest = both.where("line_id is null").select(*points.columns)
-        none = rest.select("frame_id", F.lit(-1).alias("band"), F.lit(-1).alias("line_id"), F.lit(0).alias("pos"), "point_id", *columns)
-        keep.append(materialise(out.unionByName(none), "polylines"))
+        columns = ["frame_id", "point_id", F.col("band").cast("int"), *[F.col(c).cast("double") for c in ANGLES]]
+        points = materialise(spoints.where(F.col("band").between(0, len(S.BANDS) - 2)).select(*columns), "spoints")
+        points = placed(points, S.MAX_DIS)
+        parts, large = materialise_counting(crowds(points), "crowds", f"size > {CROWD}")
+        shares = points.groupBy("frame_id").agg(F.ceil(F.count("*") / TOGETHER).alias("share"))
+        each = points.join(parts, PLACE, "left").drop("ct", "cp", "cd").withColumn("few", F.coalesce(F.col("size") < S.LEAST_LINE, F.lit(True)))
+        if large:
+            each = materialise(each, "crowded")
+        dealt = each.where(f"not few and size <= {CROWD}").join(shares, "frame_id").withColumn("share", F.pmod(F.hash("crowd"), F.col("share"))).drop("crowd", "size", "few")
+        out = dealt.groupBy("frame_id", "share").applyInPandas(_grown, GROWN).unionByName(_lineless(each.where("few")))
+        if large:
+            out = out.unionByName(_by_rounds(each.where(f"not few and size > {CROWD}").drop("crowd", "size", "few")))
+        out = materialise(out, "grown")
+        order = Window.partitionBy("frame_id", "band").orderBy("seed")
+        names = out.where("band >= 0").select("frame_id", "band", "seed").distinct().withColumn("line_id", F.row_number().over(order) - 1)
+        named = out.join(names, ["frame_id", "band", "seed"], "left").withColumn("line_id", F.coalesce("line_id", F.lit(-1)))
+        keep.append(materialise(named.select("frame_id", "band", "line_id", "pos", "point_id", *ANGLES), "polylines"))
     return keep[0]
