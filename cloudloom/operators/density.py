@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cloudloom import schema as S
 from cloudloom.functions import geometry as G
 from cloudloom.operators.components import connected_components
-from cloudloom.operators.neighbours import at_positions, degrees, near_between, near_pairs, pair_counts, positions, square_distance
+from cloudloom.operators.neighbours import at_positions, degrees, near_between, positions, square_distance
 from cloudloom.operators.places import swept
 from cloudloom.workspace import materialise, materialise_counting
 
@@ -34,17 +34,14 @@ def core_points(points: DataFrame, eps: float, core_degree: int = S.CORE_DEGREE)
 def core_places(places: DataFrame, eps: float, core_degree: int) -> DataFrame:
     """``(frame_id, point_id)`` of the places (see ``positions``) whose points are core.
 
-    A fine cell of more points than ``core_degree`` is all core, and no pairs are made in it:
-    pairs are counted among the places of other cells, and between those and such cells.
+    A fine cell of more points than ``core_degree`` is all core, and no pairs are made in it;
+    only the places of other cells have the points around them counted, all in one join.
     """
     base = fine_cells(places, eps)
     full = base.groupBy(*CELL).agg(F.sum("n").alias("all")).where(F.col("all") > core_degree).select(*CELL, F.lit(True).alias("full"))
     marked = materialise(base.join(full, CELL, "left").select(*KEYS, *G.XYZ, "n", F.coalesce("full", F.lit(False)).alias("full")), "cells")
-    some, filled = marked.where("not full"), marked.where("full")
-    across = near_between(some, filled, eps, ("n",)).groupBy("frame_id", F.col("src").alias("point_id")).agg(F.sum("n").alias("degree"))
-    copies = some.select(*KEYS, (F.col("n") - 1).alias("degree"))
-    counted = pair_counts(near_pairs(some, eps, bounded=True, carried=("n",))).unionByName(across).unionByName(copies).groupBy(*KEYS).agg(F.sum("degree").alias("degree"))
-    return counted.where(F.col("degree") >= core_degree).select(*KEYS).unionByName(filled.select(*KEYS))
+    counted = near_between(marked.where("not full"), marked, eps, ("n",)).groupBy("frame_id", F.col("src").alias("point_id")).agg(F.sum("n").alias("all"))
+    return counted.where(F.col("all") > core_degree).select(*KEYS).unionByName(marked.where("full").select(*KEYS))
 
 
 def core_cells(marked: DataFrame) -> DataFrame:
